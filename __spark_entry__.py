@@ -12,7 +12,15 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from codestrata.functions.language import classified, language, language_of_path, parser_name  # noqa: E402
+from codestrata.operators.history import walk_history  # noqa: E402
 from codestrata.operators.joins import natural_join  # noqa: E402
+from codestrata.operators.nodes import (  # noqa: E402
+    code_nodes,
+    node_json,
+    nodes_by_blob,
+    select_nodes,
+    unsupported_languages,
+)
 from codestrata.plans import analyses  # noqa: E402
 from codestrata.sources.star_schema import open_star_schema  # noqa: E402
 from fixture_sql import WITH_TABLES  # noqa: E402
@@ -74,6 +82,12 @@ for _table in ("files", "blobs"):
         f"SELECT * REPLACE (md5(blob_content) AS blob_content) FROM {_table}",
     )
 
+_add(
+    "history_walk",
+    lambda ds: walk_history(ds.table("commits"), ds.table("refs")),
+    "SELECT * FROM ref_commits",
+)
+
 # Projection, filter, predicates.
 
 _add_sql("project_columns", "SELECT repository_id, commit_hash, commit_message FROM commits")
@@ -226,8 +240,124 @@ _add(
     "AS parser FROM languages",
 )
 
+_add(
+    "unsupported_languages",
+    unsupported_languages,
+    "SELECT CASE language WHEN 'Shell' THEN 'bash' ELSE lower(language) END AS language, "
+    "COUNT(*) AS num_files FROM languages "
+    "WHERE language NOT IN ('Python', 'HTML', 'JSON') GROUP BY language",
+)
+
+# Syntax trees: every distinct blob, whole.
+
+_DISTINCT_FILES = "(SELECT DISTINCT blob_hash, language FROM languages)"
+_TAGS = "regexp_extract_all(regexp_replace({}, '<script>.*?</script>', '<script>', 'gs'), '<([a-z][a-z0-9]*)', 1)"
+
+
+def _count_by_blob(ds, language: str, path: str) -> DataFrame:
+    selected = select_nodes(code_nodes(ds, languages=[language]), path)
+    return selected.groupBy("blob_hash").agg(F.count("*").alias("num_nodes"))
+
+
+_add(
+    "nodes_per_type",
+    lambda ds: code_nodes(ds).groupBy("lang", "type").agg(F.count("*").alias("num_nodes"))
+    .where("type NOT IN ('String', 'Comment')"),
+    "SELECT lang, type, CAST(sum(n) AS BIGINT) AS num_nodes FROM ("
+    "  SELECT 'python' AS lang, unnest(['Module', 'FunctionGroup', 'arguments', 'Argument', 'Return', "
+    "    'List', 'Call', 'QualifiedIdentifier', 'Identifier']) AS type, "
+    "    unnest([1, functions, functions, functions, functions, functions, calls, calls, "
+    "    functions + 2 * calls]) AS n FROM python_source SEMI JOIN languages USING (blob_hash) "
+    "  UNION ALL SELECT 'json', unnest(['Map', 'Pair', 'Number']), 1 "
+    f"  FROM {_DISTINCT_FILES} l JOIN contents USING (blob_hash) WHERE language = 'JSON' "
+    "  UNION ALL SELECT 'html', 'Document', 1 "
+    f"  FROM {_DISTINCT_FILES} l JOIN contents USING (blob_hash) WHERE language = 'HTML' "
+    f"  UNION ALL SELECT 'html', unnest({_TAGS.format('blob_content')}), 1 "
+    f"  FROM {_DISTINCT_FILES} l JOIN contents USING (blob_hash) WHERE language = 'HTML'"
+    ") x GROUP BY lang, type",
+)
+_add(
+    "functions_per_blob",
+    lambda ds: _count_by_blob(ds, "Python", "//FunctionGroup"),
+    "SELECT blob_hash, functions AS num_nodes FROM python_source SEMI JOIN languages USING (blob_hash)",
+)
+_add(
+    "calls_of_trim_per_blob",
+    lambda ds: _count_by_blob(ds, "Python", '//*[@roleCallee]/Identifier[@Name="trim"]'),
+    "SELECT blob_hash, calls AS num_nodes FROM python_source SEMI JOIN languages USING (blob_hash) WHERE trims",
+)
+_add(
+    "links_below_navigation",
+    lambda ds: _count_by_blob(ds, "HTML", "//nav//a[@href]"),
+    "SELECT blob_hash, CAST(len(regexp_extract_all(regexp_extract(blob_content, '<nav>.*</nav>'), "
+    "'<a href=')) AS BIGINT) AS num_nodes "
+    f"FROM {_DISTINCT_FILES} l JOIN contents USING (blob_hash) "
+    "WHERE language = 'HTML' AND blob_content LIKE '%<nav>%<a href=%</nav>%'",
+)
+_add(
+    "root_nodes",
+    lambda ds: select_nodes(code_nodes(ds), "/").select("blob_hash", "lang", "type"),
+    "SELECT blob_hash, lower(language) AS lang, "
+    "CASE language WHEN 'Python' THEN 'Module' WHEN 'HTML' THEN 'Document' ELSE 'Map' END AS type "
+    f"FROM {_DISTINCT_FILES} l WHERE language IN ('Python', 'HTML', 'JSON')",
+)
+_add(
+    "nodes_as_json",
+    lambda ds: select_nodes(code_nodes(ds, languages=["JSON"]), '/Map/Pair[@Name="k"]/Number').select(
+        "blob_hash", node_json().alias("node")
+    ),
+    """SELECT blob_hash, '{"type":"Number","roles":["Literal","Number"],"attrs":{},"token":"' ||
+       json_extract_string(blob_content, '$.k') || '"}' AS node """
+    f"FROM {_DISTINCT_FILES} l JOIN contents USING (blob_hash) WHERE language = 'JSON'",
+)
+_add(
+    "node_arrays_per_blob",
+    lambda ds: nodes_by_blob(
+        select_nodes(code_nodes(ds, languages=["Python"]), "/Module/FunctionGroup[@Name]")
+    ).select("blob_hash", F.json_array_length("nodes").cast("bigint").alias("num_nodes")),
+    "SELECT blob_hash, functions AS num_nodes FROM python_source SEMI JOIN languages USING (blob_hash)",
+)
+_add_sql(
+    "tree_function_in_sql",
+    "SELECT repository_id, blob_hash, CAST(ARRAY_LENGTH(UAST(blob_content, "
+    "LANGUAGE(file_path, blob_content), '//Number')) AS BIGINT) AS numbers "
+    "FROM files WHERE LANGUAGE(file_path, blob_content) = 'JSON'",
+    "SELECT repository_id, blob_hash, CAST(1 AS BIGINT) AS numbers FROM languages WHERE language = 'JSON'",
+)
+
 # Documented analyses.
 
+_HEAD_PYTHON = (
+    "FROM ref_commits NATURAL JOIN commit_files JOIN python_source USING (blob_hash) "
+    "WHERE ref_name = 'HEAD' AND history_index = 0"
+)
+_add("uast_at_head", analyses.uast_at_head)
+_add(
+    "files_with_tree_at_head",
+    lambda ds: analyses.uast_at_head(ds).select("file_path"),
+    "SELECT file_path FROM ref_commits NATURAL JOIN languages WHERE ref_name = 'HEAD' "
+    "AND history_index = 0 AND language IN ('Python', 'HTML', 'JSON')",
+)
+_add(
+    "functions_of_python_files",
+    lambda ds: analyses.functions_of_language(ds, "Python").select(
+        "repository_id",
+        "file_path",
+        F.json_array_length("functions").cast("bigint").alias("num_functions"),
+    ),
+    f"SELECT repository_id, file_path, functions AS num_functions {_HEAD_PYTHON}",
+)
+_add("functions_of_java_files", lambda ds: analyses.functions_of_language(ds, "Java").limit(10))
+_add(
+    "files_calling_trim",
+    lambda ds: analyses.files_calling(ds, "trim").select(
+        "repository_id",
+        "file_path",
+        F.json_array_length("functionCall").cast("bigint").alias("num_calls"),
+    ),
+    f"SELECT repository_id, file_path, calls AS num_calls {_HEAD_PYTHON} AND trims",
+)
+
 _add(
     "top_repositories_by_commits",
     analyses.top_repositories_by_commits,

@@ -5,7 +5,14 @@ questions, language classification and syntax-tree queries run over them as
 ordinary DataFrame plans.
 """
 
-from codestrata.dataset import Dataset
-from codestrata.plans import analyses
+import sys
+
+from pyspark import cloudpickle
+
+# Functions go to the workers with their task; workers need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from codestrata.dataset import Dataset  # noqa: E402
+from codestrata.plans import analyses  # noqa: E402
 
 __all__ = ["Dataset", "analyses"]

@@ -11,6 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.dataset import Dataset
+from codestrata.functions.language import language_of_path
+from codestrata.functions.sql import uast
+from codestrata.operators.nodes import (
+    code_nodes,
+    nodes_by_blob,
+    parsable_blobs,
+    per_file,
+    select_nodes,
+)
 
 HEAD = "HEAD"
 
@@ -19,15 +28,17 @@ def _reachable(ds: Dataset, ref: str) -> DataFrame:
     return ds.table("ref_commits").where(F.col("ref_name") == ref)
 
 
-def _trees_at_tip(ds: Dataset, ref: str) -> DataFrame:
-    tips = _reachable(ds, ref).where("history_index = 0").select("repository_id", "commit_hash")
-    commits = ds.table("commits").select("repository_id", "commit_hash", "tree_hash")
-    return tips.join(commits, ["repository_id", "commit_hash"])
-
-
 def tip_files(ds: Dataset, ref: str = HEAD) -> DataFrame:
-    """Files of each repository at the tip of ``ref``, without content."""
-    return _trees_at_tip(ds, ref).join(ds.tree_files, ["repository_id", "tree_hash"])
+    """Files of each repository at the tip of ``ref``, without content.
+
+    The tip is where ``ref_commits`` has ``history_index = 0``; ``refs`` names
+    the same commits in far fewer rows.
+    """
+    tips = ds.table("refs").where(F.col("ref_name") == ref).select("repository_id", "commit_hash")
+    commits = ds.table("commits").select("repository_id", "commit_hash", "tree_hash")
+    return tips.join(commits, ["repository_id", "commit_hash"]).join(
+        ds.tree_files, ["repository_id", "tree_hash"]
+    )
 
 
 def top_repositories_by_commits(ds: Dataset, k: int = 10, ref: str = HEAD) -> DataFrame:
@@ -44,6 +55,35 @@ def files_at_head(ds: Dataset, ref: str = HEAD) -> DataFrame:
     return ds.with_content(tip_files(ds, ref)).select("file_path", "blob_content")
 
 
+def uast_at_head(ds: Dataset, ref: str = HEAD) -> DataFrame:
+    """Syntax tree of every file at the tip; files without a tree are left out."""
+    files = tip_files(ds, ref)
+    trees = parsable_blobs(ds, files).select(
+        "blob_hash", "lang", uast(F.col("blob_content"), F.col("lang")).alias("uast")
+    )
+    return per_file(files, trees).where(F.length("uast") > 0).select("file_path", "uast")
+
+
+def functions_of_language(ds: Dataset, language: str, ref: str = HEAD) -> DataFrame:
+    """Functions in the files of one language at the tip; NULL where there is no tree."""
+    in_language = F.lower(language_of_path()) == language.lower()
+    files = tip_files(ds, ref).where(in_language)
+    functions = select_nodes(code_nodes(ds, files, [language]), "//FunctionGroup")
+    return per_file(files, nodes_by_blob(functions), "left").select(
+        "repository_id", "file_path", F.col("nodes").alias("functions")
+    )
+
+
+def files_calling(ds: Dataset, method: str, ref: str = HEAD) -> DataFrame:
+    """Files at the tip that call ``method``, with the calls."""
+    files = tip_files(ds, ref)
+    path = f'//*[@roleCallee]/Identifier[@Name="{method}"]'
+    calls = select_nodes(code_nodes(ds, files), path)
+    return per_file(files, nodes_by_blob(calls)).select(
+        "repository_id", "file_path", F.col("nodes").alias("functionCall")
+    )
+
+
 def blobs_by_path(ds: Dataset, *paths: str) -> DataFrame:
     """Content of the files at the given paths across history."""
     wanted = ds.tree_files.where(F.col("file_path").isin(*paths))
