@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from codestrata.functions.language import classified, language, language_of_path, parser_name  # noqa: E402
+from codestrata.functions.language import classified, language, parser_name  # noqa: E402
 from codestrata.operators.history import walk_history  # noqa: E402
 from codestrata.operators.joins import natural_join  # noqa: E402
+from codestrata.operators.languages import with_language  # noqa: E402
+from codestrata.operators.layout import clustered  # noqa: E402
 from codestrata.operators.nodes import (  # noqa: E402
     code_nodes,
     node_json,
     nodes_by_blob,
     select_nodes,
+    stored_nodes,
     unsupported_languages,
 )
 from codestrata.plans import analyses  # noqa: E402
@@ -88,6 +91,20 @@ _add(
     "SELECT * FROM ref_commits",
 )
 
+# Clustered copy: the filter skips files and row groups.
+
+
+def _lookup(ds) -> DataFrame:
+    copy = clustered(ds, "ref_commits", ["repository_id", "ref_name"])
+    return copy.where("repository_id = 'repo-7' AND ref_name = 'HEAD'")
+
+
+_add(
+    "clustered_lookup",
+    _lookup,
+    "SELECT * FROM ref_commits WHERE repository_id = 'repo-7' AND ref_name = 'HEAD'",
+)
+
 # Projection, filter, predicates.
 
 _add_sql("project_columns", "SELECT repository_id, commit_hash, commit_message FROM commits")
@@ -214,9 +231,9 @@ _add("limit_any_rows", lambda ds: ds.table("commit_files").limit(10))
 
 _add(
     "language_per_repository",
-    lambda ds: ds.tree_files.groupBy("repository_id", language_of_path().alias("language")).agg(
-        F.count("*").alias("num_files")
-    ),
+    lambda ds: with_language(ds, ds.tree_files)
+    .groupBy("repository_id", "language")
+    .agg(F.count("*").alias("num_files")),
     "SELECT repository_id, language, COUNT(*) AS num_files FROM languages GROUP BY repository_id, language",
 )
 _add(
@@ -233,8 +250,8 @@ _add(
 )
 _add(
     "parser_of_files",
-    lambda ds: ds.tree_files.select(
-        "file_path", "tree_hash", parser_name(language_of_path()).alias("parser")
+    lambda ds: with_language(ds, ds.tree_files).select(
+        "file_path", "tree_hash", parser_name(F.col("language")).alias("parser")
     ),
     "SELECT file_path, tree_hash, CASE lower(language) WHEN 'shell' THEN 'bash' ELSE lower(language) END "
     "AS parser FROM languages",
@@ -255,7 +272,8 @@ _TAGS = "regexp_extract_all(regexp_replace({}, '<script>.*?</script>', '<script>
 
 
 def _count_by_blob(ds, language: str, path: str) -> DataFrame:
-    selected = select_nodes(code_nodes(ds, languages=[language]), path)
+    nodes = stored_nodes(ds).where(F.col("lang") == language.lower())
+    selected = select_nodes(nodes, path)
     return selected.groupBy("blob_hash").agg(F.count("*").alias("num_nodes"))
 
 
@@ -296,14 +314,14 @@ _add(
 )
 _add(
     "root_nodes",
-    lambda ds: select_nodes(code_nodes(ds), "/").select("blob_hash", "lang", "type"),
+    lambda ds: select_nodes(stored_nodes(ds), "/").select("blob_hash", "lang", "type"),
     "SELECT blob_hash, lower(language) AS lang, "
     "CASE language WHEN 'Python' THEN 'Module' WHEN 'HTML' THEN 'Document' ELSE 'Map' END AS type "
     f"FROM {_DISTINCT_FILES} l WHERE language IN ('Python', 'HTML', 'JSON')",
 )
 _add(
     "nodes_as_json",
-    lambda ds: select_nodes(code_nodes(ds, languages=["JSON"]), '/Map/Pair[@Name="k"]/Number').select(
+    lambda ds: select_nodes(stored_nodes(ds), '/Map/Pair[@Name="k"]/Number').select(
         "blob_hash", node_json().alias("node")
     ),
     """SELECT blob_hash, '{"type":"Number","roles":["Literal","Number"],"attrs":{},"token":"' ||
@@ -313,7 +331,7 @@ _add(
 _add(
     "node_arrays_per_blob",
     lambda ds: nodes_by_blob(
-        select_nodes(code_nodes(ds, languages=["Python"]), "/Module/FunctionGroup[@Name]")
+        select_nodes(stored_nodes(ds), "/Module/FunctionGroup[@Name]")
     ).select("blob_hash", F.json_array_length("nodes").cast("bigint").alias("num_nodes")),
     "SELECT blob_hash, functions AS num_nodes FROM python_source SEMI JOIN languages USING (blob_hash)",
 )

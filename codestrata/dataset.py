@@ -14,12 +14,16 @@ not repeated for every commit that shares its tree.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from codestrata.functions.language import language_of_content
 from codestrata.schema import SCHEMAS, TABLES
+from codestrata.scratch import scratch_root
 
 STORED = (
     "repositories",
@@ -31,21 +35,41 @@ STORED = (
     "contents",
 )
 
+_FILE_LISTS = T.StructType([f for f in SCHEMAS["files"] if not f.name.startswith("blob_c")])
+_CONTENTS = T.StructType([f for f in SCHEMAS["blobs"] if f.name.startswith("blob_")])
+
 
 class Dataset:
-    def __init__(self, spark: SparkSession, stored: Mapping[str, DataFrame]):
+    def __init__(
+        self, spark: SparkSession, stored: Mapping[str, DataFrame], folder: str | None = None
+    ):
+        """``folder`` is where this source keeps tables derived later."""
         missing = [name for name in STORED if name not in stored]
         if missing:
             raise ValueError(f"missing relations: {missing}")
         self.spark = spark
         self.stored = dict(stored)
+        self.folder = folder or f"{scratch_root(spark)}/unnamed-{uuid.uuid4().hex}"
+
+    @classmethod
+    def empty(cls, spark: SparkSession) -> Dataset:
+        """All tables without rows: what there is before a source is opened."""
+        schemas = {**SCHEMAS, "tree_files": _FILE_LISTS, "contents": _CONTENTS}
+        return cls(spark, {name: spark.createDataFrame([], schemas[name]) for name in STORED})
 
     # Relations the tables are built from.
 
     @property
     def contents(self) -> DataFrame:
-        """``blob_hash, blob_size, blob_content``: every distinct blob once."""
-        return self.stored["contents"]
+        """``blob_hash, blob_size, blob_content, content_language``: every distinct blob once.
+
+        ``content_language`` is what the first line tells; sources store it, so
+        that classifying files reads no content.
+        """
+        contents = self.stored["contents"]
+        if "content_language" in contents.columns:
+            return contents
+        return contents.withColumn("content_language", language_of_content())
 
     @property
     def tree_files(self) -> DataFrame:
@@ -56,7 +80,7 @@ class Dataset:
 
     def with_content(self, files: DataFrame) -> DataFrame:
         """Add content by hash. Call it last, on as few files as possible."""
-        return files.join(self.contents, "blob_hash")
+        return files.join(self.contents.drop("content_language"), "blob_hash")
 
     # The eleven tables.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def natural_join(first: DataFrame, *others: DataFrame) -> DataFrame:
@@ -21,3 +22,36 @@ def _join(left: DataFrame, right: DataFrame) -> DataFrame:
     if not shared:
         raise ValueError(f"no shared columns: {left.columns} and {right.columns}")
     return left.join(right, shared)
+
+
+def split_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    spread_by: list[str],
+    rows_per_group: int = 1000,
+) -> DataFrame:
+    """Inner join on ``keys`` for few left rows per key, or very many.
+
+    A key with many left rows is split into groups of about ``rows_per_group``
+    by a hash of ``spread_by``, and only that key's right rows are repeated,
+    once per group. The repeated rows are therefore fewer than the join's own
+    output divided by ``rows_per_group``. The result is the plain join's.
+    """
+    hot = (
+        left.groupBy(*keys)
+        .agg(F.ceil(F.count("*") / rows_per_group).alias("_groups"))
+        .where("_groups > 1")
+    )
+    groups = F.coalesce("_groups", F.lit(1))
+    spread = (
+        left.join(hot, keys, "left")
+        .withColumn("_group", F.pmod(F.xxhash64(*spread_by), groups))
+        .drop("_groups")
+    )
+    repeated = (
+        right.join(hot, keys, "left")
+        .withColumn("_group", F.explode(F.sequence(F.lit(0).cast("bigint"), groups - 1)))
+        .drop("_groups")
+    )
+    return spread.join(repeated, [*keys, "_group"]).drop("_group")

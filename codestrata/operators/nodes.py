@@ -10,6 +10,7 @@ Steps", SIGMOD 2002).
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 
 from codestrata.dataset import Dataset
 from codestrata.functions import trees
-from codestrata.functions.language import language_of_content, language_of_path, parser_name
+from codestrata.functions.language import parser_name
 from codestrata.functions.paths import role_of, steps_of
 from codestrata.functions.trees import PARSERS, check_mode
+from codestrata.operators.languages import with_language
 
 NODE_COLUMNS = (
     "blob_hash string, lang string, pre int, post int, depth int, parent_pre int, type string, "
@@ -40,36 +42,19 @@ def parsable_blobs(
     fixed number of partitions: parsing is the cost here, not bytes, so small
     partitions must not be merged.
     """
-    parsers = [x for x in PARSERS if languages is None or x in {y.lower() for y in languages}]
+    accepted = set(PARSERS) if languages is None else {name.lower() for name in languages}
     partitions = int(ds.spark.conf.get("spark.sql.shuffle.partitions"))
-    by_path = parser_name(language_of_path())
-    # One row per blob: its languages by path (no more than there are parsers),
-    # and whether some path leaves the language to the content.
     wanted = (
-        files.select("blob_hash", by_path.alias("lang"))
-        .where(F.col("lang").isNull() | F.col("lang").isin(parsers))
-        .groupBy("blob_hash")
-        .agg(
-            F.collect_set("lang").alias("path_langs"),
-            F.bool_or(F.col("lang").isNull()).alias("ask_content"),
-        )
+        with_language(ds, files)
+        .select("blob_hash", parser_name(F.col("language")).alias("lang"))
+        .where(F.col("lang").isin(*accepted.intersection(PARSERS)))
+        .distinct()
         .repartition(partitions, "blob_hash")
     )
     contents = ds.contents.select(
         "blob_hash", F.col("blob_content").cast("binary").alias("blob_content")
     ).repartition(partitions, "blob_hash")
-    by_content = F.array_compact(
-        F.array(F.when(F.col("ask_content"), parser_name(language_of_content())))
-    )
-    return (
-        wanted.join(contents, "blob_hash")
-        .select(
-            "blob_hash",
-            F.explode(F.array_union("path_langs", by_content)).alias("lang"),
-            "blob_content",
-        )
-        .where(F.col("lang").isin(parsers))
-    )
+    return wanted.join(contents, "blob_hash").select("blob_hash", "lang", "blob_content")
 
 
 def code_nodes(
@@ -84,6 +69,20 @@ def code_nodes(
     return blobs.mapInArrow(_node_reader(mode), NODE_COLUMNS)
 
 
+def stored_nodes(ds: Dataset) -> DataFrame:
+    """The semantic node table of all files: written once per snapshot, then scanned.
+
+    One folder per language, so a filter on ``lang`` prunes the others.
+    """
+    if "code_nodes" not in ds.stored:
+        path = f"{ds.folder}/code_nodes-{uuid.uuid4().hex}"
+        nodes = code_nodes(ds)
+        nodes.write.partitionBy("lang").parquet(path)
+        stored = ds.spark.read.schema(nodes.schema).parquet(path)
+        ds.stored["code_nodes"] = stored.select(*nodes.columns)
+    return ds.stored["code_nodes"]
+
+
 def _node_reader(mode: str):
     parse, rows_per_batch = trees.parse, _ROWS_PER_BATCH
     schema = pa.schema(
@@ -214,13 +213,12 @@ def _descendants(candidates: DataFrame, context: DataFrame) -> DataFrame:
     )
 
 
-def per_file(files: DataFrame, by_blob: DataFrame, how: str = "inner") -> DataFrame:
+def per_file(
+    ds: Dataset, files: DataFrame, by_blob: DataFrame, how: str = "inner"
+) -> DataFrame:
     """Join results per ``blob_hash, lang`` back to the files they came from."""
-    named = files.withColumn("_path_lang", parser_name(language_of_path()))
-    same_text = (named["blob_hash"] == by_blob["blob_hash"]) & (
-        F.coalesce(named["_path_lang"], by_blob["lang"]) == by_blob["lang"]
-    )
-    return named.join(by_blob, same_text, how).drop(by_blob["blob_hash"]).drop("_path_lang")
+    keyed = with_language(ds, files).withColumn("lang", parser_name(F.col("language")))
+    return keyed.drop("language").join(by_blob, BLOB_KEY, how)
 
 
 def node_json() -> Column:
@@ -248,10 +246,11 @@ def drivers(ds: Dataset) -> DataFrame:
 
 
 def unsupported_languages(ds: Dataset, files: DataFrame | None = None) -> DataFrame:
-    """Languages found by path that have no parser, with their file counts."""
+    """Languages found that have no parser, with their file counts."""
     files = ds.tree_files if files is None else files
     return (
-        files.select(parser_name(language_of_path()).alias("language"))
+        with_language(ds, files)
+        .select(parser_name(F.col("language")).alias("language"))
         .groupBy("language")
         .agg(F.count("*").alias("num_files"))
         .where(F.col("language").isNotNull())

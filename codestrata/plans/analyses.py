@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.dataset import Dataset
-from codestrata.functions.language import language_of_path
 from codestrata.functions.sql import uast
+from codestrata.operators.languages import with_language
 from codestrata.operators.nodes import (
     code_nodes,
     nodes_by_blob,
@@ -61,15 +61,18 @@ def uast_at_head(ds: Dataset, ref: str = HEAD) -> DataFrame:
     trees = parsable_blobs(ds, files).select(
         "blob_hash", "lang", uast(F.col("blob_content"), F.col("lang")).alias("uast")
     )
-    return per_file(files, trees).where(F.length("uast") > 0).select("file_path", "uast")
+    return per_file(ds, files, trees).where(F.length("uast") > 0).select("file_path", "uast")
 
 
 def functions_of_language(ds: Dataset, language: str, ref: str = HEAD) -> DataFrame:
     """Functions in the files of one language at the tip; NULL where there is no tree."""
-    in_language = F.lower(language_of_path()) == language.lower()
-    files = tip_files(ds, ref).where(in_language)
+    files = (
+        with_language(ds, tip_files(ds, ref))
+        .where(F.lower("language") == language.lower())
+        .drop("language")
+    )
     functions = select_nodes(code_nodes(ds, files, [language]), "//FunctionGroup")
-    return per_file(files, nodes_by_blob(functions), "left").select(
+    return per_file(ds, files, nodes_by_blob(functions), "left").select(
         "repository_id", "file_path", F.col("nodes").alias("functions")
     )
 
@@ -79,7 +82,7 @@ def files_calling(ds: Dataset, method: str, ref: str = HEAD) -> DataFrame:
     files = tip_files(ds, ref)
     path = f'//*[@roleCallee]/Identifier[@Name="{method}"]'
     calls = select_nodes(code_nodes(ds, files), path)
-    return per_file(files, nodes_by_blob(calls)).select(
+    return per_file(ds, files, nodes_by_blob(calls)).select(
         "repository_id", "file_path", F.col("nodes").alias("functionCall")
     )
 

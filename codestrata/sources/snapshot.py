@@ -38,12 +38,13 @@ def open_snapshot(
     """The snapshot of ``source``: built on first use, rebuilt only on ``refresh``."""
     key = (spark.sparkContext.applicationId, source)
     if refresh or key not in _opened or _opened[key].spark is not spark:
-        folder = f"{source_folder(spark, source)}/snapshot-{uuid.uuid4().hex}"
+        home = source_folder(spark, source)
+        folder = f"{home}/snapshot-{uuid.uuid4().hex}"
         relations = build(spark, source)
         # The writes are independent jobs: small ones fill the gaps of large ones.
         with ThreadPoolExecutor(max_workers=4) as pool:
             written = pool.map(
                 lambda item: write_table(item[1], f"{folder}/{item[0]}"), relations.items()
             )
-            _opened[key] = Dataset(spark, dict(zip(relations, written, strict=True)))
+            _opened[key] = Dataset(spark, dict(zip(relations, written, strict=True)), home)
     return _opened[key]

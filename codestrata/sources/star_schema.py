@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.dataset import Dataset
+from codestrata.functions.language import language_of_content
 from codestrata.operators.ordering import with_position
 from codestrata.scratch import materialize
 from codestrata.sources.snapshot import open_snapshot
@@ -234,4 +235,5 @@ def _contents(raw) -> DataFrame:
         "blob_hash",
         F.octet_length("blob_content").cast("bigint").alias("blob_size"),
         "blob_content",
+        language_of_content().alias("content_language"),
     )
