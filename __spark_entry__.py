@@ -14,10 +14,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from codestrata.functions.language import classified, language, parser_name  # noqa: E402
 from codestrata.operators.history import walk_history  # noqa: E402
 from codestrata.operators.joins import natural_join  # noqa: E402
-from codestrata.operators.languages import with_language  # noqa: E402
 from codestrata.operators.layout import clustered  # noqa: E402
 from codestrata.operators.nodes import (  # noqa: E402
-    code_nodes,
     node_json,
     nodes_by_blob,
     select_nodes,
@@ -231,7 +229,7 @@ _add("limit_any_rows", lambda ds: ds.table("commit_files").limit(10))
 
 _add(
     "language_per_repository",
-    lambda ds: with_language(ds, ds.tree_files)
+    lambda ds: ds.classified_files
     .groupBy("repository_id", "language")
     .agg(F.count("*").alias("num_files")),
     "SELECT repository_id, language, COUNT(*) AS num_files FROM languages GROUP BY repository_id, language",
@@ -250,7 +248,7 @@ _add(
 )
 _add(
     "parser_of_files",
-    lambda ds: with_language(ds, ds.tree_files).select(
+    lambda ds: ds.classified_files.select(
         "file_path", "tree_hash", parser_name(F.col("language")).alias("parser")
     ),
     "SELECT file_path, tree_hash, CASE lower(language) WHEN 'shell' THEN 'bash' ELSE lower(language) END "
@@ -279,7 +277,7 @@ def _count_by_blob(ds, language: str, path: str) -> DataFrame:
 
 _add(
     "nodes_per_type",
-    lambda ds: code_nodes(ds).groupBy("lang", "type").agg(F.count("*").alias("num_nodes"))
+    lambda ds: stored_nodes(ds).groupBy("lang", "type").agg(F.count("*").alias("num_nodes"))
     .where("type NOT IN ('String', 'Comment')"),
     "SELECT lang, type, CAST(sum(n) AS BIGINT) AS num_nodes FROM ("
     "  SELECT 'python' AS lang, unnest(['Module', 'FunctionGroup', 'arguments', 'Argument', 'Return', "

@@ -3,7 +3,7 @@
 Stored relations hold each fact once:
 
 * ``contents``: one row per distinct blob, shared by all repositories;
-* ``tree_files``: the file list of each distinct root tree;
+* ``tree_files``: the file list of each distinct root tree, with languages;
 * ``tree_entries`` and ``subtrees``: the entries of each tree and the trees
   below each root tree. Left out when trees are flat.
 
@@ -15,15 +15,16 @@ not repeated for every commit that shares its tree.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codestrata.functions.language import language_of_content
+from codestrata.operators.languages import with_language
 from codestrata.schema import SCHEMAS, TABLES
-from codestrata.scratch import scratch_root
+from codestrata.scratch import materialize, scratch_root
 
 STORED = (
     "repositories",
@@ -71,6 +72,11 @@ class Dataset:
             return contents
         return contents.withColumn("content_language", language_of_content())
 
+    @property
+    def classified_files(self) -> DataFrame:
+        """``files`` without content, with the ``language`` of each file."""
+        return with_language(self.stored["tree_files"], self.contents)
+
     @property
     def tree_files(self) -> DataFrame:
         """``files`` without content: ``repository_id, file_path, blob_hash, tree_hash``."""
@@ -82,6 +88,23 @@ class Dataset:
         """Add content by hash. Call it last, on as few files as possible."""
         return files.join(self.contents.drop("content_language"), "blob_hash")
 
+    def with_content_of_few(self, files: DataFrame) -> DataFrame:
+        """``with_content`` for a selection of files.
+
+        Their hashes are written first. The planner then knows the size of that
+        table: content is not shuffled when it fits a broadcast, and is shuffled
+        once, for both joins, when it does not.
+        """
+        hashes = materialize(files.select("blob_hash").distinct(), "hashes")
+        few = self.contents.drop("content_language").join(hashes, "blob_hash", "left_semi")
+        return files.join(few, "blob_hash")
+
+    def remembered(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A small table derived from this snapshot, written on first use."""
+        if name not in self.stored:
+            self.stored[name] = materialize(build(), "remembered")
+        return self.stored[name]
+
     # The eleven tables.
 
     def table(self, name: str) -> DataFrame:

@@ -96,8 +96,6 @@ LANGUAGE_INTERPRETERS: dict[str, tuple[str, ...]] = {
 # Classifier name (lower case) -> parser name, where they differ.
 PARSER_ALIASES = {"shell": "bash", "c++": "cpp", "c#": "csharp"}
 
-_FILE_NAME = r"([^/]*)\z"
-_EXTENSION = r"\.([^./]+)\z"
 _INTERPRETER = r"^#!\s*(?:\S*/env\s+(?:-\S+\s+)*)?(?:\S*/)?([A-Za-z]+)"
 
 
@@ -107,11 +105,10 @@ def _names_sql(languages: dict[str, tuple[str, ...]]) -> str:
 
 
 def _path_sql(path: str) -> str:
-    def found(names: dict[str, tuple[str, ...]], pattern: str) -> str:
-        return f"try_element_at({_names_sql(names)}, regexp_extract(lower({path}), r'{pattern}', 1))"
-
-    by_name = found(LANGUAGE_FILENAMES, _FILE_NAME)
-    return f"coalesce({by_name}, {found(LANGUAGE_EXTENSIONS, _EXTENSION)})"
+    name = f"substring_index(lower({path}), '/', -1)"
+    by_name = f"try_element_at({_names_sql(LANGUAGE_FILENAMES)}, {name})"
+    extension = f"if(contains({name}, '.'), substring_index({name}, '.', -1), NULL)"
+    return f"coalesce({by_name}, try_element_at({_names_sql(LANGUAGE_EXTENSIONS)}, {extension}))"
 
 
 def _content_sql(content: str) -> str:

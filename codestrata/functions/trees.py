@@ -52,6 +52,19 @@ class Tree:
     def __len__(self) -> int:
         return len(self.type)
 
+    def columns(self) -> dict[str, list]:
+        return {
+            "post": self.post,
+            "depth": self.depth,
+            "parent_pre": self.parent,
+            "type": self.type,
+            "roles": self.roles,
+            "attrs": self.attrs,
+            "token": self.token,
+            "start_line": self.start_line,
+            "end_line": self.end_line,
+        }
+
     def open(self, kind, roles=(), attrs=(), token=None, start=None, end=None) -> None:
         """Begin a node; ``attrs`` are (name, value) pairs."""
         stack = self.open_nodes

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.dataset import Dataset
 from codestrata.functions.language import language_of_path
 
 
-def with_language(ds: Dataset, files: DataFrame) -> DataFrame:
+def with_language(files: DataFrame, contents: DataFrame) -> DataFrame:
     """``files`` with their ``language`` (display case, NULL when unknown).
 
-    Only files whose path says nothing are joined, and only with the language
-    stored next to each blob.
+    Snapshots store it, so this only adds it to file lists that lack it. Files
+    whose path says nothing are joined with the language stored next to each
+    blob; the others are not joined at all.
     """
+    if "language" in files.columns:
+        return files
     named = files.withColumn("language", language_of_path())
-    by_content = ds.contents.select("blob_hash", F.col("content_language").alias("language"))
+    by_content = contents.select("blob_hash", F.col("content_language").alias("language"))
     unnamed = named.where("language IS NULL").drop("language")
     return named.where("language IS NOT NULL").unionByName(
         unnamed.join(by_content, "blob_hash", "left")

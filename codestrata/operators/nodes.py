@@ -23,6 +23,7 @@ from codestrata.functions.language import parser_name
 from codestrata.functions.paths import role_of, steps_of
 from codestrata.functions.trees import PARSERS, check_mode
 from codestrata.operators.languages import with_language
+from codestrata.scratch import materialize
 
 NODE_COLUMNS = (
     "blob_hash string, lang string, pre int, post int, depth int, parent_pre int, type string, "
@@ -38,23 +39,25 @@ def parsable_blobs(
 ) -> DataFrame:
     """``blob_hash, lang, blob_content`` of the files' distinct blobs that have a parser.
 
-    Copies are gone before content is read. Both sides are placed by hash in a
-    fixed number of partitions: parsing is the cost here, not bytes, so small
-    partitions must not be merged.
+    Copies are gone before content is read. The hashes are written first, so
+    the planner knows their size and does not shuffle content for a few of
+    them. Texts are then spread by hash over a fixed number of partitions:
+    parsing is the cost here, not bytes, so small partitions must not be merged.
     """
     accepted = set(PARSERS) if languages is None else {name.lower() for name in languages}
-    partitions = int(ds.spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = (
-        with_language(ds, files)
+    wanted = materialize(
+        with_language(files, ds.contents)
         .select("blob_hash", parser_name(F.col("language")).alias("lang"))
         .where(F.col("lang").isin(*accepted.intersection(PARSERS)))
-        .distinct()
-        .repartition(partitions, "blob_hash")
+        .distinct(),
+        "wanted",
+    )
+    return (
+        ds.contents.select("blob_hash", F.col("blob_content").cast("binary").alias("blob_content"))
+        .join(wanted, "blob_hash")
+        .select(*BLOB_KEY, "blob_content")
+        .repartition(int(ds.spark.conf.get("spark.sql.shuffle.partitions")), "blob_hash")
     )
-    contents = ds.contents.select(
-        "blob_hash", F.col("blob_content").cast("binary").alias("blob_content")
-    ).repartition(partitions, "blob_hash")
-    return wanted.join(contents, "blob_hash").select("blob_hash", "lang", "blob_content")
 
 
 def code_nodes(
@@ -65,7 +68,7 @@ def code_nodes(
 ) -> DataFrame:
     """Nodes of each distinct blob of ``files`` (default: all files), parsed once."""
     check_mode(mode)
-    blobs = parsable_blobs(ds, ds.tree_files if files is None else files, languages)
+    blobs = parsable_blobs(ds, ds.classified_files if files is None else files, languages)
     return blobs.mapInArrow(_node_reader(mode), NODE_COLUMNS)
 
 
@@ -105,19 +108,10 @@ def _node_reader(mode: str):
     def offsets(parts) -> pa.Array:
         return pa.array([0, *itertools.accumulate(map(len, parts))], pa.int32())
 
-    def batch_of(blob_hash: str, lang: str, tree, start: int) -> pa.RecordBatch:
-        end = min(start + rows_per_batch, len(tree))
-        part = slice(start, end)
-        roles, attrs = tree.roles[part], tree.attrs[part]
+    def batch_of(rows: dict[str, list]) -> pa.RecordBatch:
+        roles, attrs = rows["roles"], rows["attrs"]
         pairs = list(itertools.chain.from_iterable(attrs))
-        columns = {
-            "blob_hash": [blob_hash] * (end - start),
-            "lang": [lang] * (end - start),
-            "pre": range(start, end),
-            "post": tree.post[part],
-            "depth": tree.depth[part],
-            "parent_pre": tree.parent[part],
-            "type": tree.type[part],
+        nested = {
             "roles": pa.ListArray.from_arrays(
                 offsets(roles), pa.array(itertools.chain.from_iterable(roles), pa.string())
             ),
@@ -126,33 +120,27 @@ def _node_reader(mode: str):
                 pa.array([name for name, _ in pairs], pa.string()),
                 pa.array([value for _, value in pairs], pa.string()),
             ),
-            "token": tree.token[part],
-            "start_line": tree.start_line[part],
-            "end_line": tree.end_line[part],
         }
-        arrays = [
-            c if isinstance(c, pa.Array) else pa.array(c, schema.field(name).type)
-            for name, c in columns.items()
-        ]
+        arrays = [nested[f.name] if f.name in nested else pa.array(rows[f.name], f.type) for f in schema]
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, langs = batch.column("blob_hash"), batch.column("lang")
-            contents = batch.column("blob_content")
-            small: list[pa.RecordBatch] = []
-            held = 0
-            for i in range(batch.num_rows):
-                lang = langs[i].as_py()
-                tree = parse(contents[i].as_py(), lang, mode)
-                for start in range(0, len(tree) if tree else 0, rows_per_batch):
-                    small.append(batch_of(hashes[i].as_py(), lang, tree, start))
-                    held += small[-1].num_rows
-                    if held >= rows_per_batch:
-                        yield pa.Table.from_batches(small).combine_chunks().to_batches()[0]
-                        small, held = [], 0
-            if small:
-                yield pa.Table.from_batches(small).combine_chunks().to_batches()[0]
+        rows: dict[str, list] = {name: [] for name in schema.names}
+        texts = (text for batch in batches for text in zip(*batch.columns, strict=True))
+        for blob_hash, lang, content in texts:
+            tree = parse(content.as_py(), lang.as_py(), mode)
+            for start in range(0, len(tree) if tree else 0, rows_per_batch):
+                end = min(start + rows_per_batch, len(tree))
+                rows["blob_hash"] += [blob_hash.as_py()] * (end - start)
+                rows["lang"] += [lang.as_py()] * (end - start)
+                rows["pre"] += range(start, end)
+                for name, values in tree.columns().items():
+                    rows[name] += values[start:end]
+                if len(rows["pre"]) >= rows_per_batch:
+                    yield batch_of(rows)
+                    rows = {name: [] for name in schema.names}
+        if rows["pre"]:
+            yield batch_of(rows)
 
     return read
 
@@ -217,7 +205,7 @@ def per_file(
     ds: Dataset, files: DataFrame, by_blob: DataFrame, how: str = "inner"
 ) -> DataFrame:
     """Join results per ``blob_hash, lang`` back to the files they came from."""
-    keyed = with_language(ds, files).withColumn("lang", parser_name(F.col("language")))
+    keyed = with_language(files, ds.contents).withColumn("lang", parser_name(F.col("language")))
     return keyed.drop("language").join(by_blob, BLOB_KEY, how)
 
 
@@ -247,9 +235,9 @@ def drivers(ds: Dataset) -> DataFrame:
 
 def unsupported_languages(ds: Dataset, files: DataFrame | None = None) -> DataFrame:
     """Languages found that have no parser, with their file counts."""
-    files = ds.tree_files if files is None else files
+    files = ds.classified_files if files is None else files
     return (
-        with_language(ds, files)
+        with_language(files, ds.contents)
         .select(parser_name(F.col("language")).alias("language"))
         .groupBy("language")
         .agg(F.count("*").alias("num_files"))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from codestrata.dataset import Dataset
 from codestrata.functions.sql import uast
-from codestrata.operators.languages import with_language
 from codestrata.operators.nodes import (
     code_nodes,
     nodes_by_blob,
@@ -28,17 +27,27 @@ def _reachable(ds: Dataset, ref: str) -> DataFrame:
     return ds.table("ref_commits").where(F.col("ref_name") == ref)
 
 
-def tip_files(ds: Dataset, ref: str = HEAD) -> DataFrame:
-    """Files of each repository at the tip of ``ref``, without content.
+def tip_trees(ds: Dataset, ref: str = HEAD) -> DataFrame:
+    """Root tree of each repository at the tip of ``ref``.
 
     The tip is where ``ref_commits`` has ``history_index = 0``; ``refs`` names
-    the same commits in far fewer rows.
+    the same commits in far fewer rows. Written once, one row per repository,
+    so joins with it are planned for its true size.
     """
-    tips = ds.table("refs").where(F.col("ref_name") == ref).select("repository_id", "commit_hash")
-    commits = ds.table("commits").select("repository_id", "commit_hash", "tree_hash")
-    return tips.join(commits, ["repository_id", "commit_hash"]).join(
-        ds.tree_files, ["repository_id", "tree_hash"]
-    )
+
+    def build() -> DataFrame:
+        tips = ds.table("refs").where(F.col("ref_name") == ref)
+        commits = ds.table("commits").select("repository_id", "commit_hash", "tree_hash")
+        return tips.join(commits, ["repository_id", "commit_hash"]).select(
+            "repository_id", "tree_hash"
+        )
+
+    return ds.remembered(f"tip_trees:{ref}", build)
+
+
+def tip_files(ds: Dataset, ref: str = HEAD) -> DataFrame:
+    """Files of each repository at the tip of ``ref``: path, hashes and language."""
+    return ds.classified_files.join(tip_trees(ds, ref), ["repository_id", "tree_hash"])
 
 
 def top_repositories_by_commits(ds: Dataset, k: int = 10, ref: str = HEAD) -> DataFrame:
@@ -52,7 +61,7 @@ def top_repositories_by_commits(ds: Dataset, k: int = 10, ref: str = HEAD) -> Da
 
 
 def files_at_head(ds: Dataset, ref: str = HEAD) -> DataFrame:
-    return ds.with_content(tip_files(ds, ref)).select("file_path", "blob_content")
+    return ds.with_content_of_few(tip_files(ds, ref)).select("file_path", "blob_content")
 
 
 def uast_at_head(ds: Dataset, ref: str = HEAD) -> DataFrame:
@@ -66,11 +75,7 @@ def uast_at_head(ds: Dataset, ref: str = HEAD) -> DataFrame:
 
 def functions_of_language(ds: Dataset, language: str, ref: str = HEAD) -> DataFrame:
     """Functions in the files of one language at the tip; NULL where there is no tree."""
-    files = (
-        with_language(ds, tip_files(ds, ref))
-        .where(F.lower("language") == language.lower())
-        .drop("language")
-    )
+    files = tip_files(ds, ref).where(F.lower("language") == language.lower())
     functions = select_nodes(code_nodes(ds, files, [language]), "//FunctionGroup")
     return per_file(ds, files, nodes_by_blob(functions), "left").select(
         "repository_id", "file_path", F.col("nodes").alias("functions")
@@ -90,7 +95,7 @@ def files_calling(ds: Dataset, method: str, ref: str = HEAD) -> DataFrame:
 def blobs_by_path(ds: Dataset, *paths: str) -> DataFrame:
     """Content of the files at the given paths across history."""
     wanted = ds.tree_files.where(F.col("file_path").isin(*paths))
-    return ds.with_content(wanted).select("repository_id", "blob_content")
+    return ds.with_content_of_few(wanted).select("repository_id", "blob_content")
 
 
 def license_and_readme_blobs(ds: Dataset) -> DataFrame:

@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Tables that already exist as files; a snapshot keeps them without a copy.
+_written: weakref.WeakSet[DataFrame] = weakref.WeakSet()
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of this application."""
@@ -32,4 +36,12 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage of ``df`` through a table in the shared folder."""
-    return write_table(df, f"{scratch_root(df.sparkSession)}/steps/{label}-{uuid.uuid4().hex}")
+    path = f"{scratch_root(df.sparkSession)}/steps/{label}-{uuid.uuid4().hex}"
+    written = write_table(df, path)
+    _written.add(written)
+    return written
+
+
+def is_materialized(df: DataFrame) -> bool:
+    """Whether ``df`` is just what ``materialize`` returned."""
+    return df in _written

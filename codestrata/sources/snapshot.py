@@ -15,7 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from codestrata.dataset import Dataset
-from codestrata.scratch import scratch_root, write_table
+from codestrata.scratch import is_materialized, scratch_root, write_table
 
 # Snapshots opened by this application: (application, source) -> dataset.
 _opened: dict[tuple[str, str], Dataset] = {}
@@ -41,10 +41,13 @@ def open_snapshot(
         home = source_folder(spark, source)
         folder = f"{home}/snapshot-{uuid.uuid4().hex}"
         relations = build(spark, source)
+
+        def stored(item: tuple[str, DataFrame]) -> DataFrame:
+            name, df = item
+            return df if is_materialized(df) else write_table(df, f"{folder}/{name}")
+
         # The writes are independent jobs: small ones fill the gaps of large ones.
         with ThreadPoolExecutor(max_workers=4) as pool:
-            written = pool.map(
-                lambda item: write_table(item[1], f"{folder}/{item[0]}"), relations.items()
-            )
+            written = pool.map(stored, relations.items())
             _opened[key] = Dataset(spark, dict(zip(relations, written, strict=True)), home)
     return _opened[key]

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from codestrata.dataset import Dataset
 from codestrata.functions.language import language_of_content
+from codestrata.operators.languages import with_language
 from codestrata.operators.ordering import with_position
 from codestrata.scratch import materialize
 from codestrata.sources.snapshot import open_snapshot
@@ -49,6 +50,7 @@ def build(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     )
     history = _history(raw)
     tips = materialize(_tips(history), "tips")
+    contents = materialize(_contents(raw), "contents")
     return {
         "repositories": repositories,
         "remotes": repositories.select(
@@ -63,8 +65,8 @@ def build(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         ),
         "ref_commits": _ref_commits(history, tips),
         "commits": _commits(history),
-        "tree_files": _tree_files(raw, history),
-        "contents": _contents(raw),
+        "tree_files": with_language(_tree_files(raw, history), contents),
+        "contents": contents,
     }
 
 

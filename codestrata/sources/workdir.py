@@ -21,6 +21,7 @@ from codestrata.dataset import Dataset
 from codestrata.functions.language import language_of_content
 from codestrata.operators.history import walk_history
 from codestrata.operators.joins import split_join
+from codestrata.operators.languages import with_language
 from codestrata.scratch import materialize
 from codestrata.sources import git_objects as git
 from codestrata.sources.snapshot import open_snapshot
@@ -112,6 +113,12 @@ def build(spark: SparkSession, root: str) -> dict[str, DataFrame]:
         "refs",
     )
     tree_files, subtrees = expand_trees(commits, tree_entries)
+    contents = materialize(
+        _read(_one_owner(objects), "blob", _content_rows, _CONTENTS).withColumn(
+            "content_language", language_of_content()
+        ),
+        "contents",
+    )
     return {
         "repositories": repositories.select("repository_id"),
         "remotes": named.where("kind = 'remote'").select(
@@ -121,14 +128,12 @@ def build(spark: SparkSession, root: str) -> dict[str, DataFrame]:
         "ref_commits": walk_history(commits, refs),
         "commits": commits,
         "tree_entries": tree_entries,
-        "tree_files": tree_files,
+        "tree_files": with_language(tree_files, contents),
         "subtrees": subtrees,
         "owned_blobs": objects.where("kind = 'blob'").select(
             "repository_id", F.col("object_hash").alias("blob_hash")
         ),
-        "contents": _read(_one_owner(objects), "blob", _content_rows, _CONTENTS).withColumn(
-            "content_language", language_of_content()
-        ),
+        "contents": contents,
     }
 
 

@@ -36,10 +36,11 @@ def test_column_pruning_and_pushdown(ds):
     assert "TakeOrderedAndProject" in plan
 
 
-def test_content_is_joined_last(ds):
-    plan = plan_of(analyses.files_at_head(ds))
-    assert "EqualTo(ref_name,HEAD)" in plan and "In(file_path" not in plan
-    plan = plan_of(analyses.license_and_readme_blobs(ds))
+def test_content_of_few_files_is_not_shuffled(ds):
+    for job in (analyses.files_at_head, analyses.license_and_readme_blobs):
+        plan = plan_of(job(ds)).split("== Physical Plan ==")[1]
+        assert "LeftSemi" in plan and "SortMergeJoin" not in plan
+        assert "Exchange hashpartitioning(blob_hash" not in plan
     assert "In(file_path, [LICENSE,README.md])" in plan
 
 

@@ -185,7 +185,7 @@ def test_each_blob_is_parsed_once(spark):
     script = b"#!/usr/bin/env python\ndef f(): pass\n"
     blobs = {"b1": PYTHON, "b2": b"{}", "b3": b"class A {}", "b4": script}
     ds = dataset(spark, blobs, files)
-    got = sorted((r.blob_hash, r.lang) for r in parsable_blobs(ds, ds.tree_files).collect())
+    got = sorted((r.blob_hash, r.lang) for r in parsable_blobs(ds, ds.classified_files).collect())
     assert got == [("b1", "python"), ("b2", "html"), ("b2", "json"), ("b4", "python")]
     calls = analyses.files_calling(ds, "trim").collect()
     assert len(calls) == 50
