@@ -5,7 +5,9 @@ Stored relations hold each fact once:
 * ``contents``: one row per distinct blob, shared by all repositories;
 * ``tree_files``: the file list of each distinct root tree, with languages;
 * ``tree_entries`` and ``subtrees``: the entries of each tree and the trees
-  below each root tree. Left out when trees are flat.
+  below each root tree. Left out when trees are flat;
+* ``hot_trees`` and ``hot_blobs``: trees that very many commits share and
+  blobs that very many files share. Joins split them. Left out when empty.
 
 ``commit_files``, ``files``, ``blobs``, ``commit_blobs`` and ``commit_trees``
 are joins over them, so a path query never reads content and a file list is
@@ -15,13 +17,14 @@ not repeated for every commit that shares its tree.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codestrata.functions.language import language_of_content
+from codestrata.operators.joins import hot_keys, split_join
 from codestrata.operators.languages import with_language
 from codestrata.schema import SCHEMAS, TABLES
 from codestrata.scratch import materialize, scratch_root
@@ -36,6 +39,10 @@ STORED = (
     "contents",
 )
 
+# Rows of one key in one join group; keys with more are split.
+COMMITS_PER_TREE = 1000
+FILES_PER_BLOB = 100_000
+
 _FILE_LISTS = T.StructType([f for f in SCHEMAS["files"] if not f.name.startswith("blob_c")])
 _CONTENTS = T.StructType([f for f in SCHEMAS["blobs"] if f.name.startswith("blob_")])
 
@@ -58,6 +65,21 @@ class Dataset:
         schemas = {**SCHEMAS, "tree_files": _FILE_LISTS, "contents": _CONTENTS}
         return cls(spark, {name: spark.createDataFrame([], schemas[name]) for name in STORED})
 
+    def find_hot(
+        self, commits_per_tree: int = COMMITS_PER_TREE, files_per_blob: int = FILES_PER_BLOB
+    ) -> None:
+        """Note the trees and blobs with too many rows for one join group."""
+        found = {
+            "hot_trees": hot_keys(
+                self.stored["commits"], ["repository_id", "tree_hash"], commits_per_tree
+            ),
+            "hot_blobs": hot_keys(self.tree_files, ["blob_hash"], files_per_blob),
+        }
+        for name, keys in found.items():
+            keys = materialize(keys, name)
+            if not keys.isEmpty():
+                self.stored[name] = keys
+
     # Relations the tables are built from.
 
     @property
@@ -86,7 +108,7 @@ class Dataset:
 
     def with_content(self, files: DataFrame) -> DataFrame:
         """Add content by hash. Call it last, on as few files as possible."""
-        return files.join(self.contents.drop("content_language"), "blob_hash")
+        return self.join_by_blob(files, self.contents.drop("content_language"))
 
     def with_content_of_few(self, files: DataFrame) -> DataFrame:
         """``with_content`` for a selection of files.
@@ -97,7 +119,20 @@ class Dataset:
         """
         hashes = materialize(files.select("blob_hash").distinct(), "hashes")
         few = self.contents.drop("content_language").join(hashes, "blob_hash", "left_semi")
-        return files.join(few, "blob_hash")
+        return self.join_by_blob(files, few)
+
+    def join_by_blob(
+        self, files: DataFrame, by_blob: DataFrame, keys: Sequence[str] = ("blob_hash",), how: str = "inner"
+    ) -> DataFrame:
+        """Join files with one row per blob; much-copied blobs are split."""
+        hot = self.stored.get("hot_blobs")
+        return split_join(files, by_blob, list(keys), files.columns, hot, how)
+
+    def join_by_tree(self, by_tree: DataFrame) -> DataFrame:
+        """Join every commit with the rows of its root tree; much-shared trees are split."""
+        commits = self.stored["commits"].select("repository_id", "commit_hash", "tree_hash")
+        hot = self.stored.get("hot_trees")
+        return split_join(commits, by_tree, ["repository_id", "tree_hash"], ["commit_hash"], hot)
 
     def remembered(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A small table derived from this snapshot, written on first use."""
@@ -118,8 +153,7 @@ class Dataset:
         return self.with_content(self.tree_files)
 
     def _commit_files(self) -> DataFrame:
-        commits = self.stored["commits"].select("repository_id", "commit_hash", "tree_hash")
-        return commits.join(self.tree_files, ["repository_id", "tree_hash"])
+        return self.join_by_tree(self.tree_files)
 
     def _blobs(self) -> DataFrame:
         owned = self.stored.get("owned_blobs")
@@ -129,9 +163,8 @@ class Dataset:
 
     def _commit_blobs(self) -> DataFrame:
         # Distinct per tree first: commits are unique, so the join keeps rows distinct.
-        per_tree = self.tree_files.select("repository_id", "tree_hash", "blob_hash").distinct()
-        commits = self.stored["commits"].select("repository_id", "commit_hash", "tree_hash")
-        return commits.join(per_tree, ["repository_id", "tree_hash"])
+        per_tree = self.tree_files.select("repository_id", "tree_hash", "blob_hash")
+        return self.join_by_tree(per_tree.distinct())
 
     def _tree_entries(self) -> DataFrame:
         if "tree_entries" in self.stored:
@@ -148,7 +181,7 @@ class Dataset:
         roots = self.stored["commits"].select("repository_id", "commit_hash", "tree_hash")
         if "subtrees" not in self.stored:
             return roots
-        below = roots.join(self.stored["subtrees"], ["repository_id", "tree_hash"]).select(
+        below = self.join_by_tree(self.stored["subtrees"]).select(
             "repository_id", "commit_hash", F.col("subtree_hash").alias("tree_hash")
         )
         return roots.unionByName(below)

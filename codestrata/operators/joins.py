@@ -24,34 +24,43 @@ def _join(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, shared)
 
 
+def hot_keys(df: DataFrame, keys: list[str], rows_per_group: int) -> DataFrame:
+    """Keys with more than ``rows_per_group`` rows, and the ``groups`` to split them into."""
+    return (
+        df.groupBy(*keys)
+        .agg(F.ceil(F.count("*") / rows_per_group).alias("groups"))
+        .where("groups > 1")
+    )
+
+
 def split_join(
     left: DataFrame,
     right: DataFrame,
     keys: list[str],
     spread_by: list[str],
-    rows_per_group: int = 1000,
+    hot: DataFrame | None,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join on ``keys`` for few left rows per key, or very many.
+    """Join on ``keys`` where some keys have very many left rows.
 
-    A key with many left rows is split into groups of about ``rows_per_group``
-    by a hash of ``spread_by``, and only that key's right rows are repeated,
-    once per group. The repeated rows are therefore fewer than the join's own
-    output divided by ``rows_per_group``. The result is the plain join's.
+    ``hot`` names those keys (or some of their columns) and how many ``groups``
+    to split each into. Left rows go to a group by a hash of ``spread_by``; the
+    right rows of a hot key, and no others, are repeated once per group, which
+    is a small part of the join's own output. The result is the plain join's.
+    Without ``hot`` it is the plain join.
     """
-    hot = (
-        left.groupBy(*keys)
-        .agg(F.ceil(F.count("*") / rows_per_group).alias("_groups"))
-        .where("_groups > 1")
-    )
-    groups = F.coalesce("_groups", F.lit(1))
+    if hot is None:
+        return left.join(right, keys, how)
+    by = [column for column in hot.columns if column != "groups"]
+    groups = F.coalesce("groups", F.lit(1)).cast("bigint")
     spread = (
-        left.join(hot, keys, "left")
+        left.join(hot, by, "left")
         .withColumn("_group", F.pmod(F.xxhash64(*spread_by), groups))
-        .drop("_groups")
+        .drop("groups")
     )
     repeated = (
-        right.join(hot, keys, "left")
+        right.join(hot, by, "left")
         .withColumn("_group", F.explode(F.sequence(F.lit(0).cast("bigint"), groups - 1)))
-        .drop("_groups")
+        .drop("groups")
     )
-    return spread.join(repeated, [*keys, "_group"]).drop("_group")
+    return spread.join(repeated, [*keys, "_group"], how).drop("_group")

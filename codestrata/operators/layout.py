@@ -12,29 +12,14 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from codestrata.dataset import Dataset
+from codestrata.scratch import write_clustered
 
 # (dataset folder, table, columns) -> path of the current copy.
 _copies: dict[tuple[str, str, tuple[str, ...]], str] = {}
 
 
-def write_clustered(df: DataFrame, columns: Sequence[str], path: str) -> DataFrame:
-    """Write ``df`` sorted on ``columns``.
-
-    A hash of the row ends the range key: rows with one hot value spread over
-    several files instead of one task.
-    """
-    keys = [F.col(column) for column in columns]
-    rest = F.xxhash64(*df.columns)
-    writer = df.repartitionByRange(*keys, rest).sortWithinPartitions(*keys).write
-    for column in columns:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-    writer.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def clustered(
     ds: Dataset, table: str, columns: Sequence[str], rebuild: bool = False
 ) -> DataFrame:
@@ -42,6 +27,6 @@ def clustered(
     key = (ds.folder, table, tuple(columns))
     if rebuild or key not in _copies:
         path = f"{ds.folder}/clustered/{table}-{'-'.join(columns)}-{uuid.uuid4().hex}"
-        write_clustered(ds.table(table), columns, path)
+        write_clustered(ds.table(table), columns, path, bloom_filters=True)
         _copies[key] = path
     return ds.spark.read.parquet(_copies[key])

@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -34,27 +35,30 @@ BLOB_KEY = ["blob_hash", "lang"]
 _ROWS_PER_BATCH = 20_000
 
 
+def parsable_keys(files: DataFrame, contents: DataFrame, languages=None) -> DataFrame:
+    """Distinct ``blob_hash, lang`` of files that have a parser, in a table of known size."""
+    accepted = set(PARSERS) if languages is None else {name.lower() for name in languages}
+    return materialize(
+        with_language(files, contents)
+        .select("blob_hash", parser_name(F.col("language")).alias("lang"))
+        .where(F.col("lang").isin(*accepted.intersection(PARSERS)))
+        .distinct(),
+        "keys",
+    )
+
+
 def parsable_blobs(
     ds: Dataset, files: DataFrame, languages: Iterable[str] | None = None
 ) -> DataFrame:
     """``blob_hash, lang, blob_content`` of the files' distinct blobs that have a parser.
 
-    Copies are gone before content is read. The hashes are written first, so
-    the planner knows their size and does not shuffle content for a few of
-    them. Texts are then spread by hash over a fixed number of partitions:
+    Copies are gone before content is read, and content is not shuffled for a
+    few blobs. Texts are then spread by hash over a fixed number of partitions:
     parsing is the cost here, not bytes, so small partitions must not be merged.
     """
-    accepted = set(PARSERS) if languages is None else {name.lower() for name in languages}
-    wanted = materialize(
-        with_language(files, ds.contents)
-        .select("blob_hash", parser_name(F.col("language")).alias("lang"))
-        .where(F.col("lang").isin(*accepted.intersection(PARSERS)))
-        .distinct(),
-        "wanted",
-    )
     return (
         ds.contents.select("blob_hash", F.col("blob_content").cast("binary").alias("blob_content"))
-        .join(wanted, "blob_hash")
+        .join(parsable_keys(files, ds.contents, languages), "blob_hash")
         .select(*BLOB_KEY, "blob_content")
         .repartition(int(ds.spark.conf.get("spark.sql.shuffle.partitions")), "blob_hash")
     )
@@ -145,6 +149,26 @@ def _node_reader(mode: str):
     return read
 
 
+def nodes_selected(
+    ds: Dataset, files: DataFrame, query: str, languages: Iterable[str] | None = None
+) -> DataFrame:
+    """Semantic nodes of the files' distinct blobs that ``query`` selects.
+
+    Reads the stored node table if there is one. Otherwise texts are parsed
+    once, and nodes that fit a step are written for the joins between steps.
+    """
+    if "code_nodes" in ds.stored:
+        nodes = stored_nodes(ds).join(
+            parsable_keys(files, ds.contents, languages), BLOB_KEY, "left_semi"
+        )
+        return select_nodes(nodes, query)
+    nodes, steps = code_nodes(ds, files, languages), steps_of(query)
+    if len(steps) > 1:
+        fits_some = reduce(Column.__or__, map(_fits, steps))
+        nodes = materialize(nodes.where(fits_some), "nodes")
+    return select_nodes(nodes, query)
+
+
 def select_nodes(nodes: DataFrame, query: str) -> DataFrame:
     """Nodes a path query selects, as filters and joins on the node table."""
     steps = steps_of(query)
@@ -206,7 +230,7 @@ def per_file(
 ) -> DataFrame:
     """Join results per ``blob_hash, lang`` back to the files they came from."""
     keyed = with_language(files, ds.contents).withColumn("lang", parser_name(F.col("language")))
-    return keyed.drop("language").join(by_blob, BLOB_KEY, how)
+    return ds.join_by_blob(keyed.drop("language"), by_blob, BLOB_KEY, how)
 
 
 def node_json() -> Column:

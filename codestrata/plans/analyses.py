@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 from codestrata.dataset import Dataset
 from codestrata.functions.sql import uast
 from codestrata.operators.nodes import (
-    code_nodes,
     nodes_by_blob,
+    nodes_selected,
     parsable_blobs,
     per_file,
-    select_nodes,
 )
 
 HEAD = "HEAD"
@@ -76,7 +75,7 @@ def uast_at_head(ds: Dataset, ref: str = HEAD) -> DataFrame:
 def functions_of_language(ds: Dataset, language: str, ref: str = HEAD) -> DataFrame:
     """Functions in the files of one language at the tip; NULL where there is no tree."""
     files = tip_files(ds, ref).where(F.lower("language") == language.lower())
-    functions = select_nodes(code_nodes(ds, files, [language]), "//FunctionGroup")
+    functions = nodes_selected(ds, files, "//FunctionGroup", [language])
     return per_file(ds, files, nodes_by_blob(functions), "left").select(
         "repository_id", "file_path", F.col("nodes").alias("functions")
     )
@@ -86,8 +85,8 @@ def files_calling(ds: Dataset, method: str, ref: str = HEAD) -> DataFrame:
     """Files at the tip that call ``method``, with the calls."""
     files = tip_files(ds, ref)
     path = f'//*[@roleCallee]/Identifier[@Name="{method}"]'
-    calls = select_nodes(code_nodes(ds, files), path)
-    return per_file(ds, files, nodes_by_blob(calls)).select(
+    calls = nodes_by_blob(nodes_selected(ds, files, path))
+    return per_file(ds, files, calls).select(
         "repository_id", "file_path", F.col("nodes").alias("functionCall")
     )
 

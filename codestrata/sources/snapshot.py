@@ -15,7 +15,13 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from codestrata.dataset import Dataset
-from codestrata.scratch import is_materialized, scratch_root, write_table
+from codestrata.scratch import is_materialized, scratch_root, write_clustered, write_table
+
+# Sort order of the large tables: the columns questions filter on by value.
+CLUSTERED_ON = {
+    "ref_commits": ("ref_name", "repository_id"),
+    "tree_files": ("file_path", "repository_id"),
+}
 
 # Snapshots opened by this application: (application, source) -> dataset.
 _opened: dict[tuple[str, str], Dataset] = {}
@@ -44,10 +50,14 @@ def open_snapshot(
 
         def stored(item: tuple[str, DataFrame]) -> DataFrame:
             name, df = item
+            if name in CLUSTERED_ON:
+                return write_clustered(df, CLUSTERED_ON[name], f"{folder}/{name}")
             return df if is_materialized(df) else write_table(df, f"{folder}/{name}")
 
         # The writes are independent jobs: small ones fill the gaps of large ones.
         with ThreadPoolExecutor(max_workers=4) as pool:
             written = pool.map(stored, relations.items())
-            _opened[key] = Dataset(spark, dict(zip(relations, written, strict=True)), home)
+            dataset = Dataset(spark, dict(zip(relations, written, strict=True)), home)
+        dataset.find_hot()
+        _opened[key] = dataset
     return _opened[key]

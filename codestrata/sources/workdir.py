@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from codestrata.dataset import Dataset
 from codestrata.functions.language import language_of_content
 from codestrata.operators.history import walk_history
-from codestrata.operators.joins import split_join
+from codestrata.operators.joins import hot_keys, split_join
 from codestrata.operators.languages import with_language
 from codestrata.scratch import materialize
 from codestrata.sources import git_objects as git
@@ -29,6 +29,9 @@ from codestrata.sources.snapshot import open_snapshot
 DIRECTORY_MODE = "040000"
 SUBMODULE_MODE = "160000"
 
+# Roots that list the same subtree in one join group.
+ROOTS_PER_GROUP = 1000
+
 _BATCH_ROWS = 10_000
 _BATCH_BYTES = 16 << 20
 
@@ -178,8 +181,9 @@ def expand_trees(commits: DataFrame, entries: DataFrame) -> tuple[DataFrame, Dat
     )
     files, folders = [], []
     while not level.isEmpty():
+        hot = materialize(hot_keys(level, key, ROOTS_PER_GROUP), "hot")
         listed = materialize(
-            split_join(level, entries, key, ["root", "prefix"]).select(
+            split_join(level, entries, key, ["root", "prefix"], hot).select(
                 "repository_id",
                 "root",
                 F.concat("prefix", "tree_entry_name").alias("file_path"),

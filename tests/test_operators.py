@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from codestrata.operators.joins import natural_join, split_join
+from codestrata.dataset import Dataset
+from codestrata.operators.joins import hot_keys, natural_join, split_join
 from codestrata.operators.ordering import with_position
+from codestrata.plans import analyses
 
 
 def test_natural_join_uses_all_shared_columns(spark):
@@ -32,13 +34,37 @@ def test_positions_with_a_hot_group(spark):
     assert got.select(plain.columns).exceptAll(plain).isEmpty()
 
 
-def test_split_join_equals_plain_join(spark):
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("hot_by", [["k"], ["k", "j"]])
+def test_split_join_equals_plain_join(spark, how, hot_by):
     left = spark.range(6000).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 400).alias("k"),
+        (F.col("id") % 2).alias("j"),
         F.col("id").alias("v"),
     )
-    right = spark.range(1500).select((F.col("id") % 500).alias("k"), F.col("id").alias("w"))
-    got = split_join(left, right, ["k"], ["v"], rows_per_group=100)
-    plain = left.join(right, "k")
+    right = spark.range(1500).select(
+        (F.col("id") % 300).alias("k"), (F.col("id") % 2).alias("j"), F.col("id").alias("w")
+    )
+    hot = hot_keys(left, hot_by, 100)
+    assert not hot.isEmpty()
+    got = split_join(left, right, ["k", "j"], ["v"], hot, how)
+    plain = left.join(right, ["k", "j"], how)
     assert got.count() == plain.count()
     assert got.select(plain.columns).exceptAll(plain).isEmpty()
+
+
+def test_tables_are_the_same_with_split_keys(spark, ds):
+    split = Dataset(spark, ds.stored)
+    split.find_hot(commits_per_tree=1, files_per_blob=5)
+    assert "hot_blobs" in split.stored and "hot_blobs" not in ds.stored
+    # The star schema has one commit per tree: name some trees as shared.
+    trees = split.table("commits").select("repository_id", "tree_hash", F.lit(7).alias("groups"))
+    split.stored["hot_trees"] = trees.limit(500)
+    for name in ("files", "blobs", "commit_files", "commit_blobs", "commit_trees"):
+        got, plain = split.table(name), ds.table(name)
+        assert got.count() == plain.count()
+        assert got.exceptAll(plain).isEmpty()
+    calls = analyses.files_calling(split, "trim")
+    assert sorted(map(tuple, calls.collect())) == sorted(
+        map(tuple, analyses.files_calling(ds, "trim").collect())
+    )
