@@ -19,41 +19,62 @@ from codestrata.scratch import materialize
 # Lane positions per join group: bounds every group, however long the lane.
 SLICE = 1024
 
-_COMMIT = ["repository_id", "commit_hash"]
-_LABEL = ["repository_id", "ref_name", "commit_hash"]
-_LANE = ["repository_id", "ref_name", "lane"]
+_LABEL = ["ref", "node"]
+_LANE = ["ref", "lane"]
 
 
 def walk_history(commits: DataFrame, refs: DataFrame, slice_size: int = SLICE) -> DataFrame:
-    """``ref_commits`` of the given commits and refs."""
-    edges = parent_edges(commits)
+    """``ref_commits`` of the given commits and refs.
+
+    Commits and refs get numbers first: the rounds then move a few longs per
+    row instead of names and hashes.
+    """
+    nodes = materialize(
+        commits.select("repository_id", "commit_hash", "commit_parents").withColumn(
+            "node", F.monotonically_increasing_id()
+        ),
+        "nodes",
+    )
+    tips = materialize(
+        refs.join(nodes, ["repository_id", "commit_hash"])
+        .select("ref_name", F.col("node").alias("tip"))
+        .withColumn("ref", F.monotonically_increasing_id()),
+        "tips",
+    )
+    edges = materialize(parent_edges(nodes), "edges")
     lanes = materialize(
-        _with_lanes(commits, edges).withColumn("slice", F.floor(F.col("pos") / slice_size)),
-        "lanes",
+        _with_lanes(nodes, edges).withColumn("slice", F.floor(F.col("pos") / slice_size)), "lanes"
     )
     crossings = materialize(_crossings(edges, lanes), "crossings")
     entries = materialize(
-        refs.select(*_LABEL)
-        .join(lanes, _COMMIT)
-        .select(*_LANE, "pos", "slice", F.col("pos").alias("key")),
+        tips.join(lanes, F.col("tip") == F.col("node")).select(
+            *_LANE, "pos", "slice", F.col("pos").alias("key")
+        ),
         "entries",
     )
-    labels = None
+    labels = entries.select("ref", F.col("lane").alias("node"), F.col("key").alias("history_index"))
+    labels = labels.limit(0)
     while not entries.isEmpty():
         labels = materialize(_improve(labels, _spread(entries, lanes)), "labels")
         entries = materialize(_next_entries(labels, crossings, slice_size), "entries")
-    if labels is None:
-        labels = refs.select(*_LABEL, F.lit(0).cast("bigint").alias("history_index")).limit(0)
-    return labels.select("repository_id", "commit_hash", "ref_name", "history_index")
+    return (
+        labels.join(tips, "ref")
+        .join(nodes, "node")
+        .select("repository_id", "commit_hash", "ref_name", "history_index")
+    )
 
 
-def parent_edges(commits: DataFrame) -> DataFrame:
-    """``repository_id, commit_hash, nth, parent`` from the JSON list of parents."""
+def parent_edges(nodes: DataFrame) -> DataFrame:
+    """``node, nth, parent`` from the JSON list of parents; unknown parents are left out."""
     parents = F.from_json("commit_parents", "array<string>")
-    return commits.select(*_COMMIT, F.posexplode(parents).alias("nth", "parent"))
+    listed = nodes.select(
+        "repository_id", "node", F.posexplode(parents).alias("nth", "commit_hash")
+    )
+    known = nodes.select("repository_id", "commit_hash", F.col("node").alias("parent"))
+    return listed.join(known, ["repository_id", "commit_hash"]).select("node", "nth", "parent")
 
 
-def _with_lanes(commits: DataFrame, edges: DataFrame) -> DataFrame:
+def _with_lanes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Lane and position of each commit.
 
     First parents form a forest. A commit's lane is named by the deepest commit
@@ -61,34 +82,28 @@ def _with_lanes(commits: DataFrame, edges: DataFrame) -> DataFrame:
     Both come from doubling: after round k each commit knows its ancestor 2^k
     steps up and what lies less than 2^k steps below it.
     """
-    known = commits.select(*_COMMIT)
-    first = (
-        edges.where("nth = 0")
-        .join(known.withColumnRenamed("commit_hash", "parent"), ["repository_id", "parent"])
-        .select(*_COMMIT, F.col("parent").alias("up"))
-    )
-    nodes = materialize(
-        known.join(first, _COMMIT, "left").select(
-            *_COMMIT,
+    first = edges.where("nth = 0").select("node", F.col("parent").alias("up"))
+    doubled = materialize(
+        nodes.select("node")
+        .join(first, "node", "left")
+        .select(
+            "node",
             "up",
             F.col("up").isNotNull().cast("bigint").alias("pos"),
             F.struct(
-                F.lit(0).cast("bigint").alias("height"), F.col("commit_hash").alias("leaf")
+                F.lit(0).cast("bigint").alias("height"), F.col("node").alias("leaf")
             ).alias("deepest"),
         ),
         "doubling",
     )
     reach = 1
-    while not nodes.where("up IS NOT NULL").isEmpty():
-        above = nodes.select(
-            "repository_id",
-            F.col("commit_hash").alias("up"),
-            F.col("up").alias("next_up"),
-            F.col("pos").alias("pos_above"),
+    while not doubled.where("up IS NOT NULL").isEmpty():
+        above = doubled.select(
+            F.col("node").alias("up"), F.col("up").alias("next_up"), F.col("pos").alias("pos_above")
         )
         below = (
-            nodes.where("up IS NOT NULL")
-            .groupBy("repository_id", F.col("up").alias("commit_hash"))
+            doubled.where("up IS NOT NULL")
+            .groupBy(F.col("up").alias("node"))
             .agg(
                 F.max(
                     F.struct(
@@ -98,34 +113,30 @@ def _with_lanes(commits: DataFrame, edges: DataFrame) -> DataFrame:
                 ).alias("deepest_below")
             )
         )
-        nodes = materialize(
-            nodes.join(above, ["repository_id", "up"], "left")
-            .join(below, _COMMIT, "left")
+        doubled = materialize(
+            doubled.join(above, "up", "left")
+            .join(below, "node", "left")
             .select(
-                *_COMMIT,
+                "node",
                 F.col("next_up").alias("up"),
                 (F.col("pos") + F.coalesce("pos_above", F.lit(0))).alias("pos"),
-                F.greatest(
-                    "deepest", F.coalesce("deepest_below", "deepest")
-                ).alias("deepest"),
+                F.greatest("deepest", F.coalesce("deepest_below", "deepest")).alias("deepest"),
             ),
             "doubling",
         )
         reach *= 2
-    return nodes.select(*_COMMIT, "pos", F.col("deepest.leaf").alias("lane"))
+    return doubled.select("node", "pos", F.col("deepest.leaf").alias("lane"))
 
 
 def _crossings(edges: DataFrame, lanes: DataFrame) -> DataFrame:
-    """Parent edges that leave a lane: ``commit_hash`` to ``parent`` at ``lane, pos``."""
-    child = lanes.select(*_COMMIT, F.col("lane").alias("child_lane"))
-    parent = lanes.select(
-        "repository_id", F.col("commit_hash").alias("parent"), "lane", "pos"
-    )
+    """Parent edges that leave a lane: ``node`` to ``parent`` at ``lane, pos``."""
+    child = lanes.select("node", F.col("lane").alias("child_lane"))
+    parent = lanes.select(F.col("node").alias("parent"), "lane", "pos")
     return (
-        edges.join(child, _COMMIT)
-        .join(parent, ["repository_id", "parent"])
+        edges.join(child, "node")
+        .join(parent, "parent")
         .where("nth > 0 OR child_lane <> lane")
-        .select(*_COMMIT, "parent", "lane", "pos")
+        .select("node", "parent", "lane", "pos")
     )
 
 
@@ -149,14 +160,14 @@ def _spread(entries: DataFrame, lanes: DataFrame) -> DataFrame:
         .join(per_slice, [*_LANE, "slice"], "left")
         .select(*_LANE, "slice", F.min("slice_key").over(above).alias("carried"))
     )
-    placed = lanes.join(reached, ["repository_id", "lane", "slice"]).select(
-        *_LANE, "slice", "pos", "commit_hash", "carried", F.lit(None).cast("bigint").alias("key")
+    placed = lanes.join(reached, ["lane", "slice"]).select(
+        *_LANE, "slice", "pos", "node", "carried", F.lit(None).cast("bigint").alias("key")
     )
     entered = entries.select(
         *_LANE,
         "slice",
         "pos",
-        F.lit(None).cast("string").alias("commit_hash"),
+        F.lit(None).cast("bigint").alias("node"),
         F.lit(None).cast("bigint").alias("carried"),
         "key",
     )
@@ -168,20 +179,20 @@ def _spread(entries: DataFrame, lanes: DataFrame) -> DataFrame:
     return (
         placed.unionByName(entered)
         .withColumn("best", F.least(F.min("key").over(at_or_above), "carried"))
-        .where("commit_hash IS NOT NULL AND best IS NOT NULL")
+        .where("node IS NOT NULL AND best IS NOT NULL")
         .select(*_LABEL, (F.col("best") - F.col("pos")).alias("history_index"))
     )
 
 
-def _improve(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+def _improve(labels: DataFrame, found: DataFrame) -> DataFrame:
     """Least label of each commit, and whether this round lowered it."""
-    found = found.withColumn("old", F.lit(None).cast("bigint"))
-    if labels is not None:
-        found = found.unionByName(
-            labels.select(*_LABEL, "history_index", F.col("history_index").alias("old"))
-        )
-    least = F.min("history_index").alias("history_index")
-    merged = found.groupBy(*_LABEL).agg(least, F.min("old").alias("old"))
+    before = labels.select(*_LABEL, "history_index", F.col("history_index").alias("old"))
+    merged = (
+        found.withColumn("old", F.lit(None).cast("bigint"))
+        .unionByName(before)
+        .groupBy(*_LABEL)
+        .agg(F.min("history_index").alias("history_index"), F.min("old").alias("old"))
+    )
     return merged.select(
         *_LABEL,
         "history_index",
@@ -193,8 +204,8 @@ def _next_entries(labels: DataFrame, crossings: DataFrame, slice_size: int) -> D
     """Crossings from improved commits that lower the label they lead to."""
     led = (
         labels.where("improved")
-        .join(crossings, _COMMIT)
-        .groupBy("repository_id", "ref_name", F.col("parent").alias("commit_hash"), "lane", "pos")
+        .join(crossings, "node")
+        .groupBy("ref", F.col("parent").alias("node"), "lane", "pos")
         .agg((F.min("history_index") + 1).alias("distance"))
     )
     known = labels.select(*_LABEL, "history_index")
