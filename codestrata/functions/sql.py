@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import weakref
+
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from codestrata.functions.language import language_sql
 
 _NO_QUERY = ""
 
+# Sessions that have the functions.
+_registered: weakref.WeakSet[SparkSession] = weakref.WeakSet()
+
 
 def _uast(content: pd.Series, lang: pd.Series, query: pd.Series = None) -> pd.Series:
     """JSON array of the nodes selected (the whole tree without a query), as bytes.
@@ -43,6 +48,8 @@ def uast(content: Column, lang: Column, query: str | None = None) -> Column:
 
 
 def register_functions(spark: SparkSession) -> None:
+    if spark in _registered:
+        return
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION language(path STRING, content STRING) "
         f"RETURNS STRING RETURN {language_sql('path', 'content')}"
@@ -52,3 +59,4 @@ def register_functions(spark: SparkSession) -> None:
         "RETURNS INT RETURN json_array_length(x)"
     )
     spark.udf.register("uast", F.pandas_udf(_uast, "binary"))
+    _registered.add(spark)

@@ -28,12 +28,10 @@ def ds(spark):
 class Repo:
     """A git repository for tests."""
 
-    def __init__(self, path, bare=False):
+    def __init__(self, path, *options):
         self.path = str(path)
         os.makedirs(self.path, exist_ok=True)
-        subprocess.run(
-            ["git", "init", "-q", "-b", "main", *(["--bare"] if bare else []), self.path], check=True
-        )
+        subprocess.run(["git", "init", "-q", "-b", "main", *options, self.path], check=True)
         self.clock = 1_600_000_000
 
     def git(self, *arguments):

@@ -66,20 +66,22 @@ def world(spark, tmp_path_factory):
     os.symlink("LICENSE", f"{repo.path}/link")
     with open(os.path.join(repo.path.encode(), b"bad-\xff.txt"), "wb") as out:
         out.write(b"odd name")
-    repo.commit({}, "odd files")
+    Repo(root / "main" / "vendor" / "inner").commit({"in.json": "[]"})
+    repo.commit({}, "odd files and a repository within")
     repo.commit({}, "same tree again")
     repo.git("tag", "-a", "-m", "tag", "v1")
     repo.git("tag", "tree-tag", "HEAD^{tree}")
     repo.git("remote", "add", "origin", "https://example.com/main.git")
     other = Repo(root / "group" / "other")
     other.commit({"COPY": "free", "x.json": '{"k": [1, 2]}'})
+    Repo(root / "long", "--object-format=sha256").commit({"d/LICENSE": "free", "LICENSE": "free"})
     other.git("clone", "-q", "--bare", repo.path, str(root / "bare.git"))
     return repo, open_workdir(spark, str(root))
 
 
 def test_repositories_and_remotes(world):
     repo, ds = world
-    assert ids(ds) == ["bare.git", "group/other", "main"]
+    assert ids(ds) == ["bare.git", "group/other", "long", "main", "main/vendor/inner"]
     remotes = {tuple(r) for r in ds.table("remotes").collect()}
     assert ("main", "origin", "https://example.com/main.git") in remotes
     assert ("bare.git", "origin", repo.path) in remotes
@@ -141,6 +143,8 @@ def test_files_of_every_commit(world):
     for commit in repo.git("rev-list", "--all").split():
         for line in repo.git("-c", "core.quotePath=off", "ls-tree", "-r", "-z", commit).split("\0")[:-1]:
             meta, path = line.split("\t", 1)
+            if meta.split()[1] == "commit":
+                continue
             path = path.encode("utf-8", "surrogateescape").decode("utf-8", "backslashreplace")
             expected.add((commit, path, meta.split()[2]))
     files = ds.table("commit_files").where("repository_id = 'main'")
@@ -158,15 +162,25 @@ def test_trees(world):
     for commit in repo.git("rev-list", "--all").split():
         expected.add((commit, repo.git("rev-parse", f"{commit}^{{tree}}").strip()))
         for line in repo.git("ls-tree", "-r", "-d", commit).splitlines():
-            expected.add((commit, line.split()[2]))
+            if line.split()[1] == "tree":
+                expected.add((commit, line.split()[2]))
     got = ds.table("commit_trees").where("repository_id = 'main'").collect()
     assert sorted((r.commit_hash, r.tree_hash) for r in got) == sorted(expected)
     head_tree = repo.git("rev-parse", "HEAD^{tree}").strip()
     entries = ds.table("tree_entries").where(f"repository_id = 'main' AND tree_hash = '{head_tree}'")
     names = {r.tree_entry_name: r.tree_entry_mode for r in entries.collect()}
+    inner = ds.table("tree_entries").where("tree_entry_name = 'inner'").first()
+    assert inner.tree_entry_mode == "160000"
     assert names["src"] == "040000" and names["link"] == "120000" and names["LICENSE"] == "100644"
 
 
+def test_long_hashes(world):
+    _, ds = world
+    files = ds.table("files").where("repository_id = 'long'").collect()
+    assert sorted(r.file_path for r in files) == ["LICENSE", "d/LICENSE"]
+    assert all(len(r.blob_hash) == 64 and bytes(r.blob_content) == b"free" for r in files)
+
+
 def test_content_is_stored_once(world):
     repo, ds = world
     assert ds.contents.count() == ds.contents.select("blob_hash").distinct().count()
