@@ -40,9 +40,15 @@ def _uast_of(content, lang, query) -> bytes | None:
     return trees.render(tree, roots).encode()
 
 
+def _uast_function():
+    # Parsing is costly: declared so, Spark neither repeats it nor moves it
+    # below joins and filters that leave fewer texts.
+    return F.pandas_udf(_uast, "binary").asNondeterministic()
+
+
 def uast(content: Column, lang: Column, query: str | None = None) -> Column:
     """Tree of each text as JSON bytes; use on distinct blobs."""
-    function = F.pandas_udf(_uast, "binary")
+    function = _uast_function()
     arguments = [content.cast("binary"), lang]
     return function(*arguments) if query is None else function(*arguments, F.lit(query))
 
@@ -58,5 +64,5 @@ def register_functions(spark: SparkSession) -> None:
         "CREATE OR REPLACE TEMPORARY FUNCTION array_length(x STRING) "
         "RETURNS INT RETURN json_array_length(x)"
     )
-    spark.udf.register("uast", F.pandas_udf(_uast, "binary"))
+    spark.udf.register("uast", _uast_function())
     _registered.add(spark)

@@ -60,3 +60,16 @@ def test_clustered_copy_reads_fewer_rows(ds):
     found = copy.where(condition)
     assert "PushedFilters: [IsNotNull(repository_id), EqualTo(repository_id,repo-3)]" in plan_of(found)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.where(condition).collect()))
+
+
+def test_trees_are_parsed_once_and_after_joins(ds):
+    by_sql = ds.sql(
+        "SELECT * FROM (SELECT cf.file_path, UAST(f.blob_content, LANGUAGE(f.file_path, f.blob_content)) as uast "
+        "FROM ref_commits r NATURAL JOIN commit_files cf NATURAL JOIN files f "
+        "WHERE r.ref_name = 'HEAD' AND r.history_index = 0) t WHERE uast != ''"
+    )
+    for df in (by_sql, analyses.uast_at_head(ds)):
+        physical = plan_of(df).split("== Physical Plan ==")[1]
+        assert physical.count("ArrowEvalPython") == 1
+    physical = plan_of(by_sql).split("== Physical Plan ==")[1]
+    assert physical.index("ArrowEvalPython") < physical.index("Join")
