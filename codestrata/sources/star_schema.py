@@ -51,6 +51,8 @@ def build(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     history = _history(raw)
     tips = materialize(_tips(history), "tips")
     contents = materialize(_contents(raw), "contents")
+    # Classifying and sorting read the file lists more than once.
+    tree_files = materialize(_tree_files(raw, history), "tree_files")
     return {
         "repositories": repositories,
         "remotes": repositories.select(
@@ -65,7 +67,7 @@ def build(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         ),
         "ref_commits": _ref_commits(history, tips),
         "commits": _commits(history),
-        "tree_files": with_language(_tree_files(raw, history), contents),
+        "tree_files": with_language(tree_files, contents),
         "contents": contents,
     }
 
