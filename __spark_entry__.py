@@ -266,7 +266,10 @@ _add(
 # Syntax trees: every distinct blob, whole.
 
 _DISTINCT_FILES = "(SELECT DISTINCT blob_hash, language FROM languages)"
-_TAGS = "regexp_extract_all(regexp_replace({}, '<script>.*?</script>', '<script>', 'gs'), '<([a-z][a-z0-9]*)', 1)"
+_TAGS = (
+    "regexp_extract_all(regexp_replace({}, '<script>.*?</script>', '<script>', 'gs'), "
+    "'<([a-z][a-z0-9]*)', 1)"
+)
 
 
 def _count_by_blob(ds, language: str, path: str) -> DataFrame:
