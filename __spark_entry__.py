@@ -429,3 +429,14 @@ _add(
     analyses.committers,
     "SELECT commit_author_email AS author, count(*) AS num_commits FROM commits GROUP BY commit_author_email",
 )
+
+# Training-data operators, where they are installed.
+
+try:
+    from codestrata.llm import queries as _llm
+except ModuleNotFoundError as error:
+    if error.name not in ("codestrata.llm", "codestrata.llm.queries"):
+        raise
+else:
+    _QUERIES.update(_llm.QUERIES)
+    _ORACLES.update(_llm.ORACLES)
