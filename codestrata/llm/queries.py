@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from codestrata.llm import quality_rules
+from codestrata.llm import mixing, quality_rules, token_files
 
 QUERIES = {
+    "op4_token_files": token_files.token_files_of_documents,
     "op5_quality_rules": quality_rules.quality_of_documents,
+    "op7_mix_sources": mixing.mixed_documents,
 }
 
 ORACLES = {
     "op5_quality_rules": quality_rules.ORACLE_SQL,
+    "op7_mix_sources": mixing.ORACLE_SQL,
 }

@@ -7,12 +7,13 @@ hash of any word or window of words costs a subtraction and a multiplication.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
+from codestrata.llm.process import kept_in_process
+
 BLOCK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -37,25 +38,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=8)
 def _base(seed: int) -> tuple[int, int]:
     """An odd multiplier for ``seed`` and its inverse modulo 2**64."""
     base = int(mix(np.array([seed + 0x9E3779B97F4A7C15], np.uint64))[0]) | 5
     return base, pow(base, -1, 1 << 64)
 
 
-@lru_cache(maxsize=8)
-def _powers_up_to(base: int, size: int) -> np.ndarray:
-    powers = np.full(size, base, np.uint64)
-    powers[0] = 1
-    return np.multiply.accumulate(powers)
-
-
 def _powers(base: int, size: int) -> np.ndarray:
-    return _powers_up_to(base, 1 << max(12, (size - 1).bit_length()))[:size]
+    def make():
+        powers = np.full(rounded, base, np.uint64)
+        powers[0] = 1
+        return np.multiply.accumulate(powers)
+
+    rounded = 1 << max(12, (size - 1).bit_length())
+    if rounded > 2 * BLOCK_BYTES:
+        return make()[:size]
+    return kept_in_process(("powers", base, rounded), make)[:size]
 
 
-@lru_cache(maxsize=8)
 def _letters(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(2 * seed + 0x632BE59BD9B4E019))
 
