@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
-from codestrata.llm import mixing, quality_rules, token_files
+from codestrata.llm import (
+    language_id,
+    mixing,
+    packing,
+    quality_rules,
+    token_files,
+    topk_search,
+    toxicity,
+)
 
 QUERIES = {
+    "op2_language_id": language_id.languages_of_documents,
+    "op3_toxicity": toxicity.toxicity_of_documents,
     "op4_token_files": token_files.token_files_of_documents,
     "op5_quality_rules": quality_rules.quality_of_documents,
+    "op6_topk_search": topk_search.nearest_embeddings,
     "op7_mix_sources": mixing.mixed_documents,
+    "op10_packing": packing.packed_table,
 }
 
 ORACLES = {
     "op5_quality_rules": quality_rules.ORACLE_SQL,
+    "op6_topk_search": topk_search.ORACLE_SQL,
     "op7_mix_sources": mixing.ORACLE_SQL,
 }

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +41,7 @@ def text_slices(
     """
     for batch in batches:
         offsets = batch.column(column).cast(pa.large_binary()).fill_null(b"")
-        sizes = pa.compute.binary_length(offsets).to_pylist()
+        sizes = pc.binary_length(offsets).to_pylist()
         begin, total = 0, 0
         for row, size in enumerate(sizes):
             if row > begin and total + size > limit:
