@@ -5,20 +5,24 @@ from __future__ import annotations
 from codestrata.llm import (
     language_id,
     mixing,
+    near_dedup,
     packing,
     quality_rules,
+    substring_dedup,
     token_files,
     topk_search,
     toxicity,
 )
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.repeats_of_documents,
     "op2_language_id": language_id.languages_of_documents,
     "op3_toxicity": toxicity.toxicity_of_documents,
     "op4_token_files": token_files.token_files_of_documents,
     "op5_quality_rules": quality_rules.quality_of_documents,
     "op6_topk_search": topk_search.nearest_embeddings,
     "op7_mix_sources": mixing.mixed_documents,
+    "op9_near_dedup": near_dedup.near_duplicates_of_documents,
     "op10_packing": packing.packed_table,
 }
 
