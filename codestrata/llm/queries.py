@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from codestrata.llm import (
     language_id,
+    lattice_lm,
     mixing,
     near_dedup,
     packing,
@@ -22,6 +23,7 @@ QUERIES = {
     "op5_quality_rules": quality_rules.quality_of_documents,
     "op6_topk_search": topk_search.nearest_embeddings,
     "op7_mix_sources": mixing.mixed_documents,
+    "op8_lattice_lm": lattice_lm.scores_of_documents,
     "op9_near_dedup": near_dedup.near_duplicates_of_documents,
     "op10_packing": packing.packed_table,
 }
