@@ -103,8 +103,12 @@ def chunk_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
-    """``_id, n_shingles, node, signature`` of every row; node is null for an empty set."""
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
+    """``_id, _text_hash, n_shingles, node, signature`` of every row; node is null for an empty set."""
+    rows = docs.select(
+        F.col(id_column).alias("_id"),
+        F.xxhash64(text_column).alias("_text_hash"),
+        F.col(text_column).alias("_text"),
+    )
     kind = rows.schema["_id"].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,14 +117,16 @@ def described(docs: DataFrame, width: int, id_column: str, text_column: str) ->
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_id"),
+                    batch.column("_text_hash"),
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([_digest(x) for x in sets], pa.binary()),
                     pa.array([row.tobytes() for row in signatures(sets)], pa.binary()),
                 ],
-                names=["_id", "n_shingles", "node", "signature"],
+                names=["_id", "_text_hash", "n_shingles", "node", "signature"],
             )
 
-    return rows.mapInArrow(describe, f"_id {kind}, n_shingles bigint, node binary, signature binary")
+    schema = f"_id {kind}, _text_hash bigint, n_shingles bigint, node binary, signature binary"
+    return rows.mapInArrow(describe, schema)
 
 
 _ENTRIES = "bucket int, keys binary, nodes binary, links binary"
@@ -322,18 +328,10 @@ def _linked(sets, low: list[int], high: list[int], percent: int) -> Iterator[tup
             yield low[i], high[j]
 
 
-def near_duplicates(
-    docs: DataFrame,
-    width: int = 5,
-    percent: int = 80,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-) -> DataFrame:
-    """``id, n_shingles, component_id, kept`` for every row of ``docs``.
-
-    Two documents are linked if 100 times the intersection of their sets is at least
-    ``percent`` times the union.
-    """
+def _grouped(
+    docs: DataFrame, width: int, percent: int, id_column: str, text_column: str
+) -> tuple[DataFrame, DataFrame]:
+    """Described rows, and per node its ``group`` and the least id of that."""
     table = stored(described(docs, width, id_column, text_column), "near-described")
     nodes = (
         table.where("node IS NOT NULL")
@@ -353,14 +351,29 @@ def near_duplicates(
     )
     groups = components(links).join(nodes.select("node", "first_id"), "node")
     least = groups.groupBy("label").agg(F.min("first_id").alias("_least"))
-    grouped = groups.join(least, "label").select("node", "_least")
-    component = (
-        nodes.select("node", "first_id")
-        .join(grouped, "node", "left")
-        .select("node", F.coalesce("_least", "first_id").alias("_component"))
+    linked = groups.join(least, "label").select("node", "label", "_least")
+    all_groups = nodes.join(linked, "node", "left").select(
+        "node",
+        F.coalesce("label", "node").alias("group"),
+        F.coalesce("_least", "first_id").alias("_component"),
     )
-    component = stored(component, "near-components")
-    found = table.select("_id", "n_shingles", "node").join(component, "node", "left")
+    return table, stored(all_groups, "near-groups")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    width: int = 5,
+    percent: int = 80,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """``id, n_shingles, component_id, kept`` for every row of ``docs``.
+
+    Two documents are linked if 100 times the intersection of their sets is at least
+    ``percent`` times the union.
+    """
+    table, groups = _grouped(docs, width, percent, id_column, text_column)
+    found = table.join(groups, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("_component"))
     return found.select(
         F.col("_id").alias(id_column),
@@ -370,6 +383,40 @@ def near_duplicates(
     )
 
 
+def keep_one(
+    docs: DataFrame,
+    width: int = 5,
+    percent: int = 80,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` with one of each group, with all their columns.
+
+    The row with the least id stays, a null id last, equal ids by a hash of the
+    text; of rows equal in both one stays. Documents without words all stay.
+    """
+    table, groups = _grouped(docs, width, percent, id_column, text_column)
+    rows = table.join(groups.select("node", "group"), "node")
+    order = F.struct(F.col("_id").isNull().alias("last"), "_id", "_text_hash")
+    chosen = rows.groupBy("group").agg(F.min(order).alias("chosen"))
+    placed = rows.join(chosen, "group").select("_id", "_text_hash", (order == F.col("chosen")).alias("stays"))
+    placed = stored(placed, "near-placed")
+    own = [name for name in docs.columns]
+    keyed = docs.select(
+        *own, F.col(id_column).alias("_near_id"), F.xxhash64(text_column).alias("_near_hash")
+    )
+    gone = placed.where(~F.col("stays")).select("_id", "_text_hash").dropDuplicates()
+    same = F.col("_near_id").eqNullSafe(F.col("_id")) & (F.col("_near_hash") == F.col("_text_hash"))
+    kept = keyed.join(gone, same, "left_anti")
+    twice = placed.where("stays").groupBy("_id", "_text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    if not twice.isEmpty():
+        # Rows equal in id and text: one of each group's chosen rows.
+        repeated = kept.join(twice.select("_id", "_text_hash"), same, "left_semi")
+        single = kept.join(twice.select("_id", "_text_hash"), same, "left_anti")
+        kept = single.unionByName(repeated.dropDuplicates(["_near_id", "_near_hash"]))
+    return kept.select(*own)
+
+
 def near_duplicates_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query: three-word shingles, similarity 0.85."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=85)

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from codestrata.llm.process import kept_in_process
 
 #: Words kept per process; when full the table starts anew.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 200_000
 SEGMENT_CHARS = 1 << 20
 
 # Normalizer and word pattern of the file this is written for.

@@ -553,6 +553,23 @@ def toxicity(
     )
 
 
+def keep_clean(
+    docs: DataFrame,
+    labelled: DataFrame,
+    text_column: str = "text",
+    id_column: str = "doc_id",
+    label_column: str = "toxic",
+) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    model = train(labelled, id_column, text_column, label_column)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, text_column):
+            yield batch.filter(pa.array(score_texts(model, batch.column(text_column)) < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Texts of the documents that have a label and are not held out."""
     known = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", 5) != 0))
