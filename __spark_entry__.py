@@ -434,9 +434,14 @@ _add(
 
 try:
     from codestrata.llm import queries as _llm
+
+    import corpus_pipeline
 except ModuleNotFoundError as error:
-    if error.name not in ("codestrata.llm", "codestrata.llm.queries"):
+    if error.name not in ("codestrata.llm", "codestrata.llm.queries", "corpus_pipeline"):
         raise
 else:
     _QUERIES.update(_llm.QUERIES)
     _ORACLES.update(_llm.ORACLES)
+    _QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL is not None:
+        _ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
