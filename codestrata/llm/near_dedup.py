@@ -343,12 +343,10 @@ def _grouped(
         )
     )
     nodes = stored(nodes, "near-nodes")
-    candidates = components(stored(candidate_links(nodes), "near-candidates"))
+    candidates = components(candidate_links(nodes))
     members = candidates.join(nodes.select("node", "first_id", "n_shingles"), "node")
-    links = stored(
-        confirmed_links(docs, stored(members, "near-members"), width, percent, id_column, text_column),
-        "near-links",
-    )
+    members = stored(members, "near-members")
+    links = confirmed_links(docs, members, width, percent, id_column, text_column)
     groups = components(links).join(nodes.select("node", "first_id"), "node")
     least = groups.groupBy("label").agg(F.min("first_id").alias("_least"))
     linked = groups.join(least, "label").select("node", "label", "_least")
