@@ -176,7 +176,7 @@ def _by_document(places: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     new = np.ones(len(document), bool)
     new[1:] = (document[1:] != document[:-1]) | (text_hash[1:] != text_hash[:-1])
     begins = np.flatnonzero(new)
-    ends = np.append(begins[1:], len(document))
+    ends = np.append(begins, len(document))[1:]
     yield pa.RecordBatch.from_arrays(
         [
             pa.array(document[begins].astype(np.int64)),
