@@ -15,10 +15,10 @@ the same document or another. All words of repeated windows are removed.
    comparing pairs: a group of any size costs its members.
 4. Each document gets its repeated windows and drops the words they cover.
 
-Where hashes meet, each task has joined its own copies first and sends one entry
-per hash, so a passage in a third of all documents gives a partition no more
-entries than there are tasks. Texts are shuffled once, by document id; that
-exchange serves both joins.
+Where hashes meet, each task or block has joined its own copies first and sends one
+entry per hash, so a passage in a third of all documents gives a partition no more
+entries than there are tasks or blocks. Texts are dealt by document id to blocks of
+about ``BLOCK_BYTES``, once; that exchange serves both steps that look at places.
 
 Defined results: a null or empty text has no words. Rows are documents of their
 own, so equal rows repeat each other. Rows that share an id are told apart by their
@@ -29,7 +29,7 @@ never changed. Columns of the input are kept; ``n_words``, ``n_removed`` and
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codestrata.llm.tables import shuffle_partitions, text_slices
+from codestrata.llm.tables import blocks_of, shuffle_partitions, text_slices
 from codestrata.llm.word_hashes import mix, window_hashes, words_of
 
 WIDTH = 35
 BUCKETS_PER_PARTITION = 3
 ENTRIES_PER_FLUSH = 1 << 20
+BLOCK_BYTES = 8 << 20
 
 # Difference sets; every residue is a difference of two members.
 COVERS = {
@@ -55,6 +56,9 @@ COVERS = {
     57: (0, 1, 6, 15, 22, 26, 45, 55),
 }
 
+_BUCKET_COLUMNS = "bucket int, entries binary, settled binary"
+_BUCKETS = pa.schema([("bucket", pa.int32()), ("entries", pa.binary()), ("settled", pa.binary())])
+
 #: An entry: two parts of a hash, the document (id and text hash), the place, and
 #: whether the hash is already known to be shared.
 _PLACE = (("document", "<i8"), ("text_hash", "<i4"), ("place", "<i4"))
@@ -82,25 +86,12 @@ def _unpacked(parts: list[bytes], layout) -> dict[str, np.ndarray]:
     return {name: np.concatenate(values) for name, values in found.items()}
 
 
-def shared_places(
-    rows: DataFrame, entries_of: Callable[[pa.RecordBatch], dict[str, np.ndarray]], text_column: str
-) -> DataFrame:
-    """``_document, _found`` (list of text hash and places) whose hashes occur twice or more."""
-    partitions = shuffle_partitions(rows.sparkSession)
-    buckets = partitions * BUCKETS_PER_PARTITION
+def shared_places(entered: DataFrame, blocks: int) -> DataFrame:
+    """``_block, places``: the places of each block whose hashes occur twice or more.
 
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-        for batch in text_slices(batches, text_column):
-            entries = entries_of(batch)
-            if len(entries["low"]):
-                held.append(entries)
-                count += len(entries["low"])
-            if count >= ENTRIES_PER_FLUSH:
-                yield _joined_in_task(held, buckets)
-                held, count = [], 0
-        if held:
-            yield _joined_in_task(held, buckets)
+    ``entered`` has what tasks or blocks send to each bucket of hashes.
+    """
+    partitions = shuffle_partitions(entered.sparkSession)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, settled = [], []
@@ -108,13 +99,9 @@ def shared_places(
             entries += batch.column("entries").to_pylist()
             settled += batch.column("settled").to_pylist()
         if entries:
-            yield from _by_document(_meet(entries, settled))
+            yield _by_block(_meet(entries, settled), blocks)
 
-    entered = rows.mapInArrow(enter, "bucket int, entries binary, settled binary")
-    met = entered.repartition(partitions, "bucket").mapInArrow(
-        meet, "_document bigint, text_hash int, places binary"
-    )
-    return met.groupBy("_document").agg(F.collect_list(F.struct("text_hash", "places")).alias("_found"))
+    return entered.repartition(partitions, "bucket").mapInArrow(meet, "_block bigint, places binary")
 
 
 def _joined_in_task(held: list[dict[str, np.ndarray]], buckets: int) -> pa.RecordBatch:
@@ -170,23 +157,35 @@ def _meet(entries: list[bytes], settled: list[bytes]) -> dict[str, np.ndarray]:
     return {name: np.concatenate([columns[name][shared], passed[name]]) for name, _ in _PLACE}
 
 
-def _by_document(places: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((places["place"], places["text_hash"], places["document"]))
-    document, text_hash, place = (places[name][order] for name, _ in _PLACE)
-    new = np.ones(len(document), bool)
-    new[1:] = (document[1:] != document[:-1]) | (text_hash[1:] != text_hash[:-1])
-    begins = np.flatnonzero(new)
-    ends = np.append(begins, len(document))[1:]
-    yield pa.RecordBatch.from_arrays(
+def _by_block(places: dict[str, np.ndarray], blocks: int) -> pa.RecordBatch:
+    block = places["document"].astype(np.int64) % blocks
+    order = np.lexsort((places["place"], places["document"], block))
+    cuts = np.searchsorted(block[order], np.arange(blocks + 1))
+    filled = [number for number in range(blocks) if cuts[number] < cuts[number + 1]]
+    return pa.RecordBatch.from_arrays(
         [
-            pa.array(document[begins].astype(np.int64)),
-            pa.array(text_hash[begins].astype(np.int32)),
-            pa.array([place[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary()),
+            pa.array(filled, pa.int64()),
+            pa.array([_packed(places, _PLACE, order[cuts[n] : cuts[n + 1]]) for n in filled], pa.binary()),
         ],
-        names=["_document", "text_hash", "places"],
+        names=["_block", "places"],
     )
 
 
+class Found:
+    """The places found in the documents of a block."""
+
+    def __init__(self, rows: pa.Table):
+        columns = _unpacked([b"", *rows.column("places").to_pylist()], _PLACE)
+        order = np.argsort(columns["document"], kind="stable")
+        self.document, self.text_hash, self.place = (columns[name][order] for name, _ in _PLACE)
+
+    def of(self, document: int, text_hash: int | None) -> np.ndarray:
+        """Places in a document, of the text with this hash if one is given."""
+        begin, end = np.searchsorted(self.document, [document, document + 1])
+        places = self.place[begin:end]
+        return places if text_hash is None else places[self.text_hash[begin:end] == text_hash]
+
+
 def _entries(batch: pa.RecordBatch, words, starts: np.ndarray, low, high, with_text: bool) -> dict:
     """Entries for windows that start at the words ``starts`` of the batch."""
     owner = np.searchsorted(words.offsets, starts, "right") - 1
@@ -221,24 +220,24 @@ def anchor_entries(batch: pa.RecordBatch, text_column: str, width: int, period:
     return _entries(batch, words, at, hashes[at], np.zeros(len(at), np.uint32), with_text=False)
 
 
-def _marked(batch: pa.RecordBatch, words, with_text: bool) -> np.ndarray:
+def _marked(batch: pa.RecordBatch, words, found: Found, with_text: bool) -> np.ndarray:
     """Words of the batch at whose place something was found."""
-    marked = np.zeros(len(words.hashes) + 1, bool)
-    texts = batch.column("_text_hash").to_pylist()
-    for row, found in enumerate(batch.column("_found").to_pylist()):
+    marked = np.zeros(len(words.hashes), bool)
+    documents, texts = batch.column("_document").to_pylist(), batch.column("_text_hash").to_pylist()
+    for row, (document, text_hash) in enumerate(zip(documents, texts, strict=True)):
         begin, end = words.offsets[row], words.offsets[row + 1]
-        for part in found or ():
-            if not with_text or part["text_hash"] == texts[row]:
-                places = np.frombuffer(part["places"], "<i4") + begin
-                marked[places[places < end]] = True
-    return marked[:-1]
+        places = found.of(document, text_hash if with_text else None) + begin
+        marked[places[places < end]] = True
+    return marked
 
 
-def window_entries(batch: pa.RecordBatch, text_column: str, width: int, period: int) -> dict:
+def window_entries(
+    batch: pa.RecordBatch, found: Found, text_column: str, width: int, period: int
+) -> dict:
     """Windows around shared anchors."""
     words = words_of(batch.column(text_column))
     _, room = _room(words)
-    anchors = _marked(batch, words, with_text=False)
+    anchors = _marked(batch, words, found, with_text=False)
     # A window holds the anchors that start in its first ``period`` words.
     before = np.concatenate([[0], np.cumsum(anchors)])
     ends = np.minimum(np.arange(len(anchors)) + period, len(anchors))
@@ -249,10 +248,12 @@ def window_entries(batch: pa.RecordBatch, text_column: str, width: int, period:
     return _entries(batch, words, at, low[at], high[at].astype(np.uint32), with_text=True)
 
 
-def _kept(batch: pa.RecordBatch, text_column: str, width: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def _kept(
+    batch: pa.RecordBatch, found: Found, text_column: str, width: int
+) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Numbers of words and of removed words, and the kept words joined by blanks."""
     words = words_of(batch.column(text_column))
-    starts = _marked(batch, words, with_text=True)
+    starts = _marked(batch, words, found, with_text=True)
     steps = np.zeros(len(starts) + 1, np.int64)
     np.add.at(steps, np.flatnonzero(starts), 1)
     np.add.at(steps, np.minimum(np.flatnonzero(starts) + width, len(starts)), -1)
@@ -279,39 +280,58 @@ def remove_repeats(
     document = F.col(id_column).cast("bigint") if integral else F.xxhash64(id_column)
     # Never null, also to the planner: both joins then see the very same rows.
     document = F.coalesce(F.when(F.col(id_column).isNotNull(), document), F.xxhash64(text_column))
-    rows = docs.select(
-        *own, document.alias("_document"), F.hash(text_column).alias("_text_hash")
-    )
-    anchors = shared_places(
-        rows.select("_document", "_text_hash", text_column),
-        lambda batch: anchor_entries(batch, text_column, width, period),
-        text_column,
-    )
-    # All columns go into both joins: then their exchange of ``rows`` is one and the same.
-    windows = shared_places(
-        rows.join(anchors, "_document"),
-        lambda batch: window_entries(batch, text_column, width, period),
-        text_column,
-    )
-    joined = rows.join(windows, "_document", "left")
+    blocks = _prime(blocks_of(docs, text_column, BLOCK_BYTES))
+    rows = docs.select(*own, document.alias("_document"), F.hash(text_column).alias("_text_hash"))
+    blocked = rows.withColumn("_block", F.pmod("_document", F.lit(blocks)))
+    buckets = shuffle_partitions(docs.sparkSession) * BUCKETS_PER_PARTITION
 
-    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
         for batch in text_slices(batches, text_column):
-            n_words, n_removed, kept = _kept(batch, text_column, width)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(name) for name in own],
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_removed, pa.int64()),
-                    pa.array(kept, pa.binary()).cast(pa.string()),
-                ],
-                names=[*own, "n_words", "n_removed", "kept_text"],
-            )
+            held.append(anchor_entries(batch, text_column, width, period))
+            count += len(held[-1]["low"])
+            if count >= ENTRIES_PER_FLUSH:
+                yield _joined_in_task(held, buckets)
+                held, count = [], 0
+        if count:
+            yield _joined_in_task(held, buckets)
+
+    def enter_windows(texts, places):
+        found = Found(places)
+        slices = text_slices(texts.to_batches(), text_column)
+        held = [window_entries(batch, found, text_column, width, period) for batch in slices]
+        if not any(len(part["low"]) for part in held):
+            return _BUCKETS.empty_table()
+        return pa.Table.from_batches([_joined_in_task(held, buckets)])
 
     schema = T.StructType([docs.schema[name] for name in own])
     for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_text", "string")):
         schema = schema.add(name, kind)
-    return joined.mapInArrow(strip, schema)
+
+    def strip(texts, places):
+        found, out = Found(places), []
+        for batch in text_slices(texts.to_batches(), text_column):
+            n_words, n_removed, kept = _kept(batch, found, text_column, width)
+            arrays = [batch.column(name) for name in own]
+            arrays += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
+            arrays.append(pa.array(kept, pa.binary()).cast(pa.string()))
+            out.append(pa.RecordBatch.from_arrays(arrays, names=schema.names))
+        return pa.Table.from_batches(out) if out else pa.table({name: [] for name in schema.names})
+
+    texts = rows.select("_document", "_text_hash", text_column)
+    anchors = shared_places(texts.mapInArrow(enter, _BUCKET_COLUMNS), blocks)
+    by_block = blocked.groupBy("_block")
+    entered = by_block.cogroup(anchors.groupBy("_block")).applyInArrow(enter_windows, _BUCKET_COLUMNS)
+    windows = shared_places(entered, blocks)
+    return by_block.cogroup(windows.groupBy("_block")).applyInArrow(strip, schema)
+
+
+def _prime(least: int) -> int:
+    """The first prime from ``least`` on: ids with any regular step then fill all blocks."""
+    number = max(2, least)
+    while any(number % k == 0 for k in range(2, int(number**0.5) + 1)):
+        number += 1
+    return number
 
 
 def repeats_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
