@@ -46,6 +46,7 @@ SMOOTHING = 0.1
 BLOCK_BYTES = 8 << 20
 FLUSH_WORDS = 300_000
 CHUNK = 4096
+LONG_WORD = 64
 WORD_MARK = "▁"
 _NEVER = -1e30
 _SLOT_BITS = 20
@@ -57,6 +58,7 @@ class Pieces(NamedTuple):
     longest: int
     bytes_at: np.ndarray  # number of the piece that spells each byte
     tables: tuple[Table, Table]
+    by_text: dict[str, int]
     count: int
 
 
@@ -105,7 +107,8 @@ def _prepare(path: str) -> Pieces:
         raise ValueError(f"{path}: not every byte has a piece")
     hashes = np.array([_hash_text(text) for text in texts], np.uint64)
     tables = next(filter(None, (_tables(hashes, numbers, salt) for salt in range(64))))
-    return Pieces(max(map(len, texts), default=1), bytes_at, tables, size)
+    by_text = dict(zip(texts, numbers, strict=True))
+    return Pieces(max(map(len, texts), default=1), bytes_at, tables, by_text, size)
 
 
 class Table(NamedTuple):
@@ -164,13 +167,14 @@ class Lattice:
         np.cumsum(hashed, axis=0, out=self.sums[1:])
         self.inverse = _powers(_INVERSE, self.length)
         self.spelled = self._spelled()
+        self.edges = self._edges()
 
     def _bytes(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Numbers of the byte pieces of each character, byte after byte, and which have one."""
         codes = self.codes
         size = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
         lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])
-        for place in range(4):
+        for place in range(int(size.max(initial=0))):
             shift = 6 * (size - 1 - place)
             value = np.where(place == 0, (codes >> np.maximum(shift, 0)) | lead[size], 0x80 | ((codes >> np.maximum(shift, 0)) & 0x3F))
             yield self.pieces.bytes_at[np.minimum(value, 255)], size > place
@@ -187,45 +191,47 @@ class Lattice:
             number = np.where(table.hashes[slot] == value, table.numbers[slot], number)
         return number
 
-    def edges(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """begin, end, piece and weight, in order of the end."""
+    def _edges(self) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """For each end the begins, pieces and weights of what ends there in any word."""
+        out: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[]]
         for end in range(1, self.length + 1):
+            out.append([])
             for begin in range(max(0, end - self.pieces.longest), end):
                 number = self._piece(begin, end)
-                if (number >= 0).any():
-                    yield begin, end, number, np.where(number >= 0, self.weights[number], _NEVER)
+                has = number >= 0
+                if has.any():
+                    out[end].append((begin, number, np.where(has, self.weights[number], _NEVER)))
+        return out
 
     def forward(self) -> np.ndarray:
         """Logarithm of the summed probability of each prefix, a row per length."""
         ahead = np.full((self.length + 1, self.codes.shape[1]), _NEVER)
         ahead[0] = 0
         for end in range(1, self.length + 1):
-            # Byte spellings first, then every piece that ends here.
             terms = [ahead[end - 1] + self.spelled[end - 1]]
-            for begin in range(max(0, end - self.pieces.longest), end):
-                number = self._piece(begin, end)
-                if (number >= 0).any():
-                    terms.append(ahead[begin] + np.where(number >= 0, self.weights[number], _NEVER))
+            terms += [ahead[begin] + weight for begin, _, weight in self.edges[end]]
             ahead[end] = _log_sum(terms)
         return ahead
 
     def expected(self, times: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over all segmentations, words weighted by ``times``."""
-        ahead, edges = self.forward(), list(self.edges())
+        ahead = self.forward()
         back = np.full(ahead.shape, _NEVER)
         back[-1] = 0
         total, uses = ahead[-1], np.zeros(self.pieces.count)
         by_begin: dict[int, list] = {}
-        for edge in edges:
-            by_begin.setdefault(edge[0], []).append(edge)
+        for end, edges in enumerate(self.edges):
+            for begin, _, weight in edges:
+                by_begin.setdefault(begin, []).append((end, weight))
         for begin in range(self.length - 1, -1, -1):
             terms = [back[begin + 1] + self.spelled[begin]]
-            terms += [back[end] + weight for _, end, _, weight in by_begin.get(begin, [])]
+            terms += [back[end] + weight for end, weight in by_begin.get(begin, [])]
             back[begin] = _log_sum(terms)
-        for begin, end, number, weight in edges:
-            share = np.exp(ahead[begin] + weight + back[end] - total) * times
-            has = number >= 0
-            uses += np.bincount(number[has], share[has], self.pieces.count)
+        for end, edges in enumerate(self.edges):
+            for begin, number, weight in edges:
+                has = number >= 0
+                share = np.exp((ahead[begin] + weight + back[end] - total)[has]) * times[has]
+                np.add.at(uses, number[has], share)
         spelled = np.exp(ahead[:-1] + self.spelled + back[1:] - total) * times
         for number, has in self._bytes():
             uses += np.bincount(number[has], spelled[has], self.pieces.count)
@@ -233,20 +239,62 @@ class Lattice:
 
 
 def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
+    if len(terms) == 1:
+        return terms[0]
     stacked = np.stack(terms)
     most = stacked.max(0)
     return most + np.log(np.exp(stacked - most).sum(0))
 
 
+class LongWord:
+    """The lattice of one word of many characters, position by position."""
+
+    def __init__(self, pieces: Pieces, weights: np.ndarray, word: str):
+        text = WORD_MARK + word
+        self.pieces, self.length = pieces, len(text)
+        self.spelling = [[int(pieces.bytes_at[byte]) for byte in x.encode()] for x in text]
+        self.spelled = [float(weights[numbers].sum()) for numbers in self.spelling]
+        self.edges: list[list[tuple[int, int, float]]] = [[] for _ in range(self.length + 1)]
+        for begin in range(self.length):
+            for end in range(begin + 1, min(self.length, begin + pieces.longest) + 1):
+                number = pieces.by_text.get(text[begin:end])
+                if number is not None:
+                    self.edges[end].append((begin, number, float(weights[number])))
+
+    def forward(self) -> list[float]:
+        ahead = [0.0]
+        for end in range(1, self.length + 1):
+            terms = [ahead[-1] + self.spelled[end - 1]]
+            terms += [ahead[begin] + weight for begin, _, weight in self.edges[end]]
+            most = max(terms)
+            ahead.append(most + math.log(sum(math.exp(x - most) for x in terms)))
+        return ahead
+
+    def expected(self, times: float) -> np.ndarray:
+        ahead, uses = self.forward(), np.zeros(self.pieces.count)
+        back: list[list[float]] = [[] for _ in range(self.length)] + [[0.0]]
+        for end in range(self.length, 0, -1):
+            most = max(back[end])
+            after = most + math.log(sum(math.exp(x - most) for x in back[end]))
+            back[end - 1].append(after + self.spelled[end - 1])
+            share = times * math.exp(ahead[end - 1] + self.spelled[end - 1] + after - ahead[-1])
+            for number in self.spelling[end - 1]:
+                uses[number] += share
+            for begin, number, weight in self.edges[end]:
+                back[begin].append(after + weight)
+                uses[number] += times * math.exp(ahead[begin] + weight + after - ahead[-1])
+        return uses
+
+
 def _by_length(words: list[str]) -> Iterator[np.ndarray]:
-    """Places of words of equal length, at most ``CHUNK`` together."""
-    lengths = np.array([len(word) for word in words])
+    """Places of words of equal length, at most ``CHUNK`` together; long words are left out."""
+    lengths = np.array([len(word) for word in words], np.int64)
     order = np.argsort(lengths, kind="stable")
+    order = order[lengths[order] <= LONG_WORD]
     cuts = np.flatnonzero(np.diff(lengths[order])) + 1
     for group in np.split(order, cuts):
-        most = max(1, min(CHUNK, (CHUNK * 64) // max(1, int(lengths[group[0]]) if len(group) else 1)))
-        for begin in range(0, len(group), most):
-            yield group[begin : begin + most]
+        for begin in range(0, len(group), CHUNK):
+            yield group[begin : begin + CHUNK]
 
 
 def word_scores(vocabulary: Vocabulary, words: list[str]) -> np.ndarray:
@@ -254,6 +302,9 @@ def word_scores(vocabulary: Vocabulary, words: list[str]) -> np.ndarray:
     pieces, out = pieces_of(vocabulary.path), np.zeros(len(words))
     for group in _by_length(words):
         out[group] = Lattice(pieces, vocabulary.weights, [words[i] for i in group]).forward()[-1]
+    for place, word in enumerate(words):
+        if len(word) > LONG_WORD:
+            out[place] = LongWord(pieces, vocabulary.weights, word).forward()[-1]
     return out
 
 
@@ -312,6 +363,9 @@ def _expected_uses(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             for group in _by_length(texts):
                 lattice = Lattice(pieces, vocabulary.weights, [texts[i] for i in group])
                 uses += lattice.expected(times[group])
+            for text, number in zip(texts, times, strict=True):
+                if len(text) > LONG_WORD:
+                    uses += LongWord(pieces, vocabulary.weights, text).expected(number)
         used = np.flatnonzero(uses)
         yield pa.RecordBatch.from_arrays(
             [pa.array(used, pa.int32()), pa.array(uses[used])], names=["piece", "uses"]
