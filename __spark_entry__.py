@@ -20,6 +20,7 @@ from codestrata.operators.nodes import (  # noqa: E402
     nodes_by_blob,
     select_nodes,
     stored_nodes,
+    texts_without_tree,
     unsupported_languages,
 )
 from codestrata.plans import analyses  # noqa: E402
@@ -270,6 +271,12 @@ _TAGS = (
     "regexp_extract_all(regexp_replace({}, '<script>.*?</script>', '<script>', 'gs'), "
     "'<([a-z][a-z0-9]*)', 1)"
 )
+_COMMENTS = "len(regexp_extract_all(blob_content, '<!--(?s:.*?)-->'))"
+# Runs of text with a visible character; comments split text, a script is one run.
+_TEXTS = (
+    "len(regexp_extract_all(regexp_replace(regexp_replace(blob_content, '<!--.*?-->', '<!>', 'gs'), "
+    "'<script>.*?</script>', '<script>x</script>', 'gs'), '>[^<]*[^<\\s][^<]*'))"
+)
 
 
 def _count_by_blob(ds, language: str, path: str) -> DataFrame:
@@ -280,8 +287,7 @@ def _count_by_blob(ds, language: str, path: str) -> DataFrame:
 
 _add(
     "nodes_per_type",
-    lambda ds: stored_nodes(ds).groupBy("lang", "type").agg(F.count("*").alias("num_nodes"))
-    .where("type NOT IN ('String', 'Comment')"),
+    lambda ds: stored_nodes(ds).groupBy("lang", "type").agg(F.count("*").alias("num_nodes")),
     "SELECT lang, type, CAST(sum(n) AS BIGINT) AS num_nodes FROM ("
     "  SELECT 'python' AS lang, unnest(['Module', 'FunctionGroup', 'arguments', 'Argument', 'Return', "
     "    'List', 'Call', 'QualifiedIdentifier', 'Identifier']) AS type, "
@@ -291,10 +297,21 @@ _add(
     f"  FROM {_DISTINCT_FILES} l JOIN contents USING (blob_hash) WHERE language = 'JSON' "
     "  UNION ALL SELECT 'html', 'Document', 1 "
     f"  FROM {_DISTINCT_FILES} l JOIN contents USING (blob_hash) WHERE language = 'HTML' "
+    f"  UNION ALL SELECT 'html', unnest(['String', 'Comment']), unnest([{_TEXTS}, {_COMMENTS}]) "
+    f"  FROM {_DISTINCT_FILES} l JOIN contents USING (blob_hash) WHERE language = 'HTML'"
     f"  UNION ALL SELECT 'html', unnest({_TAGS.format('blob_content')}), 1 "
     f"  FROM {_DISTINCT_FILES} l JOIN contents USING (blob_hash) WHERE language = 'HTML'"
     ") x GROUP BY lang, type",
 )
+_add(
+    "blobs_parsed_or_reported",
+    lambda ds: stored_nodes(ds)
+    .where("parent_pre IS NULL")
+    .select("blob_hash", "lang")
+    .unionByName(texts_without_tree(ds).select("blob_hash", "lang")),
+    "SELECT blob_hash, lower(language) AS lang "
+    f"FROM {_DISTINCT_FILES} l WHERE language IN ('Python', 'HTML', 'JSON')",
+)
 _add(
     "functions_per_blob",
     lambda ds: _count_by_blob(ds, "Python", "//FunctionGroup"),

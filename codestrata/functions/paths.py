@@ -32,7 +32,7 @@ def steps_of(query: str) -> list[Step]:
         )
         steps.append(Step(match[1] == "//", None if match[2] == "*" else match[2], tests))
     if not steps or end != len(query):
-        raise ValueError(f"could not apply query {query}")
+        raise ValueError(f"not a path of nodes: {query}")
     return steps
 
 

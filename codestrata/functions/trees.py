@@ -11,8 +11,12 @@ from __future__ import annotations
 
 import ast
 import json
+import re
+import sys
 import warnings
+from collections import Counter
 from html.parser import HTMLParser
+from json.decoder import scanstring
 
 MODES = ("semantic", "annotated", "native")
 
@@ -27,7 +31,7 @@ VOID_ELEMENTS = frozenset(
 
 def check_mode(mode: str) -> str:
     if mode not in MODES:
-        raise ValueError(f"incorrect mode '{mode}'. Allowed values: {', '.join(MODES)}")
+        raise ValueError(f"mode must be one of {', '.join(MODES)}, not {mode!r}")
     return mode
 
 
@@ -97,18 +101,43 @@ def _clean(value: str) -> str:
 
 
 def parse(content: bytes | str | None, lang: str | None, mode: str = "semantic") -> Tree | None:
-    """The tree of ``content``, or None when there is no parser or no valid text."""
+    """The tree of ``content``, or None when there is no parser or no tree (``tree_or_reason``)."""
+    return tree_or_reason(content, lang, mode)[0]
+
+
+def tree_or_reason(
+    content: bytes | str | None, lang: str | None, mode: str = "semantic"
+) -> tuple[Tree | None, str | None]:
+    """The tree, or why there is none: ``no parser``, ``no content``, ``invalid``, ``too deep``.
+
+    Running out of memory is not a property of the text and is raised.
+    """
     parser = {"python": _python, "html": _html, "json": _json}.get((lang or "").lower())
-    if parser is None or content is None:
-        return None
+    if parser is None:
+        return None, "no parser"
+    if content is None:
+        return None, "no content"
     tree = Tree(mode)
+    # Integers of any length are valid in all three languages.
+    digits = sys.get_int_max_str_digits()
+    sys.set_int_max_str_digits(0)
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             parser(content.encode() if isinstance(content, str) else bytes(content), tree)
-    except (SyntaxError, ValueError, RecursionError, MemoryError, AssertionError):
-        return None
-    return tree
+    except RecursionError:
+        return None, "too deep"
+    except MemoryError as error:
+        # The Python grammar reports its own limit of nesting under this name.
+        if not str(error).startswith("Parser stack overflowed"):
+            raise
+        return None, "too deep"
+    except (SyntaxError, ValueError, AssertionError) as error:
+        deep = "too many nested" in str(error) or "too many levels" in str(error)
+        return None, "too deep" if deep else "invalid"
+    finally:
+        sys.set_int_max_str_digits(digits)
+    return tree, None
 
 
 # Python. Semantic types: FunctionGroup, Function, Identifier,
@@ -222,10 +251,7 @@ def _open_python(node: ast.AST, role: tuple, tree: Tree) -> list:
 def _literal(value) -> str:
     if isinstance(value, str):
         return _clean(value)
-    try:
-        return repr(value)
-    except ValueError:  # an integer too long for decimal digits
-        return hex(value)
+    return repr(value)
 
 
 def _literal_type(value) -> str:
@@ -244,6 +270,7 @@ class _HtmlReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tree = tree
         self.tags: list[str] = []
+        self.open_tags: Counter[str] = Counter()
 
     def _line(self) -> int:
         return self.getpos()[0]
@@ -259,16 +286,18 @@ class _HtmlReader(HTMLParser):
             self.tree.close()
         else:
             self.tags.append(tag)
+            self.open_tags[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self._element(tag, attrs)
         self.tree.close()
 
     def handle_endtag(self, tag):
-        if tag in self.tags:
+        if self.open_tags[tag]:
             closed = None
             while closed != tag:
                 closed = self.tags.pop()
+                self.open_tags[closed] -= 1
                 self.tree.close(self._line())
 
     def handle_data(self, data):
@@ -307,51 +336,88 @@ _JSON_NATIVE = {
 }
 
 
-class _Pairs(list):
-    """Members of an object: keeps order and repeated names."""
+_JSON_SPACE = re.compile(r"[ \t\n\r]*")
+_JSON_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?")
+_JSON_NAMES = {"true": ("Bool", "Boolean"), "false": ("Bool", "Boolean"), "null": ("Null", "Null")}
 
 
 def _json(content: bytes, tree: Tree) -> None:
-    def refuse(constant):
-        raise ValueError(constant)
-
-    value = json.loads(
-        content,
-        object_pairs_hook=_Pairs,
-        parse_int=lambda digits: digits.encode(),
-        parse_float=lambda digits: digits.encode(),
-        parse_constant=refuse,
-    )
-
-    def open_node(kind, roles, attrs=(), token=None):
-        tree.open(kind if tree.semantic else _JSON_NATIVE[kind], roles, attrs, token)
-
-    pending: list = [(value, None)]
-    while pending:
-        step = pending.pop()
-        if step is None:
+    """One pass over the text; depth costs a list entry, not a stack frame."""
+    text = content.decode(json.detect_encoding(content), "surrogatepass")
+    closers: list[str] = []  # of the open maps and lists
+    at = _json_value(text, _JSON_SPACE.match(text).end(), tree, closers)
+    while closers:
+        at = _JSON_SPACE.match(text, at).end()
+        mark = text[at : at + 1]
+        if closers[-1] == "}":
+            tree.close()  # the pair
+        if mark == closers[-1]:
+            closers.pop()
             tree.close()
+            at += 1
+        elif mark == ",":
+            at = _JSON_SPACE.match(text, at + 1).end()
+            at = _json_member(text, at, tree, closers)
+        else:
+            raise ValueError(f"expected , or {closers[-1]} at {at}")
+    if _JSON_SPACE.match(text, at).end() != len(text):
+        raise ValueError(f"text after the value at {at}")
+
+
+def _json_member(text: str, at: int, tree: Tree, closers: list[str]) -> int:
+    """Read the next member of the innermost list or map (see ``_json_value``)."""
+    if closers[-1] == "}":
+        at = _json_name(text, at, tree)
+    return _json_value(text, at, tree, closers)
+
+
+def _json_name(text: str, at: int, tree: Tree) -> int:
+    """Open a pair with its name; gives the place of its value."""
+    if text[at : at + 1] != '"':
+        raise ValueError(f"expected a name at {at}")
+    name, at = scanstring(text, at + 1, True)
+    at = _JSON_SPACE.match(text, at).end()
+    if text[at : at + 1] != ":":
+        raise ValueError(f"expected : at {at}")
+    name = _clean(name)
+    _json_open(tree, "Pair", ("Key",), (("Name", name),), name)
+    return _JSON_SPACE.match(text, at + 1).end()
+
+
+def _json_open(tree: Tree, kind: str, roles, attrs=(), token=None) -> None:
+    tree.open(kind if tree.semantic else _JSON_NATIVE[kind], roles, attrs, token)
+
+
+def _json_value(text: str, at: int, tree: Tree, closers: list[str]) -> int:
+    """Read a value; of a map or list only as far as its first leaf."""
+    while True:
+        mark = text[at : at + 1]
+        if mark in ("{", "["):
+            kind, closer = ("Map", "}") if mark == "{" else ("List", "]")
+            _json_open(tree, kind, (kind,))
+            at = _JSON_SPACE.match(text, at + 1).end()
+            if text[at : at + 1] == closer:
+                tree.close()
+                return at + 1
+            closers.append(closer)
+            if closer == "}":
+                at = _json_name(text, at, tree)
             continue
-        value, member = step
-        pending.append(None)
-        if member is not None:
-            name = _clean(member)
-            open_node("Pair", ("Key",), (("Name", name),), name)
-            pending.append((value, None))
-        elif isinstance(value, _Pairs):
-            open_node("Map", ("Map",))
-            pending.extend((inner, name) for name, inner in reversed(value))
-        elif isinstance(value, list):
-            open_node("List", ("List",))
-            pending.extend((inner, None) for inner in reversed(value))
-        elif isinstance(value, bytes):  # digits as written
-            open_node("Number", ("Literal", "Number"), (), value.decode())
-        elif isinstance(value, bool):
-            open_node("Bool", ("Literal", "Boolean"), (), str(value).lower())
-        elif value is None:
-            open_node("Null", ("Literal", "Null"), (), "null")
+        if mark == '"':
+            value, at = scanstring(text, at + 1, True)
+            _json_open(tree, "String", ("Literal", "String"), (), _clean(value))
+        elif number := _JSON_NUMBER.match(text, at):
+            _json_open(tree, "Number", ("Literal", "Number"), (), number[0])
+            at = number.end()
         else:
-            open_node("String", ("Literal", "String"), (), _clean(value))
+            name = next((name for name in _JSON_NAMES if text.startswith(name, at)), None)
+            if name is None:
+                raise ValueError(f"no value at {at}")
+            kind, role = _JSON_NAMES[name]
+            _json_open(tree, kind, ("Literal", role), (), name)
+            at += len(name)
+        tree.close()
+        return at
 
 
 # Nodes as JSON text.

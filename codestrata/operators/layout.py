@@ -3,30 +3,48 @@
 A copy is sorted on chosen columns, so a filter on them reaches Parquet as a
 pushed filter and skips files and row groups by their statistics and Bloom
 filters. A copy belongs to one dataset, stays when another dataset is opened,
-and is rebuilt only on request.
+and is rebuilt only on request. Which copies there are is noted beside them, so
+any session that opens the dataset's folder finds them.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
 from codestrata.dataset import Dataset
-from codestrata.scratch import write_clustered
+from codestrata.scratch import note, notes, write_clustered
 
-# (dataset folder, table, columns) -> path of the current copy.
-_copies: dict[tuple[str, str, tuple[str, ...]], str] = {}
+
+def copies(ds: Dataset) -> dict[tuple[str, tuple[str, ...]], str]:
+    """Paths of the dataset's copies by table and columns."""
+    found: dict[tuple[str, tuple[str, ...]], str | None] = {}
+    for row in notes(ds.spark, f"{ds.folder}/copies"):  # the latest comes first
+        found.setdefault((row["name"], tuple(json.loads(row["info"]))), row["path"])
+    return {key: path for key, path in found.items() if path is not None}
 
 
 def clustered(
     ds: Dataset, table: str, columns: Sequence[str], rebuild: bool = False
 ) -> DataFrame:
     """The copy of ``table`` clustered on ``columns``; made on first use or ``rebuild``."""
-    key = (ds.folder, table, tuple(columns))
-    if rebuild or key not in _copies:
+    path = None if rebuild else copies(ds).get((table, tuple(columns)))
+    if path is None:
         path = f"{ds.folder}/clustered/{table}-{'-'.join(columns)}-{uuid.uuid4().hex}"
         write_clustered(ds.table(table), columns, path, bloom_filters=True)
-        _copies[key] = path
-    return ds.spark.read.parquet(_copies[key])
+        _note(ds, table, columns, path)
+    return ds.spark.read.parquet(path)
+
+
+def drop_copy(ds: Dataset, table: str, columns: Sequence[str]) -> None:
+    """Forget a copy; queries that opened it keep its files."""
+    if (table, tuple(columns)) not in copies(ds):
+        raise KeyError(f"no copy of {table} on {', '.join(columns)}")
+    _note(ds, table, columns, None)
+
+
+def _note(ds: Dataset, table: str, columns: Sequence[str], path: str | None) -> None:
+    note(ds.spark, f"{ds.folder}/copies", [(table, path, json.dumps(list(columns)))])

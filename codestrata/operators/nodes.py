@@ -71,6 +71,13 @@ def code_nodes(
     mode: str = "semantic",
 ) -> DataFrame:
     """Nodes of each distinct blob of ``files`` (default: all files), parsed once."""
+    return _parsed(ds, files, languages, mode).where("pre >= 0")
+
+
+def _parsed(
+    ds: Dataset, files: DataFrame | None, languages: Iterable[str] | None, mode: str
+) -> DataFrame:
+    """Nodes, and for a text without a tree one row with ``pre`` -1 and the reason as token."""
     check_mode(mode)
     blobs = parsable_blobs(ds, ds.classified_files if files is None else files, languages)
     return blobs.mapInArrow(_node_reader(mode), NODE_COLUMNS)
@@ -81,9 +88,21 @@ def stored_nodes(ds: Dataset) -> DataFrame:
 
     One folder per language, so a filter on ``lang`` prunes the others.
     """
+    return _stored(ds).where("pre >= 0")
+
+
+def texts_without_tree(ds: Dataset) -> DataFrame:
+    """``blob_hash, lang, reason`` of the texts in ``stored_nodes`` that gave no tree.
+
+    Every blob with a parser is either there or here.
+    """
+    return _stored(ds).where("pre < 0").select(*BLOB_KEY, F.col("token").alias("reason"))
+
+
+def _stored(ds: Dataset) -> DataFrame:
     if "code_nodes" not in ds.stored:
         path = f"{ds.folder}/code_nodes-{uuid.uuid4().hex}"
-        nodes = code_nodes(ds)
+        nodes = _parsed(ds, None, None, "semantic")
         nodes.write.partitionBy("lang").parquet(path)
         stored = ds.spark.read.schema(nodes.schema).parquet(path)
         ds.stored["code_nodes"] = stored.select(*nodes.columns)
@@ -91,7 +110,7 @@ def stored_nodes(ds: Dataset) -> DataFrame:
 
 
 def _node_reader(mode: str):
-    parse, rows_per_batch = trees.parse, _ROWS_PER_BATCH
+    parse, rows_per_batch = trees.tree_or_reason, _ROWS_PER_BATCH
     schema = pa.schema(
         [
             ("blob_hash", pa.string()),
@@ -132,7 +151,12 @@ def _node_reader(mode: str):
         rows: dict[str, list] = {name: [] for name in schema.names}
         texts = (text for batch in batches for text in zip(*batch.columns, strict=True))
         for blob_hash, lang, content in texts:
-            tree = parse(content.as_py(), lang.as_py(), mode)
+            tree, reason = parse(content.as_py(), lang.as_py(), mode)
+            if tree is None:
+                none = {"blob_hash": blob_hash.as_py(), "lang": lang.as_py(), "type": "", "token": reason}
+                none |= {"pre": -1, "post": -1, "depth": 0, "roles": (), "attrs": ()}
+                for name in schema.names:
+                    rows[name].append(none.get(name))
             for start in range(0, len(tree) if tree else 0, rows_per_batch):
                 end = min(start + rows_per_batch, len(tree))
                 rows["blob_hash"] += [blob_hash.as_py()] * (end - start)
@@ -243,12 +267,10 @@ def nodes_by_blob(nodes: DataFrame) -> DataFrame:
 
     A group holds the selected nodes of one text, never those of its copies.
     """
-    entry = F.struct("pre", "type", "roles", "attrs", "token", "start_line", "end_line")
-    ordered = F.array_sort(
-        F.collect_list(entry), lambda a, b: (a["pre"] - b["pre"]).cast("int")
-    )
+    entry = F.struct("pre", node_json().alias("node"))
+    texts = F.transform(F.sort_array(F.collect_list(entry)), lambda n: n["node"])
     return nodes.groupBy(*BLOB_KEY).agg(
-        F.to_json(F.transform(ordered, lambda n: n.dropFields("pre"))).alias("nodes")
+        F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")).alias("nodes")
     )
 
 
@@ -273,8 +295,5 @@ def unsupported_languages(ds: Dataset, files: DataFrame | None = None) -> DataFr
 def check_supported(language: str) -> str:
     """Parser name for a language; the error lists the supported ones."""
     if language.lower() not in PARSERS:
-        names = "', '".join(PARSERS)
-        raise ValueError(
-            f"language '{language}' is not supported, currently supported languages are: '{names}'"
-        )
+        raise ValueError(f"no parser for {language}; there are {', '.join(sorted(PARSERS))}")
     return language.lower()

@@ -6,11 +6,14 @@ A lost executor therefore never takes written intermediate results with it.
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
 import uuid
 import weakref
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ def scratch_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="codestrata-")
         context.setCheckpointDir(base)
@@ -65,3 +68,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def is_materialized(df: DataFrame) -> bool:
     """Whether ``df`` is just what ``materialize`` returned."""
     return df in _written
+
+
+_NOTE = "name string, path string, info string, entry string, at double"
+
+
+def note(spark: SparkSession, folder: str, rows: Sequence[tuple[str, str | None, str]]) -> None:
+    """Add an entry of ``(name, path, info)`` rows to the notes in ``folder``.
+
+    An entry is one committed file, written last, so a half-written one is never read.
+    """
+    entry, at = uuid.uuid4().hex, time.time()
+    noted = spark.createDataFrame([(*row, entry, at) for row in rows], _NOTE)
+    noted.coalesce(1).write.json(f"{folder}/{entry}")
+
+
+def notes(spark: SparkSession, folder: str) -> list:
+    """Rows of all entries in ``folder``, the latest entry first; none if nothing was noted."""
+    try:
+        found = spark.read.schema(_NOTE).json(f"{folder}/*")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return found.orderBy(F.col("at").desc(), "entry", "name").collect()

@@ -3,19 +3,33 @@
 A snapshot is replaced as a whole and never updated, so running queries keep
 what they started with. Its folder is named by a digest of the source, which
 keeps the data of several work directories side by side.
+
+With a ``store`` the folder outlives the application: a manifest, written last,
+names the relations of the newest complete snapshot, and another session or
+application opens it without reading the source.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from codestrata.dataset import Dataset
-from codestrata.scratch import is_materialized, scratch_root, write_clustered, write_table
+from codestrata.scratch import (
+    is_materialized,
+    materialize,
+    note,
+    notes,
+    scratch_root,
+    write_clustered,
+    write_table,
+)
 
 # Sort order of the large tables: the columns questions filter on by value.
 CLUSTERED_ON = {
@@ -23,16 +37,16 @@ CLUSTERED_ON = {
     "tree_files": ("file_path", "repository_id"),
 }
 
-# Snapshots opened by this application: (application, source) -> dataset.
-_opened: dict[tuple[str, str], Dataset] = {}
+# Snapshots opened by this application: (application, source, store) -> dataset.
+_opened: dict[tuple[str, str, str | None], Dataset] = {}
 
 
 def source_key(source: str) -> str:
     return hashlib.sha1(source.encode()).hexdigest()
 
 
-def source_folder(spark: SparkSession, source: str) -> str:
-    return f"{scratch_root(spark)}/{source_key(source)}"
+def source_folder(spark: SparkSession, source: str, store: str | None = None) -> str:
+    return f"{store.rstrip('/') if store else scratch_root(spark)}/{source_key(source)}"
 
 
 def open_snapshot(
@@ -40,24 +54,60 @@ def open_snapshot(
     source: str,
     build: Callable[[SparkSession, str], Mapping[str, DataFrame]],
     refresh: bool = False,
+    store: str | None = None,
 ) -> Dataset:
-    """The snapshot of ``source``: built on first use, rebuilt only on ``refresh``."""
-    key = (spark.sparkContext.applicationId, source)
-    if refresh or key not in _opened or _opened[key].spark is not spark:
-        home = source_folder(spark, source)
-        folder = f"{home}/snapshot-{uuid.uuid4().hex}"
-        relations = build(spark, source)
-
-        def stored(item: tuple[str, DataFrame]) -> DataFrame:
-            name, df = item
-            if name in CLUSTERED_ON:
-                return write_clustered(df, CLUSTERED_ON[name], f"{folder}/{name}")
-            return df if is_materialized(df) else write_table(df, f"{folder}/{name}")
-
-        # The writes are independent jobs: small ones fill the gaps of large ones.
-        with ThreadPoolExecutor(max_workers=4) as pool:
-            written = pool.map(stored, relations.items())
-            dataset = Dataset(spark, dict(zip(relations, written, strict=True)), home)
-        dataset.find_hot()
-        _opened[key] = dataset
-    return _opened[key]
+    """The snapshot of ``source``: built on first use, rebuilt only on ``refresh``.
+
+    ``store`` is a folder every executor reaches; what is there is opened again.
+    """
+    key = (spark.sparkContext.applicationId, source, store)
+    known = _opened.get(key)
+    if not refresh and known is not None and known.spark is spark:
+        return known
+    home = source_folder(spark, source, store)
+    dataset = _reopened(spark, home) if store and not refresh else None
+    if dataset is None:
+        dataset = _built(spark, source, build, home, bool(store))
+    _opened[key] = dataset
+    return dataset
+
+
+def _built(spark: SparkSession, source: str, build, home: str, durable: bool) -> Dataset:
+    folder = f"{home}/snapshot-{uuid.uuid4().hex}"
+    relations = build(spark, source)
+
+    def stored(item: tuple[str, DataFrame]) -> DataFrame:
+        name, df = item
+        if name in CLUSTERED_ON:
+            # Range partitioning samples its input first: without a table it would run twice.
+            df = df if is_materialized(df) else materialize(df, name)
+            return write_clustered(df, CLUSTERED_ON[name], f"{folder}/{name}")
+        # Steps of this application do not outlive it.
+        return df if is_materialized(df) and not durable else write_table(df, f"{folder}/{name}")
+
+    # The writes are independent jobs: small ones fill the gaps of large ones.
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        written = pool.map(stored, relations.items())
+        dataset = Dataset(spark, dict(zip(relations, written, strict=True)), home)
+    dataset.find_hot()
+    if durable:
+        rows = []
+        for name, df in dataset.stored.items():
+            if name not in relations:
+                dataset.stored[name] = df = write_table(df, f"{folder}/{name}")
+            rows.append((name, f"{folder}/{name}", df.schema.json()))
+        note(spark, f"{home}/snapshots", rows)
+    return dataset
+
+
+def _reopened(spark: SparkSession, home: str) -> Dataset | None:
+    """The newest complete snapshot below ``home``, if there is one."""
+    rows = notes(spark, f"{home}/snapshots")
+    if not rows:
+        return None
+    stored = {
+        row["name"]: spark.read.schema(T.StructType.fromJson(json.loads(row["info"]))).parquet(row["path"])
+        for row in rows
+        if row["entry"] == rows[0]["entry"]
+    }
+    return Dataset(spark, stored, home)

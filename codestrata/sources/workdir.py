@@ -91,16 +91,20 @@ _SPARK_TYPES = {
 
 
 def open_workdir(
-    spark: SparkSession, workdir: str | None = None, refresh: bool = False
+    spark: SparkSession,
+    workdir: str | None = None,
+    refresh: bool = False,
+    store: str | None = None,
 ) -> Dataset:
     """The dataset of a work directory (default: the current one).
 
-    It is a snapshot: repositories added later appear after ``refresh``.
+    It is a snapshot: repositories added later appear after ``refresh``. With a
+    ``store`` folder the snapshot is kept there and opened again by later applications.
     """
     root = os.path.realpath(workdir if workdir is not None else os.getcwd())
     if not os.path.isdir(root):
-        raise NotADirectoryError(f"{workdir} is not a valid working directory")
-    return open_snapshot(spark, root, build, refresh)
+        raise NotADirectoryError(f"no directory: {workdir}")
+    return open_snapshot(spark, root, build, refresh, store)
 
 
 def build(spark: SparkSession, root: str) -> dict[str, DataFrame]:

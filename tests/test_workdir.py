@@ -1,8 +1,10 @@
 import os
+import subprocess
+import sys
 
 import pytest
 
-from codestrata.operators.layout import clustered
+from codestrata.operators.layout import clustered, drop_copy
 from codestrata.plans import analyses
 from codestrata.sources.workdir import open_workdir
 
@@ -229,3 +231,37 @@ def test_documented_sql(world):
     )
     top = analyses.top_repositories_by_files(ds)
     assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, top.collect()))
+
+
+REOPEN = """
+import sys
+sys.path.insert(0, {root!r})
+from codestrata.operators.layout import clustered, copies
+from codestrata.session import local_session
+from codestrata.sources import workdir
+workdir.build = None  # must not be needed
+spark = local_session("reopen", 2)
+ds = workdir.open_workdir(spark, {source!r}, store={store!r})
+assert list(copies(ds)) == [("commits", ("commit_hash",))], copies(ds)
+print("FOUND", ds.table("commits").count(), ds.table("files").count(), clustered(ds, "commits", ["commit_hash"]).count())
+"""
+
+
+def test_stored_snapshot_is_opened_by_another_application(spark, tmp_path, make_repo):
+    repo = make_repo(tmp_path / "work" / "repo")
+    repo.commit({"a.py": "x = 1", "b.json": "[1]"})
+    source, store = str(tmp_path / "work"), str(tmp_path / "store")
+    ds = open_workdir(spark, source, store=store)
+    clustered(ds, "commits", ["commit_hash"])
+    clustered(ds, "refs", ["ref_name"])
+    drop_copy(ds, "refs", ["ref_name"])
+    repo.commit({"a.py": "x = 2"})
+    script = REOPEN.format(root=os.path.dirname(os.path.dirname(__file__)), source=source, store=store)
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=200)
+    assert "FOUND 1 2 1" in done.stdout, done.stderr[-2000:]
+    other = spark.newSession()
+    assert open_workdir(other, source, store=store).table("commits").count() == 1
+    assert open_workdir(spark, source, refresh=True, store=store).table("commits").count() == 2
+    assert open_workdir(other, source, store=store).table("commits").count() in (1, 2)
+    with pytest.raises(KeyError):
+        drop_copy(ds, "refs", ["ref_name"])
