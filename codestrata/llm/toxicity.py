@@ -336,17 +336,29 @@ def _spelled(words, short: np.ndarray) -> Iterator[tuple[int, str]]:
 
 
 def train(
-    labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic"
+    docs: DataFrame,
+    labels: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    label_column: str = "toxic",
 ) -> Model:
-    """Fit on a bounded sample of ``labelled`` rows with label 0 or 1."""
-    rows = labelled.where(F.col(label_column).isin(0, 1) & F.col(text_column).isNotNull()).select(
+    """Fit on the texts in ``docs`` of a bounded sample of ``labels`` (id, 0 or 1).
+
+    The sample is drawn from the labels alone; its at most ``SAMPLE_TOXIC +
+    SAMPLE_CLEAN`` ids are broadcast, so texts are not shuffled to find theirs.
+    """
+    known = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).select(
         F.col(label_column).cast("int").alias("_label"),
         F.xxhash64(F.col(id_column)).alias("_key"),
-        F.col(text_column).alias("_text"),
+        F.col(id_column).alias("_id"),
+    )
+    toxic = sample_per_class(known.where("_label = 1"), "_label", "_key", SAMPLE_TOXIC, 1)
+    clean = sample_per_class(known.where("_label = 0"), "_label", "_key", SAMPLE_CLEAN, 1)
+    chosen = stored(toxic.unionByName(clean), "toxicity-labels")
+    texts = docs.where(F.col(text_column).isNotNull()).select(
+        F.col(id_column).alias("_id"), F.col(text_column).alias("_text")
     )
-    toxic = sample_per_class(rows.where("_label = 1"), "_label", "_key", SAMPLE_TOXIC, 1)
-    clean = sample_per_class(rows.where("_label = 0"), "_label", "_key", SAMPLE_CLEAN, 1)
-    sample = stored(toxic.unionByName(clean), "toxicity-sample")
+    sample = stored(texts.join(F.broadcast(chosen), "_id").drop("_id"), "toxicity-sample")
     # One document in four only calibrates.
     calibrates = F.pmod(F.col("_key"), F.lit(4)) == 0
     total = {row["_label"]: row["n"] for row in sample.groupBy("_label").agg(F.count("*").alias("n")).collect()}
@@ -523,14 +535,19 @@ def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
 
 def toxicity(
     docs: DataFrame,
-    labelled: DataFrame,
+    labels: DataFrame,
     held_out: Column,
     id_column: str = "doc_id",
     text_column: str = "text",
     label_column: str = "toxic",
+    train_docs: DataFrame | None = None,
 ) -> DataFrame:
-    """``id, held_out, score, predicted`` for every row of ``docs``."""
-    model = train(labelled, id_column, text_column, label_column)
+    """``id, held_out, score, predicted`` for every row of ``docs``.
+
+    ``labels`` are those to learn from, for texts in ``train_docs`` (default: ``docs``).
+    """
+    texts = docs if train_docs is None else train_docs
+    model = train(texts, labels, id_column, text_column, label_column)
     rows = docs.select(
         F.col(id_column).alias("_id"), held_out.alias("_held_out"), F.col(text_column).alias("_text")
     )
@@ -555,13 +572,13 @@ def toxicity(
 
 def keep_clean(
     docs: DataFrame,
-    labelled: DataFrame,
-    text_column: str = "text",
+    labels: DataFrame,
     id_column: str = "doc_id",
+    text_column: str = "text",
     label_column: str = "toxic",
 ) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    model = train(labelled, id_column, text_column, label_column)
+    model = train(docs, labels, id_column, text_column, label_column)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, text_column):
@@ -570,14 +587,13 @@ def keep_clean(
     return docs.mapInArrow(keep, docs.schema)
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts of the documents that have a label and are not held out."""
-    known = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", 5) != 0))
-    return docs.select("doc_id", "text").join(known.select("doc_id", "toxic"), "doc_id")
+def labels_to_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return labels.where(fold("doc_id", 5) != 0)
 
 
 def toxicity_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query: learns from four folds of five, scores all."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity(docs, labelled_documents(docs, labels), fold("doc_id", 5) == 0)
+    return toxicity(docs, labels_to_learn(spark, sf_dir), fold("doc_id", 5) == 0)

@@ -131,18 +131,18 @@ def test_insults_with_gaps_and_insertions(docs, rows_of):
         (1, f"{clean} blockhead"), (2, f"{clean} b-l-o-c-k-h-e-a-d {clean}"), (3, f"{clean} n i t w i t {clean}"),
         (4, f"{clean} blo*ckhead!"), (5, f"{clean} NITWIT"), (6, f"{clean} bloxckhead"), (11, clean), (12, texts[2][1]),
     ]
-    found = dict(rows_of(toxicity.toxicity(docs(probe), labelled, F.lit(True)), "doc_id", "predicted"))
+    found = dict(rows_of(toxicity.toxicity(docs(probe), labelled, F.lit(True), train_docs=labelled), "doc_id", "predicted"))
     assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 11: 0, 12: 0}
 
 
 def test_toxicity_of_odd_rows(docs, odd):
     labelled = docs(labelled_corpus(240)).withColumn("toxic", (F.col("doc_id") % 6 == 0).cast("int"))
-    rows = toxicity.toxicity(docs(odd), labelled, F.lit(False)).collect()
+    rows = toxicity.toxicity(docs(odd), labelled, F.lit(False), train_docs=labelled).collect()
     assert len(rows) == len(odd) and all(0 <= row["score"] <= 1 for row in rows)
     scores = {row["doc_id"]: row["score"] for row in rows}
     assert scores[1] == scores[2] == scores[3] < 0.5
     one_label = labelled.withColumn("toxic", F.lit(0))
-    assert {row["predicted"] for row in toxicity.toxicity(docs(odd), one_label, F.lit(False)).collect()} == {0}
+    assert {row["predicted"] for row in toxicity.toxicity(docs(odd), one_label, F.lit(False), train_docs=labelled).collect()} == {0}
     empty = docs([]).withColumn("toxic", F.lit(0))
     assert toxicity.toxicity(docs([]), empty, F.lit(False)).count() == 0
 

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from codestrata.llm.toxicity import labelled_documents, toxicity
+from codestrata.llm.toxicity import labels_to_learn, toxicity
 from pyspark.sql import functions as F
 
 from test_near_dedup import brute as near_brute
@@ -33,8 +33,7 @@ def test_columns(steps):
 
 def test_toxicity(spark, steps):
     before, after = steps["toxicity"]
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    judged = toxicity(before, labelled_documents(before, labels), F.lit(False))
+    judged = toxicity(before, labels_to_learn(spark, SF), F.lit(False))
     clean = judged.where("predicted = 0").select("doc_id")
     assert sorted(after.collect()) == sorted(before.join(clean, "doc_id").select(*before.columns).collect())
 
