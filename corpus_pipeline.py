@@ -21,15 +21,14 @@ from codestrata.llm.near_dedup import keep_one
 from codestrata.llm.packing import packed_documents
 from codestrata.llm.substring_dedup import remove_repeats
 from codestrata.llm.tables import stored
-from codestrata.llm.toxicity import keep_clean, labelled_documents
+from codestrata.llm.toxicity import keep_clean, labels_to_learn
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labels of the documents that are there; rows stay as they are."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return keep_clean(docs, labelled_documents(docs, labels))
+    return keep_clean(docs, labels_to_learn(spark, sf_dir))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
