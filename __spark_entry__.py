@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from codestrata.functions.language import classified, language, parser_name  # noqa: E402
+from codestrata.functions.language import parser_name  # noqa: E402
 from codestrata.operators.history import walk_history  # noqa: E402
 from codestrata.operators.joins import natural_join  # noqa: E402
 from codestrata.operators.layout import clustered  # noqa: E402
@@ -114,7 +114,8 @@ _add_sql(
 )
 _add_sql(
     "qualified_names",
-    "SELECT commit_files.file_path, r.ref_name FROM ref_commits AS r NATURAL JOIN commit_files",
+    "SELECT commit_files.file_path, r.ref_name FROM ref_commits AS r NATURAL JOIN commit_files "
+    "WHERE r.ref_name = 'HEAD'",
 )
 _add_sql(
     "equal_to_text",
@@ -237,14 +238,14 @@ _add(
 )
 _add(
     "language_of_files",
-    lambda ds: ds.table("files").select(
-        "repository_id", "file_path", language().alias("language")
-    ),
+    lambda ds: ds.classified_files.select("repository_id", "file_path", "language"),
     "SELECT repository_id, file_path, language FROM languages",
 )
 _add(
     "classify_files",
-    lambda ds: ds.table("files").select("file_path", "tree_hash", classified().alias("lang")),
+    lambda ds: ds.classified_files.select(
+        "file_path", "tree_hash", F.lower("language").alias("lang")
+    ),
     "SELECT file_path, tree_hash, lower(language) AS lang FROM languages",
 )
 _add(
@@ -383,7 +384,13 @@ _add(
     ),
     f"SELECT repository_id, file_path, functions AS num_functions {_HEAD_PYTHON}",
 )
-_add("functions_of_java_files", lambda ds: analyses.functions_of_language(ds, "Java").limit(10))
+_add(
+    "functions_of_java_files",
+    lambda ds: analyses.functions_of_language(ds, "Java"),
+    "SELECT repository_id, file_path, CAST(NULL AS VARCHAR) AS functions "
+    "FROM ref_commits NATURAL JOIN languages WHERE ref_name = 'HEAD' AND history_index = 0 "
+    "AND language = 'Java'",
+)
 _add(
     "files_calling_trim",
     lambda ds: analyses.files_calling(ds, "trim").select(

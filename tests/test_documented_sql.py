@@ -9,6 +9,7 @@ HEAD_FILES = (
     "WHERE refs.ref_name = 'HEAD'"
 )
 
+# The documented statements under test, word for word.
 CASES = {
     "commits": (
         "SELECT repository_id, commit_count FROM (SELECT r.repository_id, COUNT(*) AS commit_count "
