@@ -457,8 +457,7 @@ _add(
 # Training-data operators, where they are installed.
 
 try:
-    from codestrata.llm import queries as _llm
-
+    import codestrata.llm.queries as _llm
     import corpus_pipeline
 except ModuleNotFoundError as error:
     if error.name not in ("codestrata.llm", "codestrata.llm.queries", "corpus_pipeline"):
