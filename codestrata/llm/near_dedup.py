@@ -399,7 +399,7 @@ def keep_one(
     chosen = rows.groupBy("group").agg(F.min(order).alias("chosen"))
     placed = rows.join(chosen, "group").select("_id", "_text_hash", (order == F.col("chosen")).alias("stays"))
     placed = stored(placed, "near-placed")
-    own = [name for name in docs.columns]
+    own = docs.columns
     keyed = docs.select(
         *own, F.col(id_column).alias("_near_id"), F.xxhash64(text_column).alias("_near_hash")
     )

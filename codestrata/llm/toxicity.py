@@ -294,7 +294,7 @@ class _Margins:
 
 def document_features(model: Model, texts: pa.Array) -> np.ndarray:
     """1, highest margin and log(1 + units above 0) of each text."""
-    margins = kept_in_process(("toxicity", model.name), lambda: _Margins(model))
+    margins = _margins_of(model)
     words = words_of(texts, lower=True)
     values = margins.of_words(words)
     single = np.flatnonzero(words.ends - words.starts <= 6)
@@ -315,6 +315,15 @@ def document_features(model: Model, texts: pa.Array) -> np.ndarray:
     return features
 
 
+def _margins_of(model: Model) -> _Margins:
+    """The process keeps the margins of one model, the last it was asked for."""
+    kept = kept_in_process("toxicity", dict)
+    if model.name not in kept:
+        kept.clear()
+        kept[model.name] = _Margins(model)
+    return kept[model.name]
+
+
 def _spelled(words, short: np.ndarray) -> Iterator[tuple[int, str]]:
     """Runs of at least ``ORDER`` short words in a row that spell a unit, with their text."""
     if len(short) < ORDER:
