@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from codestrata.llm.process import kept_in_process
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
