@@ -11,11 +11,14 @@ which a letter was put. As the kernel is a sum over subsequences, all landmarks
 together become one weight per subsequence for scoring (``Margin``).
 
 Labels are given per document. A unit counts as an example of a toxic unit if it
-is in far more toxic documents than chance gives and in (almost) no other; units of
-the other documents are examples of the rest, with those the machine mistakes,
-found among all units of the sample, added in rounds. A document's features are its highest margin and the number of
-units above the boundary; a logistic fit on a part of the sample that gave no
-examples turns them into the score.
+is in far more toxic documents than chance gives and its rate in toxic documents is
+surely ``RATIO`` times that in clean ones, so a few clean documents with it do not
+bar it; units of the other documents are examples of the rest, with those the
+machine mistakes, found among all units of the sample, added in rounds. Units
+whose rate only seems that high are examples of neither. A document's features are its highest margin, the number of
+units with a margin over ``FOUND`` and, if there are any, the number of its words, as long
+texts have some by chance; a logistic fit on a part of the sample that gave no examples
+turns them into the score.
 
 Learning uses at most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled documents, a
 part of the corpus that does not grow with it. Scoring reads every text whole,
@@ -33,6 +36,7 @@ import itertools
 import math
 import re
 import uuid
+import warnings
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -53,6 +57,10 @@ UNIT_STEP = 8
 SAMPLE_TOXIC = 3000
 SAMPLE_CLEAN = 20_000
 CHANCE = 1e-5
+RATIO = 5.0
+DOUBT = 0.05
+FOUND = 0.5
+FEATURES = 4
 TOXIC_UNITS = 400
 CLEAN_UNITS = 2000
 MISTAKEN_UNITS = 1000
@@ -79,7 +87,7 @@ class Margin(NamedTuple):
 class Model(NamedTuple):
     name: str
     margin: Margin | None
-    logistic: np.ndarray  # on 1, highest margin, log of 1 + units above 0
+    logistic: np.ndarray  # on ``document_features``
     prior: float
 
 
@@ -293,24 +301,25 @@ class _Margins:
 
 
 def document_features(model: Model, texts: pa.Array) -> np.ndarray:
-    """1, highest margin and log(1 + units above 0) of each text."""
+    """1, highest margin, log(1 + units above ``FOUND``) and, with such units, log(1 + words) of each text."""
     margins = _margins_of(model)
     words = words_of(texts, lower=True)
     values = margins.of_words(words)
     single = np.flatnonzero(words.ends - words.starts <= 6)
-    features = np.zeros((len(texts), 3))
+    features = np.zeros((len(texts), FEATURES))
     features[:, 0] = 1
     features[:, 1] = -1.0
     counts = np.diff(words.offsets)
     has = np.flatnonzero(counts)
     if len(has):
         features[has, 1] = np.maximum(-1.0, np.maximum.reduceat(values, words.offsets[has]))
-        features[has, 2] = np.add.reduceat((values > 0).astype(np.int64), words.offsets[has])
+        features[has, 2] = np.add.reduceat((values > FOUND).astype(np.int64), words.offsets[has])
     for text, joined in _spelled(words, single):
         best = margins.of_units([joined])[0]
         features[text, 1] = max(features[text, 1], best)
-        features[text, 2] += best > 0
+        features[text, 2] += best > FOUND
     features[:, 1] = np.minimum(features[:, 1], 3.0)
+    features[:, 3] = np.where(features[:, 2] > 0, np.log1p(counts), 0.0)
     features[:, 2] = np.log1p(features[:, 2])
     return features
 
@@ -372,14 +381,19 @@ def train(
     calibrates = F.pmod(F.col("_key"), F.lit(4)) == 0
     total = {row["_label"]: row["n"] for row in sample.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     prior = total.get(1, 0) / max(1, sum(total.values()))
-    nothing = Model(uuid.uuid4().hex, None, np.zeros(3), prior)
+    nothing = Model(uuid.uuid4().hex, None, np.zeros(FEATURES), prior)
     if len(total) < 2:
         return nothing
     counts = _unit_counts(sample.where(~calibrates))
     toxic_units, clean_units = _examples(counts, prior)
     if not toxic_units or not clean_units:
+        warnings.warn(
+            f"toxicity: no unit tells the {total[1]} toxic documents from the {total[0]} others; nothing is rejected",
+            stacklevel=2,
+        )
         return nothing
-    model = Model(uuid.uuid4().hex, _machine(toxic_units, clean_units, counts), np.zeros(3), prior)
+    mistakes = counts.where(f"n_clean >= 1 AND NOT {_leans(prior)}")
+    model = Model(uuid.uuid4().hex, _machine(toxic_units, clean_units, mistakes), np.zeros(FEATURES), prior)
     return model._replace(logistic=_calibrate(model, sample.where(calibrates)))
 
 
@@ -409,23 +423,46 @@ def _unit_counts(sample: DataFrame) -> DataFrame:
     return stored(summed, "toxicity-units")
 
 
+def _improbable(share: float, chance: float) -> str:
+    """SQL: documents of which ``share`` is toxic give a unit's counts with at most ``chance``.
+
+    Chernoff's bound, which is ``share ** n_toxic`` for a unit without clean documents.
+    """
+    part = "n_{0} * ln(greatest(n_{0}, 1) / ((n_toxic + n_clean) * {1!r}D))"
+    divergence = f"{part.format('toxic', share)} + {part.format('clean', 1 - share)}"
+    return f"(n_toxic > {share!r}D * (n_toxic + n_clean) AND {divergence} >= {-math.log(chance)!r}D)"
+
+
+def _share_at(ratio: float, prior: float) -> float:
+    """Toxic share of a unit's documents if its rate in toxic ones is ``ratio`` times that in clean ones."""
+    return ratio * prior / (ratio * prior + 1 - prior)
+
+
+def _leans(prior: float) -> str:
+    """SQL: the unit's rate in toxic documents is at least ``RATIO`` times that in clean ones."""
+    return f"(n_toxic >= {_share_at(RATIO, prior)!r}D * (n_toxic + n_clean))"
+
+
 def _examples(counts: DataFrame, prior: float) -> tuple[list[str], list[str]]:
     """Units that tell toxic documents, and frequent and random ones of the others.
 
-    Telling is what ``prior`` alone gives with a probability of at most ``CHANCE``.
+    Telling is what ``prior`` alone gives with a probability of at most ``CHANCE``,
+    and a rate ``RATIO`` times that in clean documents with at most ``DOUBT``.
     """
-    least = max(3, math.ceil(math.log(CHANCE) / math.log(min(0.9, max(prior, 1e-3)))))
-    telling = counts.where(f"n_toxic >= {least} AND 50 * n_clean <= n_toxic")
+    prior = min(0.999, max(prior, 1e-3))
+    telling = counts.where("n_toxic >= 3").where(
+        f"{_improbable(prior, CHANCE)} AND {_improbable(_share_at(RATIO, prior), DOUBT)}"
+    )
     toxic = telling.orderBy(F.col("n_toxic").desc(), "unit").limit(TOXIC_UNITS).collect()
-    others = counts.where("n_clean >= 2 AND n_clean >= n_toxic")
+    others = counts.where(f"n_clean >= 2 AND NOT {_leans(prior)}")
     frequent = others.orderBy(F.col("n_clean").desc(), "unit").limit(CLEAN_UNITS // 3).collect()
     random = others.orderBy(F.xxhash64("unit"), "unit").limit(CLEAN_UNITS).collect()
     clean = list(dict.fromkeys(row["unit"] for row in [*frequent, *random]))
     return [windows(row["unit"])[0] for row in toxic], [windows(text)[0] for text in clean]
 
 
-def _mistaken(counts: DataFrame, margin: Margin) -> list[str]:
-    """Units of clean documents nearest to the toxic side, over the whole sample."""
+def _mistaken(units: DataFrame, margin: Margin) -> list[str]:
+    """Those of ``units``, which are no insults, nearest to the toxic side."""
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -433,8 +470,7 @@ def _mistaken(counts: DataFrame, margin: Margin) -> list[str]:
             values = margins_of(margin, texts)
             yield pa.RecordBatch.from_arrays([pa.array(texts), pa.array(values, pa.float64())], names=["unit", "m"])
 
-    clean = counts.where("n_clean >= 1 AND 50 * n_clean > n_toxic").select("unit")
-    found = clean.mapInArrow(margins, "unit string, m double").where("m > -0.7")
+    found = units.select("unit").mapInArrow(margins, "unit string, m double").where("m > -0.7")
     return [row["unit"] for row in found.orderBy(F.col("m").desc(), "unit").limit(MISTAKEN_UNITS).collect()]
 
 
@@ -463,7 +499,7 @@ def _with_insertions(toxic: list[str]) -> list[str]:
 
 
 def _machine(
-    toxic: list[str], clean: list[str], counts: DataFrame | None
+    toxic: list[str], clean: list[str], others: DataFrame | None
 ) -> Margin:
     """Nystroem features, then a linear machine; mistaken clean units join in rounds.
 
@@ -481,10 +517,10 @@ def _machine(
             similarities(toxic, landmarks) @ root, similarities(clean, landmarks) @ root
         )
         margin = margin_of(landmarks, root @ weights, float(bias))
-        if counts is None or mining == MINING_ROUNDS:
+        if others is None or mining == MINING_ROUNDS:
             break
         known = set(clean)
-        wrong = [text for text in _mistaken(counts, margin) if text not in known]
+        wrong = [text for text in _mistaken(others, margin) if text not in known]
         if not wrong:
             break
         clean += wrong
@@ -517,20 +553,20 @@ def _calibrate(model: Model, sample: DataFrame) -> np.ndarray:
         for batch in text_slices(batches, "_text"):
             found = document_features(model, batch.column("_text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_label"), *[pa.array(found[:, k]) for k in (1, 2)]],
-                names=["label", "margin", "above"],
+                [batch.column("_label"), *[pa.array(found[:, k]) for k in range(1, FEATURES)]],
+                names=["label", "margin", "found", "words"],
             )
 
-    rows = sample.mapInArrow(features, "label int, margin double, above double")
-    rows = rows.orderBy("label", "margin", "above").collect()
-    x = np.array([[1.0, row["margin"], row["above"]] for row in rows])
+    rows = sample.mapInArrow(features, "label int, margin double, found double, words double")
+    rows = rows.orderBy("label", "margin", "found", "words").collect()
+    x = np.array([[1.0, row["margin"], row["found"], row["words"]] for row in rows])
     y = np.array([row["label"] for row in rows], float)
-    weights = np.zeros(3)
+    weights = np.zeros(FEATURES)
     if not len(rows):
-        return np.array([0.0, 1.0, 1.0])
+        return np.array([0.0, 1.0, 1.0, 0.0])
     for _ in range(100):  # Newton steps with a small ridge
         chance = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        curve = (x * (chance * (1 - chance))[:, None]).T @ x + 0.1 * np.eye(3)
+        curve = (x * (chance * (1 - chance))[:, None]).T @ x + 0.1 * np.eye(FEATURES)
         weights = weights - np.linalg.solve(curve, x.T @ (chance - y) + 0.1 * weights)
     return weights
 

@@ -147,6 +147,37 @@ def test_toxicity_of_odd_rows(docs, odd):
     assert toxicity.toxicity(docs([]), empty, F.lit(False)).count() == 0
 
 
+def test_a_few_clean_documents_do_not_bar_a_unit(docs, rows_of):
+    """Every insult is also in some clean documents, at rates of about 40 to 1."""
+    texts = labelled_corpus()
+    insults = ["blockhead", "nitwit"]
+    texts = [(i, f"{t} {insults[i // 60 % 2]}" if i % 60 == 1 else t) for i, t in texts]
+    table = docs(texts)
+    labelled = table.withColumn("toxic", (F.col("doc_id") % 6 == 0).cast("int"))
+    clean = texts[2][1]
+    probe = [(1, f"{clean} blockhead"), (2, f"{clean} nitwit"), (3, f"{clean} bloxckhead"), (4, clean)]
+    found = dict(rows_of(toxicity.toxicity(docs(probe), labelled, F.lit(True), train_docs=labelled), "doc_id", "predicted"))
+    assert found == {1: 1, 2: 1, 3: 1, 4: 0}
+
+
+def test_labels_without_a_telling_unit_warn(docs):
+    table = docs([(i, f"the same words {i}") for i in range(120)])
+    labelled = table.withColumn("toxic", (F.col("doc_id") % 6 == 0).cast("int"))
+    with pytest.warns(UserWarning, match="nothing is rejected"):
+        assert toxicity.keep_clean(table, labelled).count() == 120
+
+
+def test_held_out_toxicity_per_language(spark):
+    sf = "/root/testdata/sf0.1"
+    truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").distinct()
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic IN (0, 1)")
+    rows = toxicity.toxicity_of_documents(spark, sf).where("held_out").join(labels, "doc_id").join(truth, "doc_id")
+    shares = rows.groupBy("lang", "toxic").agg(F.avg("predicted").alias("share"), F.count("*").alias("n")).collect()
+    assert {row["lang"] for row in shares} == {"de", "en", "es", "fr"}
+    for row in shares:
+        assert row["share"] >= 0.8 if row["toxic"] else row["share"] <= 0.03, row
+
+
 # Language model
 
 
