@@ -18,7 +18,8 @@ machine mistakes, found among all units of the sample, added in rounds. Units
 whose rate only seems that high are examples of neither. A document's features are its highest margin, the number of
 units with a margin over ``FOUND`` and, if there are any, the number of its words, as long
 texts have some by chance; a logistic fit on a part of the sample that gave no examples
-turns them into the score.
+turns them into the score. There each class weighs what it has among all labels, so a
+score of 0.5 means the same whether or not the sample was cut.
 
 Learning uses at most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled documents, a
 part of the corpus that does not grow with it. Scoring reads every text whole,
@@ -379,9 +380,13 @@ def train(
     sample = stored(texts.join(F.broadcast(chosen), "_id").drop("_id"), "toxicity-sample")
     # One document in four only calibrates.
     calibrates = F.pmod(F.col("_key"), F.lit(4)) == 0
-    total = {row["_label"]: row["n"] for row in sample.groupBy("_label").agg(F.count("*").alias("n")).collect()}
+    total = _per_label(sample)
     prior = total.get(1, 0) / max(1, sum(total.values()))
-    nothing = Model(uuid.uuid4().hex, None, np.zeros(FEATURES), prior)
+    labelled, drawn = _per_label(known), _per_label(chosen)
+    weight = {label: labelled[label] / drawn[label] for label in total}
+    whole = {label: weight[label] * n for label, n in total.items()}
+    share = whole.get(1, 0) / max(1, sum(whole.values()))
+    nothing = Model(uuid.uuid4().hex, None, np.zeros(FEATURES), share)
     if len(total) < 2:
         return nothing
     counts = _unit_counts(sample.where(~calibrates))
@@ -393,8 +398,12 @@ def train(
         )
         return nothing
     mistakes = counts.where(f"n_clean >= 1 AND NOT {_leans(prior)}")
-    model = Model(uuid.uuid4().hex, _machine(toxic_units, clean_units, mistakes), np.zeros(FEATURES), prior)
-    return model._replace(logistic=_calibrate(model, sample.where(calibrates)))
+    model = Model(uuid.uuid4().hex, _machine(toxic_units, clean_units, mistakes), np.zeros(FEATURES), share)
+    return model._replace(logistic=_calibrate(model, sample.where(calibrates), weight))
+
+
+def _per_label(rows: DataFrame) -> dict[int, int]:
+    return {row["_label"]: row["n"] for row in rows.groupBy("_label").agg(F.count("*").alias("n")).collect()}
 
 
 def _unit_counts(sample: DataFrame) -> DataFrame:
@@ -546,8 +555,11 @@ def _pegasos(toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, float]:
     return mean[:-1], float(mean[-1])
 
 
-def _calibrate(model: Model, sample: DataFrame) -> np.ndarray:
-    """Logistic regression of the labels on the documents' features."""
+def _calibrate(model: Model, sample: DataFrame, weight: dict[int, float]) -> np.ndarray:
+    """Logistic regression of the labels on the documents' features.
+
+    ``weight`` is how many labels one row of each class stands for.
+    """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "_text"):
@@ -564,10 +576,12 @@ def _calibrate(model: Model, sample: DataFrame) -> np.ndarray:
     weights = np.zeros(FEATURES)
     if not len(rows):
         return np.array([0.0, 1.0, 1.0, 0.0])
+    stands = np.array([weight[row["label"]] for row in rows])
+    stands /= stands.mean()
     for _ in range(100):  # Newton steps with a small ridge
         chance = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        curve = (x * (chance * (1 - chance))[:, None]).T @ x + 0.1 * np.eye(FEATURES)
-        weights = weights - np.linalg.solve(curve, x.T @ (chance - y) + 0.1 * weights)
+        curve = (x * (stands * chance * (1 - chance))[:, None]).T @ x + 0.1 * np.eye(FEATURES)
+        weights = weights - np.linalg.solve(curve, x.T @ (stands * (chance - y)) + 0.1 * weights)
     return weights
 
 

@@ -167,6 +167,24 @@ def test_labels_without_a_telling_unit_warn(docs):
         assert toxicity.keep_clean(table, labelled).count() == 120
 
 
+def test_scores_do_not_depend_on_the_caps(docs, rows_of, monkeypatch):
+    """Half the toxic documents show nothing, so a clean text has their share of the rest as its score."""
+    texts = labelled_corpus(1200)
+    quiet = {i: texts[i + 1][1] for i in range(0, 1200, 12)}
+    table = docs([(i, quiet.get(i, t)) for i, t in texts])
+    labelled = table.withColumn("toxic", (F.col("doc_id") % 6 == 0).cast("int"))
+    probe = docs([(1, texts[1][1]), (2, f"{texts[1][1]} nitwit")])
+    scores = lambda: dict(rows_of(toxicity.toxicity(probe, labelled, F.lit(True), train_docs=labelled), "doc_id", "score"))
+    whole = scores()
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 150)
+    cut = scores()
+    assert whole[1] == pytest.approx(0.09, abs=0.06) and cut[1] == pytest.approx(whole[1], abs=0.07)
+    assert whole[2] > 0.5 and cut[2] > 0.5
+    monkeypatch.setattr(toxicity, "CHANCE", 1e-300)
+    with pytest.warns(UserWarning):
+        assert scores()[1] == pytest.approx(1 / 6, abs=0.001)
+
+
 def test_held_out_toxicity_per_language(spark):
     sf = "/root/testdata/sf0.1"
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").distinct()
