@@ -6,9 +6,9 @@ import corpus_pipeline
 from codestrata.llm.toxicity import labels_to_learn, toxicity
 from pyspark.sql import functions as F
 
-from test_near_dedup import brute as near_brute
-from test_packing import check
-from test_substring_dedup import brute as substring_brute
+from llm.test_near_dedup import brute as near_brute
+from llm.test_packing import check
+from llm.test_substring_dedup import brute as substring_brute
 
 SF = "/root/testdata/sf0.001"
 
