@@ -27,8 +27,8 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 # The same pattern over printable ASCII and the letters of Latin-1, lower case.
 _LETTERS = "a-zß-öø-ÿ"
-_PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
-_NOT_PLAIN = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]|<\|")
+PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
+NOT_PLAIN = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]|<\|")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -62,12 +62,12 @@ class Encoder:
             return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(text) <= SEGMENT_CHARS:
             return self._segment(text)
-        return b"".join(map(self._segment, _segments(text)))
+        return b"".join(map(self._segment, segments(text)))
 
     def _segment(self, text: str) -> bytes:
-        if _NOT_PLAIN.search(text):
+        if NOT_PLAIN.search(text):
             return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words = _PLAIN_WORDS.findall(text.lower())
+        words = PLAIN_WORDS.findall(text.lower())
         try:
             return b"".join(map(self.words.__getitem__, words))
         except KeyError:
@@ -83,7 +83,7 @@ class Encoder:
         return _packed([token.id for token in self.model.tokenize(letters)])
 
 
-def _segments(text: str):
+def segments(text: str):
     """Parts of ``text`` cut before a blank, so no word is split."""
     begin = 0
     while len(text) - begin > SEGMENT_CHARS:
