@@ -5,11 +5,13 @@ from __future__ import annotations
 from codestrata.llm import (
     language_id,
     lattice_lm,
+    merkle,
     mixing,
     near_dedup,
     packing,
     quality_rules,
     substring_dedup,
+    token_counts,
     token_files,
     topk_search,
     toxicity,
@@ -26,10 +28,13 @@ QUERIES = {
     "op8_lattice_lm": lattice_lm.scores_of_documents,
     "op9_near_dedup": near_dedup.near_duplicates_of_documents,
     "op10_packing": packing.packed_table,
+    "op12_token_counts": token_counts.token_counts_of_documents,
+    "op13_merkle_manifest": merkle.manifest_of_documents,
 }
 
 ORACLES = {
     "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op6_topk_search": topk_search.ORACLE_SQL,
     "op7_mix_sources": mixing.ORACLE_SQL,
+    "op13_merkle_manifest": merkle.ORACLE_SQL,
 }
