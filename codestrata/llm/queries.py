@@ -5,6 +5,7 @@ from __future__ import annotations
 from codestrata.llm import (
     language_id,
     lattice_lm,
+    lexical_search,
     merkle,
     mixing,
     near_dedup,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_lattice_lm": lattice_lm.scores_of_documents,
     "op9_near_dedup": near_dedup.near_duplicates_of_documents,
     "op10_packing": packing.packed_table,
+    "op11_lexical_search": lexical_search.best_documents_of_items,
     "op12_token_counts": token_counts.token_counts_of_documents,
     "op13_merkle_manifest": merkle.manifest_of_documents,
 }
@@ -36,5 +38,6 @@ ORACLES = {
     "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op6_topk_search": topk_search.ORACLE_SQL,
     "op7_mix_sources": mixing.ORACLE_SQL,
+    "op11_lexical_search": lexical_search.ORACLE_SQL,
     "op13_merkle_manifest": merkle.ORACLE_SQL,
 }
