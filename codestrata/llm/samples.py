@@ -35,6 +35,17 @@ def sample_per_class(rows: DataFrame, label: str, key: str, most: int, classes:
     )
 
 
+def sample_rows(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` of ``rows``, in order of a hash of ``key``.
+
+    A hash threshold from the count thins them first, so few more than ``most`` rows
+    are ordered whatever the table's size.
+    """
+    chance = F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    thinned = rows.withColumn("_chance", chance).where(F.col("_chance") < _share(most, rows.count()))
+    return thinned.orderBy("_chance", key).limit(most).drop("_chance")
+
+
 def _share(most: int, count: int) -> float:
     """Enough of ``count`` rows that ``most`` of them remain, with few exceptions."""
     return min(1.0, (1.2 * most + 50) / max(1, count))

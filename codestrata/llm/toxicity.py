@@ -1,27 +1,37 @@
 """Toxicity with a subsequence-string-kernel support vector machine.
 
-Units are the letters of each word of a text, in lower case; three or more single letters in a row make one unit, and a unit longer than
-``UNIT_CHARS`` is looked at in overlapping windows. Two units are compared by the
-subsequence kernel of order ``ORDER``: it counts common subsequences of that many
-characters and multiplies by ``DECAY`` for every character they span, so an insult
-keeps most of its similarity when characters are put in or a gap is left. The
-kernel is normalised and approximated with Nystroem landmarks; on those features a
-linear support vector machine is trained in numpy, with copies of the insults into
-which a letter was put. As the kernel is a sum over subsequences, all landmarks
+Units are the letters of each word of a text, in lower case, with marks for the
+word's ends, and the beginnings ("stems") of longer words, since insults take
+endings; a longer unit is looked at in overlapping windows of ``UNIT_CHARS``.
+Signs and digits inside a word are tried left out, as an unknown character, and as
+the letter they look like; three or more single letters in a row make one unit. Two
+units are compared by the subsequence kernel of order ``ORDER``: it counts common
+subsequences of that many characters and multiplies by ``DECAY`` for every character
+they span, so an insult keeps most of its similarity when characters are put in or a
+gap is left. The kernel is normalised and approximated with Nystroem landmarks; on
+those features linear support vector machines are trained in numpy, with disguised
+copies of the insults into which up to ``INSERTIONS`` characters were put, or of which
+one was dropped, repeated or hidden. As the kernel is a sum over subsequences, all landmarks
 together become one weight per subsequence for scoring (``Margin``).
 
-Labels are given per document. A unit counts as an example of a toxic unit if it
-is in far more toxic documents than chance gives and its rate in toxic documents is
-surely ``RATIO`` times that in clean ones, so a few clean documents with it do not
-bar it; units of the other documents are examples of the rest, with those the
-machine mistakes, found among all units of the sample, added in rounds. Units
-whose rate only seems that high are examples of neither. A document's features are its highest margin, the number of
-units with a margin over ``FOUND`` and, if there are any, the number of its words, as long
-texts have some by chance; a logistic fit on a part of the sample that gave no examples
-turns them into the score. There each class weighs what it has among all labels, so a
-score of 0.5 means the same whether or not the sample was cut.
-
-Learning uses at most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled documents, a
+Labels are given per document. A unit counts as toxic if it is in far more toxic
+documents than chance gives and its rate in toxic documents is surely ``LEANING``
+times that in clean ones; it is *sure* if that rate is surely ``SURE`` times as high.
+Of units that begin alike the shortest stands for those it explains. Units of the
+other documents are examples of the rest, with those the machine mistakes, found
+among all units of the sample, added in rounds. One machine learns the sure units,
+one all toxic ones.
+
+A document's features are the highest margin of the first machine, and of the units
+that one leaves alone the highest margin of the second and the number above
+``FOUND``. So one sure insult decides in a text of any length, and weaker signs must
+add up. A logistic fit on a part of the sample that gave no examples turns them into
+the score; new disguised copies of the sure insults, as if each were all that a text
+has, count as half of its toxic documents. There each class weighs what it has among
+all labels, so a score of 0.5 means the same whether or not the sample was cut.
+
+Learning uses at most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled documents, and of
+their units at most ``TOXIC_UNITS``, ``CLEAN_UNITS`` and, per round, ``MISTAKEN_UNITS``: a
 part of the corpus that does not grow with it. Scoring reads every text whole,
 where it lies: no shuffle. Margins are computed once per distinct unit and kept in
 the worker, up to ``TABLE_UNITS``.
@@ -47,7 +57,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm.process import kept_in_process
-from codestrata.llm.samples import fold, sample_per_class
+from codestrata.llm.samples import fold, sample_rows
 from codestrata.llm.tables import stored, text_slices
 from codestrata.llm.word_hashes import words_of
 
@@ -57,23 +67,37 @@ UNIT_CHARS = 16
 UNIT_STEP = 8
 SAMPLE_TOXIC = 3000
 SAMPLE_CLEAN = 20_000
+STEMS = range(4, 9)
 CHANCE = 1e-5
-RATIO = 5.0
+LEANING = 5.0
+SURE = 100.0
 DOUBT = 0.05
+EXPLAINED = 0.9
+INSERTIONS = 3
 FOUND = 0.5
-FEATURES = 4
+MOST = 2.0
+FEATURES = 5
 TOXIC_UNITS = 400
-CLEAN_UNITS = 2000
+CLEAN_UNITS = 3000
 MISTAKEN_UNITS = 1000
-TOXIC_LANDMARKS = 32
-CLEAN_LANDMARKS = 12
-MINING_ROUNDS = 2
+TOXIC_LANDMARKS = 96
+CLEAN_LANDMARKS = 48
+COPIES = 3
+MINING_ROUNDS = 3
+RIDGE = 1e-5
 TABLE_UNITS = 2_000_000
 CHUNK = 4096
 DENSE_CODES = 1 << 20
 
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _LETTER = re.compile(r"^[^\W\d_]$")
+_BEGIN, _END, _UNKNOWN = "\2", "\3", "\4"
+
+# Letters that digits and signs stand for.
+_LOOKS_LIKE = str.maketrans({
+    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g",
+    "@": "a", "$": "s", "!": "i", "|": "i", "+": "t", "\u20ac": "e",
+})
 
 
 class Margin(NamedTuple):
@@ -87,7 +111,9 @@ class Margin(NamedTuple):
 
 class Model(NamedTuple):
     name: str
-    margin: Margin | None
+    sure: Margin | None
+    leaning: Margin | None
+    stems: tuple[int, ...]  # lengths of word beginnings to look at
     logistic: np.ndarray  # on ``document_features``
     prior: float
 
@@ -97,9 +123,26 @@ def unit(word: bytes) -> str:
     return _NO_LETTER.sub("", word.decode("utf-8", "replace").lower())
 
 
+def readings(word: bytes) -> list[str]:
+    """The word's letters; with signs or digits inside also what those may hide."""
+    plain = unit(word)
+    text = word.decode("utf-8", "replace").lower()
+    if plain == text:
+        return [plain]
+    core = text.strip("!?.,;:\"'()[]{}<>-\u2013\u2014\u201e\u201c\u201d\u00ab\u00bb\u2026")
+    hidden = _NO_LETTER.sub(_UNKNOWN, core)
+    alike = _NO_LETTER.sub("", core.translate(_LOOKS_LIKE))
+    return [x for x in dict.fromkeys([plain, hidden, alike]) if x.strip(_UNKNOWN)]
+
+
 def marked(text_unit: str) -> str:
     """With marks for its beginning and end, which count as characters of the kernel."""
-    return f"\2{text_unit}\3"
+    return f"{_BEGIN}{text_unit}{_END}"
+
+
+def stems_of(text_unit: str, lengths) -> list[str]:
+    """The unit's proper beginnings of the given lengths, open at the end."""
+    return [_BEGIN + text_unit[:n] for n in lengths if n < len(text_unit)]
 
 
 def _codes(units: list[str]) -> np.ndarray:
@@ -249,6 +292,11 @@ def windows(text_unit: str) -> list[str]:
     return [text_unit[i : i + UNIT_CHARS] for i in range(0, len(text_unit) - UNIT_STEP, UNIT_STEP)]
 
 
+def parts_of(text_unit: str, stems: tuple[int, ...]) -> list[str]:
+    """All that is compared for a unit: its windows and its beginnings."""
+    return windows(text_unit) + stems_of(text_unit, stems)
+
+
 def units_of(word_units: list[str]) -> Iterator[str]:
     """Joined runs of three or more single letters."""
     run: list[str] = []
@@ -262,35 +310,43 @@ def units_of(word_units: list[str]) -> Iterator[str]:
 
 
 class _Margins:
-    """Margins of units, computed once per distinct unit and process."""
+    """Margins of words with both machines, computed once per distinct word and process."""
 
     def __init__(self, model: Model):
         self.model = model
         self.hashes = np.zeros(0, np.uint64)
-        self.values = np.zeros(0, np.float32)
-
-    def of_units(self, units: list[str]) -> np.ndarray:
-        parts = [(place, part) for place, text in enumerate(units) for part in windows(text)]
-        values = margins_of(self.model.margin, [part for _, part in parts])
-        best = np.full(len(units), -np.inf, np.float32)
-        np.maximum.at(best, [place for place, _ in parts], values)
+        self.values = np.zeros((0, 2), np.float32)
+
+    def of_readings(self, words: list[list[str]]) -> np.ndarray:
+        """The highest margins over all parts of all readings of each word."""
+        best = np.full((len(words), 2), -np.inf, np.float32)
+        owners, parts = [], []
+        for owner, texts in enumerate(words):
+            own = [part for text in texts for part in parts_of(text, self.model.stems)]
+            owners += [owner] * len(own)
+            parts += own
+        if not parts:
+            return best
+        distinct, place = np.unique(np.array(parts), return_inverse=True)
+        units = distinct.tolist()
+        for column, margin in enumerate((self.model.sure, self.model.leaning)):
+            if margin is not None:
+                np.maximum.at(best[:, column], owners, margins_of(margin, units)[place.reshape(-1)])
         return best
 
     def of_words(self, words) -> np.ndarray:
-        """Margin of each word of ``words`` (see ``words_of``)."""
+        """Margins of each word of ``words`` (see ``words_of``)."""
         distinct, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
         place = np.searchsorted(self.hashes, distinct)
         known = np.zeros(len(distinct), bool)
         inside = place < len(self.hashes)
         known[inside] = self.hashes[place[inside]] == distinct[inside]
-        values = np.empty(len(distinct), np.float32)
+        values = np.empty((len(distinct), 2), np.float32)
         values[known] = self.values[place[known]]
         new = np.flatnonzero(~known)
         data = words.data.tobytes()
-        texts = [unit(data[a:b]) for a, b in zip(words.starts[first[new]], words.ends[first[new]])]
-        names = sorted(set(texts))
-        found = dict(zip(names, self.of_units(names), strict=True)) if names else {}
-        values[new] = [found[text] for text in texts]
+        starts, ends = words.starts[first[new]], words.ends[first[new]]
+        values[new] = self.of_readings([readings(data[a:b]) for a, b in zip(starts, ends)])
         if len(self.hashes) + len(new) > TABLE_UNITS:
             self.hashes, self.values = distinct, values
         else:
@@ -302,26 +358,29 @@ class _Margins:
 
 
 def document_features(model: Model, texts: pa.Array) -> np.ndarray:
-    """1, highest margin, log(1 + units above ``FOUND``) and, with such units, log(1 + words) of each text."""
+    """1, highest sure margin; of the other units highest leaning margin, number above ``FOUND`` and that per 100 words.
+
+    Margins count from 0 to ``MOST``, as what lies below is no evidence either way, and
+    numbers as log(1 + n). What is sure does not fade in long texts.
+    """
     margins = _margins_of(model)
     words = words_of(texts, lower=True)
     values = margins.of_words(words)
-    single = np.flatnonzero(words.ends - words.starts <= 6)
+    text = np.repeat(np.arange(len(texts)), np.diff(words.offsets))
+    short = np.flatnonzero(words.ends - words.starts <= 6)
+    spelled = list(_spelled(words, short))
+    if spelled:
+        values = np.concatenate([values, margins.of_readings([[joined] for _, joined in spelled])])
+        text = np.concatenate([text, [place for place, _ in spelled]])
     features = np.zeros((len(texts), FEATURES))
     features[:, 0] = 1
-    features[:, 1] = -1.0
-    counts = np.diff(words.offsets)
-    has = np.flatnonzero(counts)
-    if len(has):
-        features[has, 1] = np.maximum(-1.0, np.maximum.reduceat(values, words.offsets[has]))
-        features[has, 2] = np.add.reduceat((values > FOUND).astype(np.int64), words.offsets[has])
-    for text, joined in _spelled(words, single):
-        best = margins.of_units([joined])[0]
-        features[text, 1] = max(features[text, 1], best)
-        features[text, 2] += best > FOUND
-    features[:, 1] = np.minimum(features[:, 1], 3.0)
-    features[:, 3] = np.where(features[:, 2] > 0, np.log1p(counts), 0.0)
-    features[:, 2] = np.log1p(features[:, 2])
+    np.maximum.at(features[:, 1], text, values[:, 0])
+    rest = values[:, 0] <= FOUND
+    np.maximum.at(features[:, 2], text[rest], values[rest, 1])
+    np.add.at(features[:, 3], text[rest & (values[:, 1] > FOUND)], 1)
+    features[:, 1:3] = np.minimum(features[:, 1:3], MOST)
+    features[:, 4] = np.log1p(100 * features[:, 3] / np.maximum(np.diff(words.offsets), 1))
+    features[:, 3] = np.log1p(features[:, 3])
     return features
 
 
@@ -371,8 +430,8 @@ def train(
         F.xxhash64(F.col(id_column)).alias("_key"),
         F.col(id_column).alias("_id"),
     )
-    toxic = sample_per_class(known.where("_label = 1"), "_label", "_key", SAMPLE_TOXIC, 1)
-    clean = sample_per_class(known.where("_label = 0"), "_label", "_key", SAMPLE_CLEAN, 1)
+    toxic = sample_rows(known.where("_label = 1"), "_key", SAMPLE_TOXIC)
+    clean = sample_rows(known.where("_label = 0"), "_key", SAMPLE_CLEAN)
     chosen = stored(toxic.unionByName(clean), "toxicity-labels")
     texts = docs.where(F.col(text_column).isNotNull()).select(
         F.col(id_column).alias("_id"), F.col(text_column).alias("_text")
@@ -386,20 +445,26 @@ def train(
     weight = {label: labelled[label] / drawn[label] for label in total}
     whole = {label: weight[label] * n for label, n in total.items()}
     share = whole.get(1, 0) / max(1, sum(whole.values()))
-    nothing = Model(uuid.uuid4().hex, None, np.zeros(FEATURES), share)
+    name = uuid.uuid4().hex
+    nothing = Model(name, None, None, (), np.zeros(FEATURES), share)
     if len(total) < 2:
         return nothing
     counts = _unit_counts(sample.where(~calibrates))
-    toxic_units, clean_units = _examples(counts, prior)
-    if not toxic_units or not clean_units:
+    sure, leaning, clean_units = _examples(counts, prior)
+    if not leaning or not clean_units:
         warnings.warn(
             f"toxicity: no unit tells the {total[1]} toxic documents from the {total[0]} others; nothing is rejected",
             stacklevel=2,
         )
         return nothing
+    # Beginnings are looked at where stems were learnt, and longer by what may be put in.
+    open_ended = {len(text) - 1 for text in {*sure, *leaning} if not text.endswith(_END)}
+    stems = tuple(sorted({n + more for n in open_ended for more in range(3)}))
     mistakes = counts.where(f"n_clean >= 1 AND NOT {_leans(prior)}")
-    model = Model(uuid.uuid4().hex, _machine(toxic_units, clean_units, mistakes), np.zeros(FEATURES), share)
-    return model._replace(logistic=_calibrate(model, sample.where(calibrates), weight))
+    first = _machine(sure, clean_units, mistakes, stems, COPIES) if sure else None
+    second = _machine(leaning, clean_units, mistakes, stems, 1 if sure else COPIES)
+    model = Model(name, first, second, stems, np.zeros(FEATURES), share)
+    return model._replace(logistic=_calibrate(model, sample.where(calibrates), weight, sure))
 
 
 def _per_label(rows: DataFrame) -> dict[int, int]:
@@ -407,15 +472,17 @@ def _per_label(rows: DataFrame) -> dict[int, int]:
 
 
 def _unit_counts(sample: DataFrame) -> DataFrame:
-    """``unit, n_toxic, n_clean``: documents of each label that have the unit."""
+    """``unit, n_toxic, n_clean``: documents of each label with the marked unit or stem."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "_text"):
             found: dict[str, list[int]] = {}
             for label, text in zip(batch.column("_label").to_pylist(), batch.column("_text").to_pylist()):
-                for word in {unit(word) for word in text.encode().lower().split()}:
-                    if len(word) >= ORDER:
-                        found.setdefault(word, [0, 0])[label] += 1
+                names = {unit(word) for word in text.encode().lower().split()}
+                every = {marked(name) for name in names if len(name) >= ORDER}
+                every.update(stem for name in names for stem in stems_of(name, STEMS))
+                for name in every:
+                    found.setdefault(name, [0, 0])[label] += 1
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(list(found), pa.string()),
@@ -448,38 +515,77 @@ def _share_at(ratio: float, prior: float) -> float:
 
 
 def _leans(prior: float) -> str:
-    """SQL: the unit's rate in toxic documents is at least ``RATIO`` times that in clean ones."""
-    return f"(n_toxic >= {_share_at(RATIO, prior)!r}D * (n_toxic + n_clean))"
+    """SQL: the unit's rate in toxic documents is at least ``LEANING`` times that in clean ones."""
+    return f"(n_toxic >= {_share_at(LEANING, prior)!r}D * (n_toxic + n_clean))"
 
 
-def _examples(counts: DataFrame, prior: float) -> tuple[list[str], list[str]]:
-    """Units that tell toxic documents, and frequent and random ones of the others.
+def _examples(counts: DataFrame, prior: float) -> tuple[list[str], list[str], list[str]]:
+    """Sure and all toxic units, and frequent and random ones of the others.
 
-    Telling is what ``prior`` alone gives with a probability of at most ``CHANCE``,
-    and a rate ``RATIO`` times that in clean documents with at most ``DOUBT``.
+    A toxic unit's counts are what ``prior`` alone gives with a probability of at most
+    ``CHANCE``, and what a rate ``LEANING`` (or ``SURE``) times that in clean documents
+    gives with at most ``DOUBT``.
     """
     prior = min(0.999, max(prior, 1e-3))
     telling = counts.where("n_toxic >= 3").where(
-        f"{_improbable(prior, CHANCE)} AND {_improbable(_share_at(RATIO, prior), DOUBT)}"
+        f"{_improbable(prior, CHANCE)} AND {_improbable(_share_at(LEANING, prior), DOUBT)}"
     )
-    toxic = telling.orderBy(F.col("n_toxic").desc(), "unit").limit(TOXIC_UNITS).collect()
+    sure = F.expr(_improbable(_share_at(SURE, prior), DOUBT)).alias("sure")
+    ranked = telling.select("unit", "n_toxic", sure).orderBy(F.col("n_toxic").desc(), "unit")
+    rows = ranked.limit(20 * TOXIC_UNITS).collect()
+    toxic = _roots({row["unit"]: row["n_toxic"] for row in rows})[:TOXIC_UNITS]
+    surely = _roots({row["unit"]: row["n_toxic"] for row in rows if row["sure"]})[:TOXIC_UNITS]
     others = counts.where(f"n_clean >= 2 AND NOT {_leans(prior)}")
     frequent = others.orderBy(F.col("n_clean").desc(), "unit").limit(CLEAN_UNITS // 3).collect()
     random = others.orderBy(F.xxhash64("unit"), "unit").limit(CLEAN_UNITS).collect()
-    clean = list(dict.fromkeys(row["unit"] for row in [*frequent, *random]))
-    return [windows(row["unit"])[0] for row in toxic], [windows(text)[0] for text in clean]
+    clean = dict.fromkeys(row["unit"] for row in [*frequent, *random])
+    return surely, toxic, list(dict.fromkeys(part for text in clean for part in _cut(text)))
+
+
+def _roots(units: dict[str, int]) -> list[str]:
+    """Of units that begin alike those that stand for the others, by documents.
+
+    A unit goes if a beginning of it is in clearly more documents, and a beginning goes
+    if a longer unit is in nearly all of its documents. Long units count by their parts.
+    """
+    own = [
+        text
+        for text, number in units.items()
+        if not any(units.get(text[:n], 0) * EXPLAINED > number for n in range(2, len(text)))
+    ]
+    kept = [
+        text
+        for text in own
+        if not any(
+            longer != text and longer.startswith(text) and units[longer] >= EXPLAINED * units[text]
+            for longer in own
+        )
+    ]
+    return list(dict.fromkeys(part for text in kept for part in _cut(text)))
+
 
+def _cut(marked_unit: str) -> list[str]:
+    """The windows of a unit that may have marks already."""
+    if len(marked_unit) <= UNIT_CHARS:
+        return [marked_unit]
+    return windows(marked_unit.strip(_BEGIN + _END))
 
-def _mistaken(units: DataFrame, margin: Margin) -> list[str]:
+
+def _mistaken(units: DataFrame, margin: Margin, stems: tuple[int, ...]) -> list[str]:
     """Those of ``units``, which are no insults, nearest to the toxic side."""
+    open_ended = [length + 1 for length in stems]
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [windows(text)[0] for text in batch.column("unit").to_pylist()]
+            known = (text for text in batch.column("unit").to_pylist())
+            seen = [text for text in known if text.endswith(_END) or len(text) in open_ended]
+            texts = [part for text in seen for part in _cut(text)]
             values = margins_of(margin, texts)
-            yield pa.RecordBatch.from_arrays([pa.array(texts), pa.array(values, pa.float64())], names=["unit", "m"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(texts, pa.string()), pa.array(values, pa.float64())], names=["unit", "m"]
+            )
 
-    found = units.select("unit").mapInArrow(margins, "unit string, m double").where("m > -0.7")
+    found = units.select("unit").mapInArrow(margins, "unit string, m double").where("m > -0.7").distinct()
     return [row["unit"] for row in found.orderBy(F.col("m").desc(), "unit").limit(MISTAKEN_UNITS).collect()]
 
 
@@ -495,70 +601,101 @@ def _farthest(units: list[str], number: int) -> list[str]:
     return chosen
 
 
-def _with_insertions(toxic: list[str]) -> list[str]:
-    """Copies of the insults, each with one letter of the others put in."""
-    rng = np.random.default_rng(0)
-    letters = sorted({x for text in toxic for x in text[1:-1]})
+def disguised(units: list[str], letters: list[str], copies: int, seed: int) -> list[str]:
+    """Copies of marked units with characters put in, dropped, repeated or hidden.
+
+    Nothing is dropped or hidden of very short units, as the rest is in many words.
+    """
+    rng = np.random.default_rng(seed)
+    pick = lambda: letters[rng.integers(len(letters))]
     out = []
-    for text in toxic:
-        if len(text) > ORDER + 3:
-            at = int(rng.integers(2, len(text) - 1))
-            out.append(text[:at] + letters[rng.integers(len(letters))] + text[at:])
-    return out
+    for text in units * copies:
+        first, last = 1, len(text) - text.endswith(_END)
+        if last - first < ORDER:
+            continue
+        for number in range(1, INSERTIONS + 1):
+            for _ in range(2):
+                copy = text
+                for at in sorted(rng.integers(first + 1, last, number), reverse=True):
+                    copy = copy[:at] + (pick() if rng.random() < 0.7 else _UNKNOWN) + copy[at:]
+                out.append(copy)
+        for at in rng.permutation(np.arange(first, last))[:3]:
+            out.append(text[:at] + text[at] * int(rng.integers(1, INSERTIONS + 1)) + text[at:])
+            if last - first > ORDER:
+                out.append(text[:at] + text[at + 1 :])
+                out.append(text[:at] + _UNKNOWN + text[at + 1 :])
+    return list(dict.fromkeys(out))
+
+
+def _letters_of(units: list[str]) -> list[str]:
+    return sorted({x for text in units for x in text} - {_BEGIN, _END, _UNKNOWN})
 
 
 def _machine(
-    toxic: list[str], clean: list[str], others: DataFrame | None
+    toxic: list[str], clean: list[str], others: DataFrame, stems: tuple[int, ...], copies: int
 ) -> Margin:
     """Nystroem features, then a linear machine; mistaken clean units join in rounds.
 
-    The mistaken ones also give landmarks, since they differ least from the insults.
+    Disguised copies and the mistaken ones also give landmarks, since they differ
+    least from the other side.
     """
-    clean, own = list(clean), _farthest(toxic, TOXIC_LANDMARKS)
-    toxic = toxic + _with_insertions(toxic)
-    landmarks = own + _farthest(clean[:500], CLEAN_LANDMARKS)
+    clean, known = list(clean), set(clean)
+    hidden = [x for x in disguised(toxic, _letters_of(clean), copies, seed=0) if x not in known]
+    landmarks = _farthest(toxic, TOXIC_LANDMARKS)
+    if hidden:
+        landmarks = landmarks + _farthest(hidden, TOXIC_LANDMARKS)
+    landmarks = list(dict.fromkeys(landmarks + _farthest(clean[:500], CLEAN_LANDMARKS)))
+    toxic, alike = toxic + hidden, [np.zeros((0, 0), np.float32)] * 2
     for mining in range(MINING_ROUNDS + 1):
+        alike = [_extended(*pair, landmarks) for pair in zip(alike, (toxic, clean))]
         values, vectors = np.linalg.eigh(similarities(landmarks, landmarks).astype(np.float64))
         # Symmetric inverse root of the landmarks' own kernel, without its null space.
         inverse = np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0)
         root = vectors @ np.diag(inverse) @ vectors.T
-        weights, bias = _pegasos(
-            similarities(toxic, landmarks) @ root, similarities(clean, landmarks) @ root
-        )
+        weights, bias = _support_vectors(alike[0] @ root, alike[1] @ root)
         margin = margin_of(landmarks, root @ weights, float(bias))
-        if others is None or mining == MINING_ROUNDS:
+        if mining == MINING_ROUNDS:
             break
-        known = set(clean)
-        wrong = [text for text in _mistaken(others, margin) if text not in known]
+        wrong = [text for text in _mistaken(others, margin, stems) if text not in known]
         if not wrong:
             break
         clean += wrong
-        if mining == 0:
-            landmarks = landmarks + [x for x in _farthest(wrong, CLEAN_LANDMARKS) if x not in landmarks]
+        known.update(wrong)
+        if mining < 2:
+            landmarks = list(dict.fromkeys(landmarks + _farthest(wrong, CLEAN_LANDMARKS)))
     return margin
 
 
-def _pegasos(toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, float]:
-    """Hinge loss with both classes weighing the same, by averaged subgradient steps."""
-    x = np.concatenate([toxic, clean])
+def _extended(known: np.ndarray, units: list[str], landmarks: list[str]) -> np.ndarray:
+    """``similarities(units, landmarks)``, of which the first rows and columns are known."""
+    rows, columns = known.shape
+    right = similarities(units[:rows], landmarks[columns:])
+    return np.concatenate([np.concatenate([known, right], 1), similarities(units[rows:], landmarks)])
+
+
+def _support_vectors(toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared hinge loss with both classes weighing the same, by Newton steps."""
+    x = np.concatenate([toxic, clean]).astype(np.float64)
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     y = np.concatenate([np.ones(len(toxic)), -np.ones(len(clean))])
     share = np.concatenate([np.full(len(toxic), 0.5 / len(toxic)), np.full(len(clean), 0.5 / len(clean))])
-    weights, mean, steps, ridge = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 4000, 1e-4
-    for step in range(1, steps + 1):
+    weights = np.zeros(x.shape[1])
+    for _ in range(30):
         inside = y * (x @ weights) < 1
-        gradient = ridge * weights - (share * y * inside) @ x
-        weights = weights - min(5.0, 1 / (ridge * step)) / (1 + 0.01 * step) * gradient
-        if step > steps // 2:
-            mean += weights
-    mean /= steps - steps // 2
-    return mean[:-1], float(mean[-1])
+        part = x[inside] * share[inside, None]
+        curve = part.T @ x[inside] + RIDGE * np.eye(len(weights))
+        step = np.linalg.solve(curve, part.T @ y[inside])
+        if np.allclose(step, weights, atol=1e-8):
+            break
+        weights = step
+    return weights[:-1], float(weights[-1])
 
 
-def _calibrate(model: Model, sample: DataFrame, weight: dict[int, float]) -> np.ndarray:
+def _calibrate(model: Model, sample: DataFrame, weight: dict[int, float], sure: list[str]) -> np.ndarray:
     """Logistic regression of the labels on the documents' features.
 
-    ``weight`` is how many labels one row of each class stands for.
+    ``weight`` is how many labels one row of each class stands for. Disguised copies
+    of the ``sure`` units weigh as much as the toxic documents.
     """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -566,17 +703,25 @@ def _calibrate(model: Model, sample: DataFrame, weight: dict[int, float]) -> np.
             found = document_features(model, batch.column("_text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_label"), *[pa.array(found[:, k]) for k in range(1, FEATURES)]],
-                names=["label", "margin", "found", "words"],
+                names=["label", *names],
             )
 
-    rows = sample.mapInArrow(features, "label int, margin double, found double, words double")
-    rows = rows.orderBy("label", "margin", "found", "words").collect()
-    x = np.array([[1.0, row["margin"], row["found"], row["words"]] for row in rows])
-    y = np.array([row["label"] for row in rows], float)
+    names = ["sure", "leaning", "found", "density"]
+    rows = sample.mapInArrow(features, ", ".join(["label int", *[f"{name} double" for name in names]]))
+    rows = rows.orderBy("label", *names).collect()
     weights = np.zeros(FEATURES)
     if not len(rows):
-        return np.array([0.0, 1.0, 1.0, 0.0])
+        return np.array([0.0, *[1.0] * (FEATURES - 1)])
+    x = np.array([[1.0, *[row[name] for name in names]] for row in rows])
+    y = np.array([row["label"] for row in rows], float)
     stands = np.array([weight[row["label"]] for row in rows])
+    copies = disguised(sure, _letters_of(sure), 1, seed=1)
+    if model.sure is not None and copies and y.any():
+        alone = np.zeros((len(copies), FEATURES))
+        alone[:, 0] = 1
+        alone[:, 1] = np.clip(margins_of(model.sure, copies), 0, MOST)
+        stands = np.concatenate([stands, np.full(len(copies), stands[y == 1].sum() / len(copies))])
+        x, y = np.concatenate([x, alone]), np.concatenate([y, np.ones(len(copies))])
     stands /= stands.mean()
     for _ in range(100):  # Newton steps with a small ridge
         chance = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
@@ -586,7 +731,7 @@ def _calibrate(model: Model, sample: DataFrame, weight: dict[int, float]) -> np.
 
 
 def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
-    if model.margin is None:
+    if model.leaning is None:
         return np.full(len(texts), min(model.prior, math.nextafter(0.5, 0)))
     values = document_features(model, texts) @ model.logistic
     return 1 / (1 + np.exp(-np.clip(values, -30, 30)))
