@@ -82,6 +82,7 @@ CLEAN_UNITS = 3000
 MISTAKEN_UNITS = 1000
 TOXIC_LANDMARKS = 96
 CLEAN_LANDMARKS = 48
+LANDMARK_POOL = 1000
 COPIES = 3
 MINING_ROUNDS = 3
 RIDGE = 1e-5
@@ -152,31 +153,6 @@ def _codes(units: list[str]) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), "<u4").reshape(len(units), width).astype(np.int32)
 
 
-def kernel(units: list[str], landmark: str) -> np.ndarray:
-    """Subsequence kernel of every unit with ``landmark``, not normalised.
-
-    The usual recursion over the landmark's characters and the units' positions,
-    for all units at once.
-    """
-    codes = _codes(units).T
-    width, number = codes.shape
-    # tails[o][j]: matches of o characters so far, weighted to position j of the unit
-    tails = np.zeros((ORDER, width + 1, number), np.float32)
-    tails[0] = 1
-    total = np.zeros(number, np.float32)
-    for character in landmark:
-        same = (codes == ord(character)).astype(np.float32)
-        total += DECAY * DECAY * (tails[ORDER - 1][:-1] * same).sum(0)
-        for order in range(ORDER - 1, 0, -1):
-            run = np.zeros(number, np.float32)
-            lower, own = tails[order - 1], tails[order]
-            own *= DECAY
-            for j in range(width):
-                run = DECAY * (run + DECAY * same[j] * lower[j])
-                own[j + 1] += run
-    return total
-
-
 def _own_kernel(units: list[str]) -> np.ndarray:
     """Kernel of each unit with itself."""
     codes = _codes(units).T
@@ -198,56 +174,84 @@ def _own_kernel(units: list[str]) -> np.ndarray:
     return total
 
 
-def similarities(units: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel, a row per unit; 0 for units too short for the order."""
-    out = np.zeros((len(units), len(landmarks)), np.float32)
-    own_landmarks = _own_kernel(landmarks) if landmarks else np.zeros(0)
-    lengths = np.array([len(x) for x in units])
-    # Units of like length together, so little padding is computed.
+def _subsequences(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Alphabet, sorted subsequences as numbers, and a row per subsequence with its weight in each landmark."""
+    alphabet = np.unique(_codes(landmarks))
+    alphabet = alphabet[alphabet > 0]
+    base, found = len(alphabet) + 1, {}
+    for column, landmark in enumerate(landmarks):
+        letters = np.searchsorted(alphabet, [ord(x) for x in landmark]) + 1
+        for places in itertools.combinations(range(len(letters)), ORDER):
+            code = 0
+            for place in places:
+                code = code * base + int(letters[place])
+            own = found.setdefault(code, {})
+            own[column] = own.get(column, 0.0) + DECAY ** (places[-1] - places[0] + 1)
+    codes = np.array(sorted(found), np.int64)
+    weights = np.zeros((len(codes), len(landmarks)), np.float32)
+    for row, code in enumerate(codes.tolist()):
+        for column, weight in found[code].items():
+            weights[row, column] = weight
+    return alphabet, codes, weights
+
+
+def _by_length(units: list[str]) -> Iterator[np.ndarray]:
+    """Places of the units long enough, like lengths together, so little padding is computed."""
+    lengths = np.array([len(x) for x in units], np.int64)
     order = np.argsort(lengths, kind="stable")
     order = order[lengths[order] >= ORDER]
     for begin in range(0, len(order), CHUNK):
-        rows = order[begin : begin + CHUNK]
+        yield order[begin : begin + CHUNK]
+
+
+def _letters(alphabet: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Characters as places in ``alphabet`` from 1; 0 for others."""
+    place = np.minimum(np.searchsorted(alphabet, codes), len(alphabet) - 1)
+    return np.where(alphabet[place] == codes, place + 1, 0)
+
+
+def similarities(units: list[str], landmarks: list[str]) -> np.ndarray:
+    """Normalised kernel, a row per unit; 0 for units too short for the order."""
+    out = np.zeros((len(units), len(landmarks)), np.float32)
+    if not landmarks or not units:
+        return out
+    alphabet, known, weights = _subsequences(landmarks)
+    base = len(alphabet) + 1
+    if not len(known):
+        return out
+    own_landmarks = np.sqrt(np.maximum(_own_kernel(landmarks), 1e-12))
+    for rows in _by_length(units):
         some = [units[i] for i in rows]
-        own = _own_kernel(some)
-        for column, landmark in enumerate(landmarks):
-            scale = np.sqrt(own * own_landmarks[column])
-            out[rows, column] = kernel(some, landmark) / np.maximum(scale, 1e-12)
+        letters = _letters(alphabet, _codes(some).T).astype(np.int64)
+        total = np.zeros((len(rows), len(landmarks)), np.float32)
+        for places in itertools.combinations(range(len(letters)), ORDER):
+            code = letters[places[0]]
+            for place in places[1:]:
+                code = code * base + letters[place]
+            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            same = np.flatnonzero(known[at] == code)
+            total[same] += np.float32(DECAY ** (places[-1] - places[0] + 1)) * weights[at[same]]
+        own = np.sqrt(np.maximum(_own_kernel(some), 1e-12))
+        out[rows] = total / own[:, None] / own_landmarks[None, :]
     return out
 
 
 def margin_of(landmarks: list[str], weights: np.ndarray, bias: float) -> Margin:
     """``similarities(units, landmarks) @ weights + bias``, prepared for many units."""
-    alphabet = np.unique(_codes(landmarks))
-    alphabet = alphabet[alphabet > 0]
-    base = len(alphabet) + 1
+    alphabet, codes, parts = _subsequences(landmarks)
     scale = np.asarray(weights) / np.sqrt(np.maximum(_own_kernel(landmarks), 1e-12))
-    found: dict[int, float] = {}
-    for landmark, weight in zip(landmarks, scale, strict=True):
-        letters = np.searchsorted(alphabet, [ord(x) for x in landmark]) + 1
-        for places in itertools.combinations(range(len(letters)), ORDER):
-            code = 0
-            for place in places:
-                code = code * base + int(letters[place])
-            span = places[-1] - places[0] + 1
-            found[code] = found.get(code, 0.0) + float(weight) * DECAY**span
-    codes = np.array(sorted(found), np.int64)
-    return Margin(alphabet, codes, np.array([found[code] for code in codes], np.float32), bias)
+    return Margin(alphabet, codes, (parts @ scale).astype(np.float32), bias)
 
 
 def margins_of(margin: Margin, units: list[str]) -> np.ndarray:
     """The margin of each unit: its subsequences' weights over its own norm."""
     out = np.full(len(units), margin.bias, np.float32)
-    lengths = np.array([len(x) for x in units])
-    order = np.argsort(lengths, kind="stable")
-    order = order[lengths[order] >= ORDER]
     base = len(margin.alphabet) + 1
     dense = None
     if base**ORDER <= DENSE_CODES:
         dense = np.zeros(base**ORDER, np.float32)
         dense[margin.codes] = margin.weights
-    for begin in range(0, len(order), CHUNK):
-        rows = order[begin : begin + CHUNK]
+    for rows in _by_length(units):
         some = [units[i] for i in rows]
         out[rows] += _weighted(margin, dense, _codes(some).T) / np.sqrt(
             np.maximum(_own_kernel(some), 1e-12)
@@ -258,8 +262,7 @@ def margins_of(margin: Margin, units: list[str]) -> np.ndarray:
 def _weighted(margin: Margin, dense: np.ndarray | None, codes: np.ndarray) -> np.ndarray:
     """Sum over all subsequences of ``ORDER`` characters, a column per unit."""
     base = len(margin.alphabet) + 1
-    place = np.minimum(np.searchsorted(margin.alphabet, codes), len(margin.alphabet) - 1)
-    letters = np.where(margin.alphabet[place] == codes, place + 1, 0)
+    letters = _letters(margin.alphabet, codes)
     width, number = letters.shape
     total = np.zeros(number, np.float32)
     # Prefixes are kept by their first position; a subsequence ends at ``last``.
@@ -591,14 +594,16 @@ def _mistaken(units: DataFrame, margin: Margin, stems: tuple[int, ...]) -> list[
 
 def _farthest(units: list[str], number: int) -> list[str]:
     """Landmarks: each the unit least like those chosen before, the first the most frequent."""
-    chosen, nearest = [units[0]], similarities(units, units[:1])[:, 0]
-    while len(chosen) < min(number, len(units)):
+    pool = units[:: -(-len(units) // LANDMARK_POOL)]
+    alike = similarities(pool, pool)
+    chosen, nearest = [0], alike[0].copy()
+    while len(chosen) < min(number, len(pool)):
         place = int(nearest.argmin())
         if nearest[place] > 0.95:
             break
-        chosen.append(units[place])
-        nearest = np.maximum(nearest, similarities(units, [units[place]])[:, 0])
-    return chosen
+        chosen.append(place)
+        nearest = np.maximum(nearest, alike[place])
+    return [pool[place] for place in chosen]
 
 
 def disguised(units: list[str], letters: list[str], copies: int, seed: int) -> list[str]:
