@@ -20,7 +20,9 @@ from codestrata.operators.nodes import (  # noqa: E402
     nodes_by_blob,
     select_nodes,
     stored_nodes,
+    subtrees,
     texts_without_tree,
+    trees_by_blob,
     unsupported_languages,
 )
 from codestrata.plans import analyses  # noqa: E402
@@ -354,6 +356,20 @@ _add(
     ).select("blob_hash", F.json_array_length("nodes").cast("bigint").alias("num_nodes")),
     "SELECT blob_hash, functions AS num_nodes FROM python_source SEMI JOIN languages USING (blob_hash)",
 )
+
+
+def _subtrees_per_blob(ds) -> DataFrame:
+    nodes = stored_nodes(ds).where(F.col("lang") == "python")
+    trees = trees_by_blob(subtrees(nodes, select_nodes(nodes, "/Module/FunctionGroup[@Name]")))
+    return trees.select("blob_hash", F.length("nodes").alias("chars"), F.md5("nodes").alias("nodes"))
+
+
+_add(
+    "subtrees_per_blob",
+    _subtrees_per_blob,
+    "SELECT blob_hash, CAST(length(functions) AS INTEGER) AS chars, md5(functions) AS nodes "
+    "FROM python_trees SEMI JOIN languages USING (blob_hash)",
+)
 _add_sql(
     "tree_function_in_sql",
     "SELECT repository_id, blob_hash, CAST(ARRAY_LENGTH(UAST(blob_content, "
@@ -380,9 +396,11 @@ _add(
     lambda ds: analyses.functions_of_language(ds, "Python").select(
         "repository_id",
         "file_path",
+        "functions",
         F.json_array_length("functions").cast("bigint").alias("num_functions"),
     ),
-    f"SELECT repository_id, file_path, functions AS num_functions {_HEAD_PYTHON}",
+    "SELECT repository_id, file_path, t.functions, python_source.functions AS num_functions "
+    f"{_HEAD_PYTHON.replace('WHERE', 'JOIN python_trees t USING (blob_hash) WHERE')}",
 )
 _add(
     "functions_of_java_files",
@@ -396,9 +414,11 @@ _add(
     lambda ds: analyses.files_calling(ds, "trim").select(
         "repository_id",
         "file_path",
+        "functionCall",
         F.json_array_length("functionCall").cast("bigint").alias("num_calls"),
     ),
-    f"SELECT repository_id, file_path, calls AS num_calls {_HEAD_PYTHON} AND trims",
+    'SELECT repository_id, file_path, t.calls AS "functionCall", python_source.calls AS num_calls '
+    f"{_HEAD_PYTHON.replace('WHERE', 'JOIN trim_calls t USING (blob_hash) WHERE')} AND trims",
 )
 
 _add(

@@ -3,7 +3,8 @@
 Stored relations hold each fact once:
 
 * ``contents``: one row per distinct blob, shared by all repositories;
-* ``tree_files``: the file list of each distinct root tree, with languages;
+* ``tree_files``: the file list of each distinct root tree, with languages. A
+  snapshot keeps the lists at the tips of refs in folders of their own;
 * ``tree_entries`` and ``subtrees``: the entries of each tree and the trees
   below each root tree. Left out when trees are flat;
 * ``hot_trees`` and ``hot_blobs``: trees that very many commits share and
@@ -39,6 +40,11 @@ STORED = (
     "contents",
 )
 
+HEAD = "HEAD"
+
+# Values of ``tip`` in stored file lists, in this order: what has the tree at its tip.
+AT_HEAD, AT_REF, IN_HISTORY = "HEAD", "ref", "none"
+
 # Rows of one key in one join group; keys with more are split.
 COMMITS_PER_TREE = 1000
 FILES_PER_BLOB = 100_000
@@ -97,7 +103,18 @@ class Dataset:
     @property
     def classified_files(self) -> DataFrame:
         """``files`` without content, with the ``language`` of each file."""
-        return with_language(self.stored["tree_files"], self.contents)
+        return with_language(self.stored["tree_files"], self.contents).drop("tip")
+
+    def classified_files_at_tips(self, ref: str) -> DataFrame:
+        """``classified_files`` of few more trees than those at the tip of ``ref``.
+
+        Where file lists tell their tips, only those of ``HEAD``, or of all refs, are read.
+        """
+        files = self.stored["tree_files"]
+        if "tip" in files.columns:
+            at = [AT_HEAD] if ref == HEAD else [AT_HEAD, AT_REF]
+            files = files.where(F.col("tip").isin(at)).drop("tip")
+        return with_language(files, self.contents)
 
     @property
     def tree_files(self) -> DataFrame:

@@ -274,6 +274,95 @@ def nodes_by_blob(nodes: DataFrame) -> DataFrame:
     )
 
 
+def trees_selected(
+    ds: Dataset, files: DataFrame, query: str, languages: Iterable[str] | None = None
+) -> DataFrame:
+    """``blob_hash, lang, pre, tree``: whole subtrees of the nodes that ``query`` selects.
+
+    Like ``nodes_selected``, from the stored node table if there is one; otherwise
+    the files' distinct blobs are parsed once and their nodes written.
+    """
+    if "code_nodes" in ds.stored:
+        keys = parsable_keys(files, ds.contents, languages)
+        nodes = stored_nodes(ds).join(keys, BLOB_KEY, "left_semi")
+    else:
+        nodes = materialize(code_nodes(ds, files, languages), "nodes")
+    return subtrees(nodes, select_nodes(nodes, query))
+
+
+def subtrees(nodes: DataFrame, selected: DataFrame) -> DataFrame:
+    """``blob_hash, lang, pre, tree``: each selected node with all below it, as JSON.
+
+    ``nodes`` has every node of the texts. A node's last descendant is number ``post +
+    depth`` in document order, so a subtree is an interval of ``pre`` and its JSON is
+    written from left to right: each node opens its object, and closes as many as
+    the next node is less deep. Selected nodes on one level of nesting do not
+    overlap, so one sorted pass per level gives each node the root it is in: no
+    pairs of roots and nodes are formed, and a row is made only for nodes inside.
+    """
+    roots = _nested(selected)
+    levels = roots.select(*BLOB_KEY, "_level").distinct()
+    root = F.struct("pre", (F.col("post") + F.col("depth")).alias("last"), "depth")
+    marks = roots.select(*BLOB_KEY, "_level", "pre", "depth", root.alias("_mark"))
+    rows = nodes.join(levels, BLOB_KEY).unionByName(marks, allowMissingColumns=True)
+    # A mark comes before the node it marks, with the same depth.
+    document = Window.partitionBy(*BLOB_KEY, "_level").orderBy("pre", F.col("_mark").isNull())
+    inside = (
+        rows.withColumn("_root", F.last("_mark", ignorenulls=True).over(document))
+        .withColumn("_next", F.lead("depth").over(document))
+        .where("_mark IS NULL AND pre <= _root.last")
+    )
+    first = (F.col("pre") == F.col("_root.pre")) | (F.col("pre") == F.col("parent_pre") + 1)
+    next_depth = F.when(F.col("pre") < F.col("_root.last"), F.col("_next")).otherwise(F.col("_root.depth"))
+    part = F.concat(
+        F.when(first, F.lit("")).otherwise(F.lit(",")),
+        F.expr("left(_head, length(_head) - 1)"),
+        F.lit(',"children":['),
+        F.repeat(F.lit("]}"), F.col("depth") - next_depth + 1),
+    )
+    parts = F.sort_array(F.collect_list(F.struct("pre", part.alias("part"))))
+    return (
+        inside.withColumn("_head", tree_head())
+        .groupBy(*BLOB_KEY, F.col("_root.pre").alias("root_pre"))
+        .agg(F.array_join(F.transform(parts, lambda n: n["part"]), "").alias("tree"))
+        .withColumnRenamed("root_pre", "pre")
+    )
+
+
+def _nested(selected: DataFrame) -> DataFrame:
+    """``selected`` with ``_level``: how many of the others each node lies in."""
+    opens, closes = F.col("pre") * 2, (F.col("post") + F.col("depth")) * 2 + 1
+    edge = F.array(
+        F.struct(opens.alias("at"), F.lit(1).alias("step")),
+        F.struct(closes.alias("at"), F.lit(-1).alias("step")),
+    )
+    edges = selected.select(*BLOB_KEY, "pre", "post", "depth", F.explode(edge).alias("_edge"))
+    before = Window.partitionBy(*BLOB_KEY).orderBy("_edge.at")
+    return edges.withColumn("_level", F.sum("_edge.step").over(before) - 1).where("_edge.step = 1")
+
+
+def tree_head() -> Column:
+    """The node's own part of its JSON in a tree; what it does not have is left out."""
+    position = F.struct(F.col("start_line").alias("start"), F.col("end_line").alias("end"))
+    return F.to_json(
+        F.struct(
+            F.col("type").alias("@type"),
+            F.when(F.size("roles") > 0, F.col("roles")).alias("@role"),
+            F.col("token").alias("@token"),
+            F.when(F.col("start_line").isNotNull(), position).alias("@pos"),
+            "attrs",
+        )
+    )
+
+
+def trees_by_blob(trees_of: DataFrame) -> DataFrame:
+    """``blob_hash, lang, nodes``: JSON array text of each blob's subtrees in document order."""
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("pre", "tree"))), lambda n: n["tree"])
+    return trees_of.groupBy(*BLOB_KEY).agg(
+        F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")).alias("nodes")
+    )
+
+
 def drivers(ds: Dataset) -> DataFrame:
     """Supported languages and the version of their parser."""
     return ds.spark.createDataFrame(sorted(PARSERS.items()), "language string, version string")

@@ -10,17 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.dataset import Dataset
+from codestrata.dataset import HEAD, Dataset
 from codestrata.functions.sql import uast
 from codestrata.operators.nodes import (
-    nodes_by_blob,
-    nodes_selected,
     parsable_blobs,
     per_file,
+    trees_by_blob,
+    trees_selected,
 )
 
-HEAD = "HEAD"
-
 
 def _reachable(ds: Dataset, ref: str) -> DataFrame:
     return ds.table("ref_commits").where(F.col("ref_name") == ref)
@@ -46,7 +44,8 @@ def tip_trees(ds: Dataset, ref: str = HEAD) -> DataFrame:
 
 def tip_files(ds: Dataset, ref: str = HEAD) -> DataFrame:
     """Files of each repository at the tip of ``ref``: path, hashes and language."""
-    return ds.classified_files.join(tip_trees(ds, ref), ["repository_id", "tree_hash"])
+    lists = ds.classified_files_at_tips(ref)
+    return lists.join(tip_trees(ds, ref), ["repository_id", "tree_hash"])
 
 
 def top_repositories_by_commits(ds: Dataset, k: int = 10, ref: str = HEAD) -> DataFrame:
@@ -73,10 +72,10 @@ def uast_at_head(ds: Dataset, ref: str = HEAD) -> DataFrame:
 
 
 def functions_of_language(ds: Dataset, language: str, ref: str = HEAD) -> DataFrame:
-    """Functions in the files of one language at the tip; NULL where there is no tree."""
+    """Functions, whole, in the files of one language at the tip; NULL where there is no tree."""
     files = tip_files(ds, ref).where(F.lower("language") == language.lower())
-    functions = nodes_selected(ds, files, "//FunctionGroup", [language])
-    return per_file(ds, files, nodes_by_blob(functions), "left").select(
+    functions = trees_selected(ds, files, "//FunctionGroup", [language])
+    return per_file(ds, files, trees_by_blob(functions), "left").select(
         "repository_id", "file_path", F.col("nodes").alias("functions")
     )
 
@@ -85,7 +84,7 @@ def files_calling(ds: Dataset, method: str, ref: str = HEAD) -> DataFrame:
     """Files at the tip that call ``method``, with the calls."""
     files = tip_files(ds, ref)
     path = f'//*[@roleCallee]/Identifier[@Name="{method}"]'
-    calls = nodes_by_blob(nodes_selected(ds, files, path))
+    calls = trees_by_blob(trees_selected(ds, files, path))
     return per_file(ds, files, calls).select(
         "repository_id", "file_path", F.col("nodes").alias("functionCall")
     )

@@ -40,16 +40,23 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
 
 
 def write_clustered(
-    df: DataFrame, columns: Sequence[str], path: str, bloom_filters: bool = False
+    df: DataFrame,
+    columns: Sequence[str],
+    path: str,
+    bloom_filters: bool = False,
+    folders: Sequence[str] = (),
 ) -> DataFrame:
     """``write_table`` sorted on ``columns``, so filters on them skip files and row groups.
 
     A hash of the row ends the range key: rows with one hot value spread over
-    several files instead of one task.
+    several files instead of one task. Each value of the columns ``folders`` has a
+    folder of its own, so a filter on them does not look at the others.
     """
-    keys = [F.col(column) for column in columns]
+    keys = [F.col(column) for column in (*folders, *columns)]
     rest = F.xxhash64(*df.columns)
     writer = df.repartitionByRange(*keys, rest).sortWithinPartitions(*keys).write
+    if folders:
+        writer = writer.partitionBy(*folders)
     if bloom_filters:
         for column in columns:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")

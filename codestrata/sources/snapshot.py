@@ -18,9 +18,10 @@ from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codestrata.dataset import Dataset
+from codestrata.dataset import AT_HEAD, AT_REF, HEAD, IN_HISTORY, Dataset
 from codestrata.scratch import (
     is_materialized,
     materialize,
@@ -37,6 +38,9 @@ CLUSTERED_ON = {
     "tree_files": ("file_path", "repository_id"),
 }
 
+# Columns with a folder per value.
+FOLDERS = {"tree_files": ("tip",)}
+
 # Snapshots opened by this application: (application, source, store) -> dataset.
 _opened: dict[tuple[str, str, str | None], Dataset] = {}
 
@@ -74,14 +78,19 @@ def open_snapshot(
 
 def _built(spark: SparkSession, source: str, build, home: str, durable: bool) -> Dataset:
     folder = f"{home}/snapshot-{uuid.uuid4().hex}"
-    relations = build(spark, source)
+    relations = dict(build(spark, source))
+    relations["tree_files"] = with_tips(
+        relations["tree_files"], relations["refs"], relations["commits"]
+    )
 
     def stored(item: tuple[str, DataFrame]) -> DataFrame:
         name, df = item
         if name in CLUSTERED_ON:
             # Range partitioning samples its input first: without a table it would run twice.
             df = df if is_materialized(df) else materialize(df, name)
-            return write_clustered(df, CLUSTERED_ON[name], f"{folder}/{name}")
+            return write_clustered(
+                df, CLUSTERED_ON[name], f"{folder}/{name}", folders=FOLDERS.get(name, ())
+            )
         # Steps of this application do not outlive it.
         return df if is_materialized(df) and not durable else write_table(df, f"{folder}/{name}")
 
@@ -100,6 +109,23 @@ def _built(spark: SparkSession, source: str, build, home: str, durable: bool) ->
     return dataset
 
 
+def with_tips(tree_files: DataFrame, refs: DataFrame, commits: DataFrame) -> DataFrame:
+    """``tree_files`` with ``tip``: ``HEAD``, ``ref`` or ``none``, the first that has the tree at its tip.
+
+    Most lists belong to history; a question about a tip reads a folder whose size
+    grows with the repositories (or their refs), not with the commits.
+    """
+    key = ["repository_id", "tree_hash"]
+    rank = F.when(F.col("ref_name") == HEAD, F.lit(AT_HEAD)).otherwise(F.lit(AT_REF))
+    tips = (
+        refs.join(commits.select(*key, "commit_hash"), ["repository_id", "commit_hash"])
+        .groupBy(*key)
+        .agg(F.min(rank).alias("tip"))
+    )
+    joined = tree_files.join(materialize(tips, "tips"), key, "left")
+    return joined.withColumn("tip", F.coalesce("tip", F.lit(IN_HISTORY)))
+
+
 def _reopened(spark: SparkSession, home: str) -> Dataset | None:
     """The newest complete snapshot below ``home``, if there is one."""
     rows = notes(spark, f"{home}/snapshots")

@@ -114,6 +114,46 @@ VIEWS: dict[str, str] = {
                CAST(len(regexp_extract_all(text, '[^A-Za-z\\n]+')) +
                     len(regexp_extract_all(text, '\\n+')) AS BIGINT) + 1 AS calls
         FROM documents WHERE doc_id > 1 AND doc_id % 6 = 0""",
+    # JSON of the calls and functions of each Python blob, from the words and lines of its text.
+    "python_calls": """
+        SELECT blob_hash, i, j, callee,
+               '{"@type":"Identifier","@role":["Identifier","Expression"],"@token":"' || callee || '",' || pos ||
+               ',"attrs":{"Name":"' || callee || '"},"children":[]}' AS callee_node,
+               '{"@type":"Identifier","@role":["Identifier","Expression"],"@token":"w_' || word || '",' || pos ||
+               ',"attrs":{"Name":"w_' || word || '"},"children":[]}' AS argument_node, pos
+        FROM (
+          SELECT blob_hash, callee, i, unnest(words) AS word, unnest(generate_series(1, len(words))) AS j,
+                 '"@pos":{"start":' || CAST(2 * i AS VARCHAR) || ',"end":' || CAST(2 * i AS VARCHAR) || '}' AS pos
+          FROM (
+            SELECT blob_hash, callee, i, string_split_regex(line, '[^A-Za-z]+') AS words
+            FROM (
+              SELECT md5('blob-' || CAST(doc_id AS VARCHAR)) AS blob_hash,
+                     CASE WHEN doc_id % 12 = 6 THEN 'trim' ELSE 'strip' END AS callee,
+                     unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS i
+              FROM (SELECT doc_id, string_split_regex(text, '\\n+') AS lines FROM documents
+                    WHERE doc_id > 1 AND doc_id % 6 = 0) d) l) w) c""",
+    "python_functions": """
+        SELECT blob_hash, i,
+               '{"@type":"FunctionGroup","@role":["Function","Declaration"],"@pos":{"start":' ||
+               CAST(2 * i - 1 AS VARCHAR) || ',"end":' || CAST(2 * i AS VARCHAR) ||
+               '},"attrs":{"Name":"f"},"children":[{"@type":"Identifier","@role":["Identifier","Name"],"@token":"f",' ||
+               head || ',"attrs":{"Name":"f"},"children":[]},{"@type":"arguments","attrs":{},"children":[' ||
+               '{"@type":"Argument","@role":["Argument"],' || head || ',"attrs":{"Name":"s"},"children":[]}]},' ||
+               '{"@type":"Return","@role":["Return","Statement"],' || pos || ',"attrs":{},"children":[' ||
+               '{"@type":"List",' || pos || ',"attrs":{},"children":[' || calls || ']}]}]}' AS function
+        FROM (
+          SELECT blob_hash, i, pos, string_agg(
+                   '{"@type":"Call","@role":["Call","Expression"],' || pos || ',"attrs":{},"children":[' ||
+                   '{"@type":"QualifiedIdentifier","@role":["Identifier","Expression","Callee"],' || pos ||
+                   ',"attrs":{},"children":[' || callee_node || ']},' || argument_node || ']}', ',' ORDER BY j) AS calls,
+                 '"@pos":{"start":' || CAST(2 * i - 1 AS VARCHAR) || ',"end":' || CAST(2 * i - 1 AS VARCHAR) || '}' AS head
+          FROM python_calls GROUP BY blob_hash, i, pos) c""",
+    "python_trees": """
+        SELECT blob_hash, '[' || string_agg(function, ',' ORDER BY i) || ']' AS functions
+        FROM python_functions GROUP BY blob_hash""",
+    "trim_calls": """
+        SELECT blob_hash, '[' || string_agg(callee_node, ',' ORDER BY i, j) || ']' AS calls
+        FROM python_calls WHERE callee = 'trim' GROUP BY blob_hash""",
 }
 
 WITH_TABLES = "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in VIEWS.items()) + "\n"

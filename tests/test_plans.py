@@ -73,3 +73,20 @@ def test_trees_are_parsed_once_and_after_joins(ds):
         assert physical.count("ArrowEvalPython") == 1
     physical = plan_of(by_sql).split("== Physical Plan ==")[1]
     assert physical.index("ArrowEvalPython") < physical.index("Join")
+
+
+def test_tips_read_only_their_file_lists(ds):
+    total = ds.tree_files.count()
+    for ref in ("HEAD", "refs/heads/building"):
+        tips = analyses.tip_files(ds, ref)
+        scan = next(line for line in plan_of(tips).splitlines() if "PartitionFilters: [" in line and "tip" in line)
+        assert "none" not in scan
+        trees = analyses.tip_trees(ds, ref)
+        everything = ds.classified_files.join(trees, ["repository_id", "tree_hash"])
+        assert tips.columns == everything.columns and tips.count() == everything.count() > 0
+        assert tips.exceptAll(everything).isEmpty()
+    # One list per repository, however many commits there are.
+    read = ds.classified_files_at_tips("HEAD")
+    trees = read.select("repository_id", "tree_hash").distinct().count()
+    assert trees == ds.table("refs").where("ref_name = 'HEAD'").count()
+    assert read.count() * 10 < total

@@ -9,12 +9,15 @@ from codestrata.dataset import Dataset
 from codestrata.functions import paths, trees
 from codestrata.functions.sql import uast
 from codestrata.operators.nodes import (
+    NODE_COLUMNS,
     check_supported,
     code_nodes,
     drivers,
     nodes_by_blob,
     parsable_blobs,
     select_nodes,
+    subtrees,
+    trees_by_blob,
     unsupported_languages,
 )
 from codestrata.plans import analyses
@@ -284,3 +287,52 @@ def test_stray_end_tags_take_linear_time():
 
     seconds(100)
     assert seconds(20_000) < 2
+
+
+NESTED = """
+class A:
+    def f(self):
+        def g(x):
+            return h(x, lambda y: y)
+        return g
+
+def last(): return [1, "two", {"k": None}]
+"""
+
+
+def node_table(spark, texts):
+    """The nodes of ``texts`` (key -> (text, language)) and their parsed trees."""
+    parsed, rows = {key: trees.parse(*text) for key, text in texts.items()}, []
+    for key, tree in parsed.items():
+        columns = {**tree.columns(), "roles": map(list, tree.roles), "attrs": map(dict, tree.attrs)}
+        rows += [(key, texts[key][1], pre, *values) for pre, values in enumerate(zip(*columns.values()))]
+    names = ["blob_hash", "lang", "pre", *tree.columns()]
+    table = spark.createDataFrame(rows, ", ".join(_column(name) for name in names))
+    return table.repartition(3), parsed
+
+
+def _column(name):
+    return next(part for part in NODE_COLUMNS.split(", ") if part.split()[0] == name)
+
+
+@pytest.mark.parametrize("path", ["/", "//FunctionGroup", "//*", "//Identifier", "//Nothing"])
+def test_subtrees_are_what_render_gives(spark, path):
+    table, parsed = node_table(
+        spark,
+        {
+            "a": (NESTED, "python"),
+            "b": ("x = f(f(f(1)))\n", "python"),
+            "c": ('{"k": [1, {"l": "é\\""}]}', "json"),
+            "d": ("<p>a<b>c</b></p><!-- x --><i>y", "html"),
+        },
+    )
+    rows = trees_by_blob(subtrees(table, select_nodes(table, path))).collect()
+    expected = {key: json.loads(trees.render(tree, paths.matches(tree, path))) for key, tree in parsed.items()}
+    assert {row.blob_hash: json.loads(row.nodes) for row in rows} == {k: v for k, v in expected.items() if v}
+
+
+@pytest.mark.parametrize("text", ["[" * 200 + "]" * 200, "[" + ",".join(["[1]"] * 5000) + "]"])
+def test_subtrees_of_a_deep_and_a_wide_text(spark, text):
+    table, parsed = node_table(spark, {"x": (text, "json")})
+    (row,) = trees_by_blob(subtrees(table, select_nodes(table, "/"))).collect()
+    assert json.loads(row.nodes) == json.loads(trees.render(parsed["x"], [0]))
