@@ -11,11 +11,15 @@
    chunk has at most one difference is (1 - 0.78) ** 12, about 2e-8.
 3. Nodes that share a key are joined to the least of them, first within a task, then
    per key, so a key of any size makes no more rows than nodes. The components of
-   these candidates hold every pair that shares a key.
+   these candidates hold every pair that shares a key. Here half of the digest names
+   a node; two nodes of one name only become candidates.
 4. Within a candidate component all pairs are compared on full sets, in blocks:
    a component of n nodes is dealt to g blocks and each pair of blocks is a group
    of its own, so no task holds more than two blocks. A group returns the links it
-   needs to keep its nodes connected, not all pairs.
+   needs to keep its nodes connected, not all pairs. One document of each candidate's
+   set is read again, found by id and hash of the text; a bitmap of ``BITMAP_BITS``
+   hashes of those, broadcast at that size whatever the corpus, keeps nearly all
+   other texts out of the shuffle.
 5. Components of the confirmed links; the label is the least document id.
 
 Defined results: a text with fewer words than a shingle is one shingle of all its
@@ -34,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm.components import components
@@ -49,6 +53,7 @@ BLOCK_NODES = 128
 BLOCK_NODES_MOST = 2048
 BLOCK_SHINGLES = 1 << 20
 VOCABULARY_SLICE = 8192
+BITMAP_BITS = 1 << 26
 ENTRIES_PER_FLUSH = 1 << 20
 
 _MULTIPLIERS = mix(np.arange(1, CHUNKS * CHUNK_WIDTH + 1, dtype=np.uint64) * np.uint64(7919)) | np.uint64(1)
@@ -132,8 +137,13 @@ def described(docs: DataFrame, width: int, id_column: str, text_column: str) ->
 _ENTRIES = "bucket int, keys binary, nodes binary, links binary"
 
 
+def _name() -> Column:
+    """The first 8 bytes of a node."""
+    return F.substring("node", 1, 8)
+
+
 def candidate_links(nodes: DataFrame) -> DataFrame:
-    """``a, b``: nodes that share a key, each joined to the least node of the key."""
+    """``a, b``: names of nodes that share a key, each joined to the least of the key."""
     partitions = shuffle_partitions(nodes.sparkSession)
     buckets = partitions * BUCKETS_PER_PARTITION
 
@@ -143,8 +153,8 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             signature = b"".join(batch.column("signature").to_pylist())
             keys = chunk_keys(np.frombuffer(signature, np.uint16).reshape(batch.num_rows, -1))
-            nodes = np.frombuffer(b"".join(batch.column("node").to_pylist()), ">u8").reshape(-1, 2)
-            held.append((keys.ravel(), np.repeat(nodes, keys.shape[1], axis=0).astype(np.uint64)))
+            names = np.frombuffer(b"".join(batch.column("name").to_pylist()), ">u8")
+            held.append((keys.ravel(), np.repeat(names.astype(np.uint64), keys.shape[1])))
             count += keys.size
             if count >= ENTRIES_PER_FLUSH:
                 yield from _entries(held, buckets)
@@ -157,30 +167,30 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 keys.append(np.frombuffer(row["keys"], np.uint64))
-                nodes.append(np.frombuffer(row["nodes"], np.uint64).reshape(-1, 2))
-                links.append(np.frombuffer(row["links"], np.uint64).reshape(-1, 4))
+                nodes.append(np.frombuffer(row["nodes"], np.uint64))
+                links.append(np.frombuffer(row["links"], np.uint64).reshape(-1, 2))
         if keys:
             _, _, more = _least_of_each(np.concatenate(keys), np.concatenate(nodes))
             pairs = np.unique(np.concatenate([*links, more]), axis=0).astype(">u8")
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x.tobytes() for x in side], pa.binary()) for side in (pairs[:, :2], pairs[:, 2:])],
+                [pa.array([x.tobytes() for x in side], pa.binary()) for side in (pairs[:, :1], pairs[:, 1:])],
                 names=["a", "b"],
             )
 
-    entered = nodes.select("node", "signature").mapInArrow(enter, _ENTRIES)
+    entered = nodes.select(_name().alias("name"), "signature").mapInArrow(enter, _ENTRIES)
     met = entered.repartition(partitions, "bucket").mapInArrow(meet, "a binary, b binary")
     return met.dropDuplicates()
 
 
 def _least_of_each(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, the least node of each, and links from it to the key's other nodes."""
-    order = np.lexsort((nodes[:, 1], nodes[:, 0], keys))
+    order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
     least = nodes[first][np.cumsum(first) - 1] if len(keys) else nodes
-    other = (least != nodes).any(1)
-    links = np.unique(np.concatenate([least[other], nodes[other]], 1), axis=0)
+    other = least != nodes
+    links = np.unique(np.stack([least[other], nodes[other]], 1), axis=0)
     return keys[first], nodes[first], links
 
 
@@ -190,7 +200,7 @@ def _entries(held, buckets: int) -> Iterator[pa.RecordBatch]:
     bucket = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    spread = (mix(links[:, 2]) % np.uint64(buckets)).astype(np.int64)
+    spread = (mix(links[:, 1]) % np.uint64(buckets)).astype(np.int64)
     link_order = np.argsort(spread, kind="stable")
     link_cuts = np.searchsorted(spread[link_order], np.arange(buckets + 1))
     columns: list[list] = [[], [], [], []]
@@ -220,8 +230,8 @@ def confirmed_links(
 ) -> DataFrame:
     """``a, b``: links of the similarity join, enough to connect what it connects.
 
-    ``members`` has ``node, label, first_id, n_shingles``: the candidate components
-    and for each node the id of a document that has its set.
+    ``members`` has ``node, label, first, n_shingles``: the candidate components and for
+    each node ``id`` and ``text_hash`` of a document that has its set.
     """
     sizes = members.groupBy("label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     by_count = F.least(
@@ -230,15 +240,20 @@ def confirmed_links(
     )
     blocks = F.greatest(by_count, F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("bigint")
     placed = members.join(sizes.select("label", blocks.alias("blocks")), "label").select(
-        "node", "label", "first_id", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
+        "node", "label", "first", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
     )
-    texts = docs.select(F.col(id_column).alias("first_id"), F.col(text_column).alias("_text"))
-    wanted = texts.join(placed.withColumnRenamed("first_id", "_first"), F.col("first_id").eqNullSafe(F.col("_first")))
+    texts = docs.select(
+        F.struct(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_hash")).alias("_own"),
+        F.col(text_column).alias("_text"),
+    )
+    # Of what the bitmap lets through most is wanted: both sides are shuffled, at any size.
+    same = F.col("_own.id").eqNullSafe(F.col("first.id")) & (F.col("_own.text_hash") == F.col("first.text_hash"))
+    wanted = _likely_in(texts, "_own", members.select("first"), "first").hint("merge").join(placed, same)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "_text"):
             found = shingle_sets(batch.column("_text"), width)
-            # An id may have further rows with another text.
+            # Rows may be equal in id and hash only.
             same = [_digest(x) == node for x, node in zip(found, batch.column("node").to_pylist(), strict=True)]
             names = ["node", "label", "blocks", "block"]
             out = [batch.column(name) for name in names]
@@ -277,6 +292,27 @@ def confirmed_links(
     return dealt.mapInArrow(compare, "a binary, b binary")
 
 
+def _likely_in(rows: DataFrame, column: str, few: DataFrame, few_column: str) -> DataFrame:
+    """``rows`` whose ``column`` is in ``few_column`` of ``few``, and some by chance.
+
+    The bitmap has ``BITMAP_BITS`` bits in rows of 4 KB, so the broadcast is bounded.
+    """
+    def place(name: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(BITMAP_BITS))
+
+    bitmap = (
+        few.select(place(few_column).alias("_bit"))
+        .groupBy(F.bitmap_bucket_number("_bit").alias("_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bitmap"))
+    )
+    bitmap = stored(bitmap, "near-bitmap")
+    placed = rows.withColumn("_bit", place(column)).withColumn("_bucket", F.bitmap_bucket_number("_bit"))
+    at = F.bitmap_bit_position("_bit")
+    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(bitmap_bit_position(_bit) div 8 as int) + 1, 1)")), 16, 10)
+    found = F.getbit(byte.cast("int"), (at % 8).cast("int")) == 1
+    return placed.join(F.broadcast(bitmap), "_bucket").where(found).select(*rows.columns)
+
+
 def _compare(rows: list[dict], percent: int) -> Iterator[pa.RecordBatch]:
     """Links between the two blocks of a group, or within its only one."""
     sets = [np.frombuffer(row["shingles"], np.uint64) for row in rows]
@@ -338,14 +374,15 @@ def _grouped(
         .groupBy("node")
         .agg(
             F.min("_id").alias("first_id"),
+            F.min(F.struct(F.col("_id").alias("id"), F.col("_text_hash").alias("text_hash"))).alias("first"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("signature").alias("signature"),
         )
     )
     nodes = stored(nodes, "near-nodes")
-    candidates = components(candidate_links(nodes))
-    members = candidates.join(nodes.select("node", "first_id", "n_shingles"), "node")
-    members = stored(members, "near-members")
+    candidates = components(candidate_links(nodes)).withColumnRenamed("node", "name")
+    named = nodes.select("node", "first", "n_shingles", _name().alias("name"))
+    members = stored(candidates.join(named, "name").drop("name"), "near-members")
     links = confirmed_links(docs, members, width, percent, id_column, text_column)
     groups = components(links).join(nodes.select("node", "first_id"), "node")
     least = groups.groupBy("label").agg(F.min("first_id").alias("_least"))
