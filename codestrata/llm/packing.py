@@ -7,7 +7,8 @@ window is filled with the head of the rest and emitted, and the remainder tries
 again. So windows that a task emits have no padding, and only documents that fit
 nowhere are cut.
 
-What is open at the end of a task is leftover. Leftovers of ``merge_factor``
+What is open at the end of a task is leftover; it lies in row groups of its own, so
+the next level does not read the finished windows. Leftovers of ``merge_factor``
 tasks at a time are packed in the same way, level by level, until one task holds
 the last ``open_windows``; it fills the fullest from the emptiest, so at most the
 very last window is padded. Every level is a table in the shared folder.
@@ -38,6 +39,8 @@ CAPACITY = 2048
 OPEN_WINDOWS = 64
 MERGE_FACTOR = 16
 BATCH_BYTES = 4 << 20
+#: Parquet row groups; a filter on ``sequence_id`` skips those without leftovers.
+GROUP_BYTES = 2 << 20
 
 PIECES = (
     "doc_id bigint, start bigint, length bigint, doc_tokens bigint, "
@@ -153,9 +156,9 @@ def pack(
     def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
         tokens, end = encoder(tokenizer_path), struct.pack("<I", end_id)
         for batch in text_slices(batches, "_text"):
-            texts = batch.column("_text")
+            texts = batch.column("_text").to_pylist()
             for doc_id, text in zip(batch.column("_id").to_pylist(), texts, strict=True):
-                ids = tokens.encode(text.as_py() or "") + end
+                ids = tokens.encode(text or "") + end
                 yield Piece(doc_id, 0, ids, len(ids) // 4)
 
     rows = docs.select(
@@ -195,46 +198,47 @@ def _level(rows, pieces_of, level: int, capacity: int, open_windows: int, last:
             yield from out.add(window, closed=last)
         yield from out.flush()
 
-    return stored(rows.mapInArrow(run, PIECES), f"packed-{level}")
+    groups = {"parquet.block.size": GROUP_BYTES}
+    return stored(rows.mapInArrow(run, PIECES), f"packed-{level}", **groups)
 
 
 def _stored_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
     for batch in batches:
-        for row in batch.select(["doc_id", "start", "ids", "doc_tokens"]).to_pylist():
-            yield Piece(**row)
+        names = ("doc_id", "start", "ids", "doc_tokens")
+        for row in zip(*[batch.column(name).to_pylist() for name in names], strict=True):
+            yield Piece(*row)
 
 
 class _Output:
+    """Rows of one task, gathered by column."""
+
     def __init__(self, task: int, first_id: int):
         self.task, self.next_id = task, first_id
-        self.rows: list[dict] = []
+        self._clear()
+
+    def _clear(self) -> None:
+        self.columns: list[list] = [[] for _ in _ARROW.names[:-1]]
         self.bytes = 0
 
     def add(self, window: list[Piece], closed: bool) -> Iterator[pa.RecordBatch]:
-        offset = 0
+        offset, number = 0, self.next_id if closed else None
         for piece in window:
-            self.rows.append(
-                {
-                    "doc_id": piece.doc_id,
-                    "start": piece.start,
-                    "length": len(piece),
-                    "doc_tokens": piece.doc_tokens,
-                    "sequence_id": self.next_id if closed else None,
-                    "offset": offset,
-                    "ids": piece.ids,
-                    "task": self.task,
-                }
-            )
-            offset += len(piece)
+            length = len(piece)
+            row = (piece.doc_id, piece.start, length, piece.doc_tokens, number, offset, piece.ids)
+            for column, value in zip(self.columns, row, strict=True):
+                column.append(value)
+            offset += length
             self.bytes += len(piece.ids)
         self.next_id += closed
         if self.bytes >= BATCH_BYTES:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.rows:
-            yield pa.RecordBatch.from_pylist(self.rows, schema=_ARROW)
-        self.rows, self.bytes = [], 0
+        if self.columns[0]:
+            tasks = [self.task] * len(self.columns[0])
+            arrays = [pa.array(x, field.type) for x, field in zip([*self.columns, tasks], _ARROW, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
+        self._clear()
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:

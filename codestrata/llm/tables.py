@@ -21,10 +21,10 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/llm/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **options: str | int) -> DataFrame:
     """``df`` written to the shared folder and read back: no lineage, known size."""
     path = new_folder(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,13 +12,14 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from functools import cache
 
 from tokenizers import Tokenizer
 
 from codestrata.llm.process import kept_in_process
 
 #: Words kept per process; when full the table starts anew.
-TABLE_WORDS = 200_000
+TABLE_WORDS = 500_000
 SEGMENT_CHARS = 1 << 20
 
 # Normalizer and word pattern of the file this is written for.
@@ -79,8 +80,9 @@ class Encoder:
             return b"".join(map(self.words.__getitem__, words))
 
     def _word(self, word: str) -> bytes:
-        letters = word.encode().decode("latin-1").translate(self.letters)
-        return _packed([token.id for token in self.model.tokenize(letters)])
+        # Printable ASCII stands for itself.
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([_id_bytes(token.id) for token in self.model.tokenize(letters)])
 
 
 def segments(text: str):
@@ -95,6 +97,11 @@ def segments(text: str):
     yield text[begin:]
 
 
+@cache
+def _id_bytes(number: int) -> bytes:
+    return number.to_bytes(4, "little")
+
+
 def _packed(ids: list[int]) -> bytes:
     values = array("I", ids)
     if array("H", [1]).tobytes() != b"\x01\x00":
