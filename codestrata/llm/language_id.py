@@ -5,8 +5,8 @@ one blank. Subwords are the byte sequences of ``SIZES`` within a word, edges
 included; each is hashed to one of ``BUCKETS`` embeddings. The embeddings of all
 subwords of the whole text are averaged and go through a linear softmax. Both
 layers are trained together by stochastic gradient descent in numpy, on the driver,
-on at most ``SAMPLE_PER_LANGUAGE`` rows of each of the ``LANGUAGES`` most frequent
-labels; the rows come as counts per bucket. A fifth of the sample is kept from
+on at most ``SAMPLE_PER_LANGUAGE`` rows of every label, and of so many labels that those
+would pass ``SAMPLE_ROWS`` on fewer each; the rows come as counts per bucket. A fifth of the sample is kept from
 training to fit the temperature of the softmax and the confidence from which a
 prediction is accepted with at least ``ACCEPTED_ACCURACY``.
 
@@ -38,7 +38,7 @@ SIZES = (2, 3, 4)
 BUCKETS = 1 << 13
 DIMENSIONS = 16
 SAMPLE_PER_LANGUAGE = 500
-LANGUAGES = 200
+SAMPLE_ROWS = 20_000
 EPOCHS = 12
 BATCH = 32
 RATE = 0.5
@@ -114,7 +114,7 @@ def train(labelled: DataFrame, id_column: str, text_column: str, lang_column: st
         F.xxhash64(F.col(id_column)).alias("_key"),
         F.col(text_column).alias("_text"),
     )
-    sample = sample_per_class(rows, "_label", "_key", SAMPLE_PER_LANGUAGE, LANGUAGES)
+    sample = sample_per_class(rows, "_label", "_key", SAMPLE_PER_LANGUAGE, SAMPLE_ROWS)
     found = sample.mapInArrow(_counts, "label string, key bigint, buckets binary, counts binary")
     return fit(sorted(found.collect(), key=lambda row: (row["key"], row["label"])))
 

@@ -5,33 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codestrata.llm.tables import stored
+
 
 def fold(id_column: str, folds: int) -> Column:
     """CRC-32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % folds
 
 
-def sample_per_class(rows: DataFrame, label: str, key: str, most: int, classes: int) -> DataFrame:
-    """At most ``most`` rows of each of the ``classes`` most frequent labels.
+def sample_per_class(rows: DataFrame, label: str, key: str, most: int, total: int) -> DataFrame:
+    """At most ``most`` rows of every label; fewer where there are more than ``total / most`` labels.
 
-    Rows are taken in order of a hash of ``key``. Labels are counted first and a
+    No label is left out: with very many each gives ``total / labels`` rows, one at
+    least. Rows are taken in order of a hash of ``key``. Labels are counted first and a
     hash threshold thins them before the exact cut, so a frequent label does not
     meet in one task.
     """
-    counts = rows.groupBy(label).agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), F.col(label)).limit(classes).collect()
-    if not top:
-        return rows.limit(0)
-    share = F.create_map(*[F.lit(x) for row in top for x in (row[label], _share(most, row["n"]))])
+    counts = stored(rows.groupBy(label).agg(F.count("*").alias("_n")), "class-counts")
+    most = max(1, min(most, total // max(1, counts.count())))
     chance = F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    thinned = rows.withColumn("_chance", chance).where(
-        F.col("_chance") < F.coalesce(F.element_at(share, F.col(label)), F.lit(0.0))
+    # As in ``_share``.
+    thinned = rows.join(counts, label).withColumn("_chance", chance).where(
+        F.col("_chance") < F.lit(1.2 * most + 50) / F.col("_n")
     )
     order = Window.partitionBy(label).orderBy("_chance", key)
     return (
         thinned.withColumn("_place", F.row_number().over(order))
         .where(F.col("_place") <= most)
-        .drop("_place", "_chance")
+        .drop("_place", "_chance", "_n")
     )
 
 

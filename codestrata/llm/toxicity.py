@@ -461,7 +461,7 @@ def train(
         )
         return nothing
     # Beginnings are looked at where stems were learnt, and longer by what may be put in.
-    open_ended = {len(text) - 1 for text in {*sure, *leaning} if not text.endswith(_END)}
+    open_ended = {len(x) - 1 for x in {*sure, *leaning} if x[0] == _BEGIN and x[-1] != _END and len(x) - 1 in STEMS}
     stems = tuple(sorted({n + more for n in open_ended for more in range(3)}))
     mistakes = counts.where(f"n_clean >= 1 AND NOT {_leans(prior)}")
     first = _machine(sure, clean_units, mistakes, stems, COPIES) if sure else None

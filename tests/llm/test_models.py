@@ -25,10 +25,28 @@ def test_fold(docs):
 
 def test_sample_is_bounded(spark):
     table = spark.range(5000).select("id", F.when(F.col("id") < 40, "rare").otherwise("common").alias("label"))
-    counts = Counter(row["label"] for row in sample_per_class(table, "label", "id", 100, 5).collect())
+    counts = Counter(row["label"] for row in sample_per_class(table, "label", "id", 100, 10_000).collect())
     assert counts == {"rare": 40, "common": 100}
 
 
+def test_no_label_is_left_out(spark):
+    table = spark.range(5000).select("id", F.when(F.col("id") < 4000, 0).otherwise(F.col("id") % 250).alias("label"))
+    counts = Counter(row["label"] for row in sample_per_class(table, "label", "id", 100, 500).collect())
+    assert set(counts) == set(range(250)) and max(counts.values()) == 2
+    assert sample_per_class(table.limit(0), "label", "id", 100, 500).count() == 0
+
+
+def test_languages_of_many_labels(docs):
+    """Each of 250 labels writes its own letters; every one is learnt and returned."""
+    rng = random.Random(2)
+    alphabets = ["".join(chr(0x4E00 + 4 * k + i) for i in range(4)) for k in range(250)]
+    text = lambda k: " ".join("".join(rng.choices(alphabets[k], k=3)) for _ in range(30))
+    table = docs([(i, text(i % 250)) for i in range(1250)])
+    labelled = table.withColumn("lang", F.format_string("l%d", (F.col("doc_id") % 250).cast("int")))
+    model = language_id.train(labelled, "doc_id", "text", "lang")
+    assert sorted(model.languages) == sorted(f"l{k}" for k in range(250))
+
+
 def test_words_and_windows(monkeypatch):
     monkeypatch.setattr("codestrata.llm.word_hashes.BLOCK_BYTES", 64)
     rng = random.Random(0)
@@ -135,6 +153,42 @@ def test_insults_with_gaps_and_insertions(docs, rows_of):
     assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 11: 0, 12: 0}
 
 
+INSULTS = "blockhead nitwit dunderpate clodpole numskull lackwit jackanape guttersnipe fopdoodle muttonchop".split()
+
+
+def test_one_insult_in_a_long_text_and_disguised(docs):
+    rng = random.Random(4)
+    words = [a + b for a in ("ta", "re", "mo", "li", "sen", "gu", "pra") for b in ("ro", "vi", "dal", "mer", "tos", "nu", "lis")]
+    text = lambda n: rng.choices(words, k=n)
+    rows = []
+    for i in range(7200):
+        own = text(40)
+        if i % 6 == 0:
+            own[rng.randrange(40)] = INSULTS[i // 6 % 10] + rng.choice(["", "", "s", "ish"])
+        rows.append((i, " ".join(own)))
+    table = docs(rows)
+    labelled = table.withColumn("toxic", (F.col("doc_id") % 6 == 0).cast("int"))
+    model = toxicity.train(labelled, labelled, "doc_id", "text", "toxic")
+    half = lambda word: len(word) // 2
+    disguises = {
+        "plain": lambda w: w,
+        "capitals": lambda w: f"({w.upper()}!)",
+        "inserted": lambda w: w[: half(w)] + "x" + w[half(w) :],
+        "two inserted": lambda w: w[:2] + "q" + w[2 : half(w) + 1] + "z" + w[half(w) + 1 :],
+        "dropped": lambda w: w[: half(w)] + w[half(w) + 1 :],
+        "repeated": lambda w: w[: half(w)] + w[half(w)] * 2 + w[half(w) :],
+        "starred": lambda w: w[: half(w)] + "*" + w[half(w) + 1 :],
+        "dotted": ".".join,
+        "spaced": " ".join,
+    }
+    for name, disguise in disguises.items():
+        for length in (40, 300, 2000):
+            texts = [" ".join([*text(length // 2), disguise(word), *text(length // 2)]) for word in INSULTS]
+            assert (toxicity.score_texts(model, pa.array(texts)) >= 0.5).sum() >= 9, (name, length)
+    clean = [" ".join(text(n)) for n in (3, 40, 300, 2000, 20_000) for _ in range(20)]
+    assert (toxicity.score_texts(model, pa.array(clean)) >= 0.5).sum() <= 1
+
+
 def test_toxicity_of_odd_rows(docs, odd):
     labelled = docs(labelled_corpus(240)).withColumn("toxic", (F.col("doc_id") % 6 == 0).cast("int"))
     rows = toxicity.toxicity(docs(odd), labelled, F.lit(False), train_docs=labelled).collect()

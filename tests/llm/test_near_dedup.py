@@ -89,3 +89,23 @@ def test_components(spark, rows_of):
 
 def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "a binary, b binary")).count() == 0
+
+
+def test_many_rows_of_one_id(docs, rows_of):
+    """Rows of one id, or of none, stay linear: each text is one candidate."""
+    rng = random.Random(5)
+    texts = list(family(rng, 60, changes=(0, 3)))
+    rows = [(None if i % 2 else 1, text) for i, text in enumerate(texts)] + [(7, texts[0])] * 50
+    found = near_duplicates(docs(rows), 3, 85)
+    assert rows_of(found, "doc_id", "n_shingles", "component_id") == brute(rows, 3, 85)
+
+
+def test_bitmap_keeps_what_is_wanted(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(2000).select(F.struct("id", (F.col("id") * 7).alias("hash")).alias("own"), "id")
+    few = rows.where("id % 50 = 0").select(F.col("own").alias("first"))
+    likely = near_dedup._likely_in(rows, "own", few, "first")
+    assert likely.where("id % 50 = 0").count() == 40 and likely.count() < 60
+    monkeypatch.setattr(near_dedup, "BITMAP_BITS", 64)
+    assert near_dedup._likely_in(rows, "own", few, "first").where("id % 50 = 0").count() == 40
