@@ -115,8 +115,7 @@ def build(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     tree_entries = materialize(_read(objects, "tree", _entry_rows, _ENTRIES), "entries")
     refs = materialize(
         named.where("kind = 'ref'")
-        .select("repository_id", F.col("name").alias("ref_name"), F.col("value").alias("commit_hash"))
-        .join(commits.select("repository_id", "commit_hash"), ["repository_id", "commit_hash"], "left_semi"),
+        .select("repository_id", F.col("name").alias("ref_name"), F.col("value").alias("commit_hash")),
         "refs",
     )
     tree_files, subtrees = expand_trees(commits, tree_entries)

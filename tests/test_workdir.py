@@ -125,7 +125,10 @@ def test_refs_and_history(world):
         ("refs/heads/main", head),
         ("refs/heads/side", side),
         ("refs/tags/v1", head),
+        ("refs/tags/tree-tag", repo.git("rev-parse", "HEAD^{tree}").strip()),
     }
+    walked = {r.ref_name for r in ds.table("ref_commits").where("repository_id = 'main'").collect()}
+    assert walked == {name for name, _ in refs} - {"refs/tags/tree-tag"}
     parents = {
         c: p for c, *p in (line.split() for line in repo.git("rev-list", "--parents", "--all").splitlines())
     }
