@@ -172,7 +172,7 @@ _add(
 )
 _add(
     "natural_join_three_tables",
-    lambda ds: natural_join(ds.table("ref_commits"), ds.table("commit_files"), ds.tree_files)
+    lambda ds: ds.joined("ref_commits", "commit_files", "files")
     .where("ref_name = 'HEAD'")
     .select("repository_id", "commit_hash", "file_path", "history_index"),
     "SELECT repository_id, commit_hash, file_path, history_index "
@@ -207,11 +207,38 @@ _add_sql(
     "SELECT repository_id, COUNT(DISTINCT blob_hash) AS blobs FROM commit_files GROUP BY repository_id",
 )
 _add_sql(
+    "files_of_language_in_sql",
+    "SELECT repository_id, file_path, blob_hash FROM classified_files WHERE language = 'Java'",
+    "SELECT repository_id, file_path, blob_hash FROM languages WHERE language = 'Java'",
+)
+_ROWS_OVER_JOIN = (
+    "SELECT repository_id, COUNT(*) num_files "
+    "FROM ref_commits NATURAL JOIN commit_files NATURAL JOIN files GROUP BY repository_id"
+)
+_add(
     "count_rows_over_join",
+    lambda ds: ds.count_joined(
+        ["ref_commits", "commit_files", "files"], ["repository_id"], "num_files"
+    ),
+    _ROWS_OVER_JOIN,
+)
+_add_sql(
+    "count_rows_over_join_in_sql",
     "SELECT f.repository_id, COUNT(*) num_files "
     "FROM ref_commits r NATURAL JOIN commit_files cf NATURAL JOIN files f GROUP BY f.repository_id",
-    "SELECT repository_id, COUNT(*) num_files "
-    "FROM ref_commits NATURAL JOIN commit_files NATURAL JOIN files GROUP BY repository_id",
+    _ROWS_OVER_JOIN,
+)
+_add(
+    "count_commits_per_path",
+    lambda ds: ds.count_joined(
+        ["files", "commit_files", "ref_commits"],
+        ["repository_id", "file_path"],
+        "num_commits",
+        where={"ref_commits": "ref_name = 'HEAD'"},
+    ),
+    "SELECT repository_id, file_path, COUNT(*) AS num_commits "
+    "FROM files NATURAL JOIN commit_files NATURAL JOIN ref_commits WHERE ref_name = 'HEAD' "
+    "GROUP BY repository_id, file_path",
 )
 
 # Sort, limit, top-k.

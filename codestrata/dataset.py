@@ -12,7 +12,10 @@ Stored relations hold each fact once:
 
 ``commit_files``, ``files``, ``blobs``, ``commit_blobs`` and ``commit_trees``
 are joins over them, so a path query never reads content and a file list is
-not repeated for every commit that shares its tree.
+not repeated for every commit that shares its tree. ``files`` is an outer join
+on a unique key: where no content is asked for, the join drops out of the plan.
+A tree names a path once, so ``commit_files`` and ``files`` name the same rows of
+``tree_files``; ``joined`` and ``count_joined`` read them once.
 """
 
 from __future__ import annotations
@@ -20,12 +23,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codestrata.functions.language import language_of_content
-from codestrata.operators.joins import hot_keys, split_join
+from codestrata.operators.joins import count_over_join, hot_keys, natural_join, split_join
 from codestrata.operators.languages import with_language
 from codestrata.schema import SCHEMAS, TABLES
 from codestrata.scratch import materialize, scratch_root
@@ -49,6 +52,14 @@ AT_HEAD, AT_REF, IN_HISTORY = "HEAD", "ref", "none"
 COMMITS_PER_TREE = 1000
 FILES_PER_BLOB = 100_000
 
+# Columns that name a row of a relation.
+_KEYS = {
+    "commits": ("repository_id", "commit_hash"),
+    "ref_commits": ("repository_id", "ref_name", "commit_hash"),
+    "refs": ("repository_id", "ref_name"),
+    "tree_files": ("repository_id", "tree_hash", "file_path"),
+}
+
 _FILE_LISTS = T.StructType([f for f in SCHEMAS["files"] if not f.name.startswith("blob_c")])
 _CONTENTS = T.StructType([f for f in SCHEMAS["blobs"] if f.name.startswith("blob_")])
 
@@ -167,7 +178,9 @@ class Dataset:
         return df.select(*SCHEMAS[name].fieldNames())
 
     def _files(self) -> DataFrame:
-        return self.with_content(self.tree_files)
+        files, hot = self.tree_files, self.stored.get("hot_blobs")
+        contents = self.contents.drop("content_language")
+        return split_join(files, contents, ["blob_hash"], files.columns, hot, "left", unique=True)
 
     def _commit_files(self) -> DataFrame:
         return self.join_by_tree(self.tree_files)
@@ -203,12 +216,60 @@ class Dataset:
         )
         return roots.unionByName(below)
 
+    # Natural joins of the tables.
+
+    def joined(self, *names: str) -> DataFrame:
+        """Natural join of the named tables, left to right.
+
+        Where ``commit_files`` and ``files`` are both named, the file lists are
+        read once, and content only if it is selected.
+        """
+        tables, merged = [], False
+        for name in names:
+            if name in ("commit_files", "files") and {"commit_files", "files"} <= set(names):
+                if not merged:
+                    tables.append(self.join_by_tree(self.table("files")))
+                merged = True
+            else:
+                tables.append(self.table(name))
+        return natural_join(*tables)
+
+    def count_joined(
+        self,
+        names: Sequence[str],
+        by: Sequence[str],
+        alias: str = "n",
+        where: Mapping[str, Column | str] | None = None,
+    ) -> DataFrame:
+        """Rows per ``by`` of the natural join of the named tables, without making them.
+
+        ``where`` filters tables by name before they are joined. A commit's file
+        rows are counted once per tree, a commit once however many refs reach it.
+        """
+        where = dict(where or {})
+        unknown = set(where) - set(names)
+        if unknown:
+            raise ValueError(f"filters of tables that are not joined: {sorted(unknown)}")
+        tables: dict[str, DataFrame] = {}
+        for name in dict.fromkeys(names):
+            if name in ("commit_files", "files") and name not in where:
+                tables["tree_files"] = self.tree_files
+                if name == "commit_files" and "commits" not in names:
+                    tables["commits"] = self.stored["commits"].select(
+                        "repository_id", "commit_hash", "tree_hash"
+                    )
+            else:
+                table = self.table(name)
+                tables[name] = table.where(where[name]) if name in where else table
+        return count_over_join([(df, _KEYS.get(name, ())) for name, df in tables.items()], by, alias)
+
     def register(self) -> None:
-        """Create the eleven read-only views and the code functions."""
+        """Create the eleven read-only views, ``classified_files`` and the code functions."""
         from codestrata.functions.sql import register_functions
 
         for name in TABLES:
             self.table(name).createOrReplaceTempView(name)
+        self.classified_files.createOrReplaceTempView("classified_files")
         register_functions(self.spark)
 
     def sql(self, text: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codestrata.dataset import Dataset
-from codestrata.operators.joins import hot_keys, natural_join, split_join
+from codestrata.operators.joins import count_over_join, hot_keys, natural_join, split_join
 from codestrata.operators.ordering import with_position
 from codestrata.plans import analyses
 
@@ -22,6 +22,63 @@ def test_natural_join_refuses_cross_product(spark):
         natural_join(left, right)
 
 
+def test_counts_over_joins_equal_counted_rows(spark):
+    rng = random.Random(7)
+
+    def table(columns, rows, values=6):
+        pick = lambda: rng.choice([None, *range(values)])
+        return spark.createDataFrame(
+            [tuple(pick() for _ in columns) for _ in range(rows)], ", ".join(f"{c} int" for c in columns)
+        )
+
+    keyed = spark.createDataFrame([(i % 4, i, i % 3) for i in range(12)], "a int, k int, d int")
+    chains = [
+        [table("ab", 60), table("bc", 50), table("cd", 40)],
+        [table("ab", 60), table("cd", 40), table("abc", 50)],
+        [table("abc", 80), keyed, table("ad", 30)],
+        [keyed],
+    ]
+    for tables in chains:
+        with_keys = [(df, ["a", "k"] if df is keyed else []) for df in tables]
+        columns = sorted({c for df in tables for c in df.columns})
+        # The plain join needs an order in which neighbours share columns.
+        ordered = sorted(tables, key=lambda df: -len(df.columns)) if tables == chains[1] else tables
+        rows = natural_join(*ordered)
+        for by in (columns[:1], columns[-1:], columns[:2], columns):
+            plain = rows.groupBy(*by).agg(F.count("*").alias("n"))
+            got = count_over_join(with_keys, by)
+            assert got.columns == plain.columns
+            assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
+
+
+def test_counts_over_joins_of_odd_tables(spark):
+    empty = spark.createDataFrame([], "a int, n bigint")
+    some = spark.createDataFrame([(1, 2)], "a int, _count int")
+    assert count_over_join([(some, []), (empty, [])], ["a"]).isEmpty()
+    assert [tuple(r) for r in count_over_join([(some, []), (some, ["a"])], ["_count"]).collect()] == [(2, 1)]
+    with pytest.raises(ValueError, match="no such columns"):
+        count_over_join([(some, [])], ["b"])
+    with pytest.raises(ValueError, match="no shared columns"):
+        count_over_join([(some, []), (spark.range(1), [])], ["a"])
+
+
+def test_joined_equals_the_natural_join(ds):
+    for names in (
+        ("ref_commits", "commit_files", "files"),
+        ("files", "commit_files", "commits", "refs"),
+        ("refs", "files"),
+    ):
+        plain = natural_join(*(ds.table(name) for name in names))
+        got = ds.joined(*names)
+        assert sorted(got.columns) == sorted(plain.columns)
+        digest = lambda df: df.agg(
+            F.count("*"), F.sum(F.xxhash64(*sorted(plain.columns)).cast("decimal(38,0)"))
+        ).first()
+        assert digest(got) == digest(plain)
+    with pytest.raises(ValueError, match="not joined"):
+        ds.count_joined(["files"], ["file_path"], where={"refs": "true"})
+
+
 def test_positions_with_a_hot_group(spark):
     rng = random.Random(3)
     rows = [("hot" if i % 3 == 0 else f"g{i % 50}", rng.randrange(500), i) for i in range(20_000)]

@@ -90,3 +90,48 @@ def test_tips_read_only_their_file_lists(ds):
     trees = read.select("repository_id", "tree_hash").distinct().count()
     assert trees == ds.table("refs").where("ref_name = 'HEAD'").count()
     assert read.count() * 10 < total
+
+
+def scans(df, *columns):
+    return [schema for schema in read_schemas(df) if all(column in schema for column in columns)]
+
+
+def test_content_drops_out_where_it_is_not_read(ds):
+    for text in (
+        "SELECT count(*) FROM files",
+        "SELECT repository_id, file_path FROM classified_files WHERE language = 'Java'",
+        "SELECT count(*) FROM files NATURAL JOIN commit_files NATURAL JOIN classified_files",
+        "SELECT repository_id, count(*) FROM files WHERE file_path LIKE 'src/%' GROUP BY repository_id",
+    ):
+        df = ds.sql(text)
+        assert not scans(df, "blob_content") and "blob_size" not in plan_of(df).split("== Physical Plan ==")[1]
+        assert not df.isEmpty()
+    languages = "SELECT DISTINCT {} AS language, file_path, blob_hash FROM {}"
+    stored = ds.sql(languages.format("language", "classified_files"))
+    computed = ds.sql(languages.format("LANGUAGE(file_path, blob_content)", "files"))
+    assert stored.exceptAll(computed).isEmpty() and computed.exceptAll(stored).isEmpty()
+
+
+def test_content_is_shuffled_once_where_it_is_read(spark, ds):
+    with_setting = {"spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in with_setting}
+    try:
+        for key, value in with_setting.items():
+            spark.conf.set(key, value)
+        physical = plan_of(ds.sql("SELECT file_path, blob_content FROM files")).split("== Physical Plan ==")[1]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    # One exchange and one sort a side: grouping on the key uses those of the join.
+    assert physical.count("Exchange hashpartitioning(blob_hash") == 2
+    assert physical.count("+- Sort [blob_hash") + physical.count(":- Sort [blob_hash") == 2
+
+
+def test_file_lists_are_read_once_in_joins(ds):
+    joined = ds.joined("ref_commits", "commit_files", "files").select("commit_hash", "file_path")
+    counted = ds.count_joined(["ref_commits", "files", "commit_files"], ["repository_id"])
+    for df in (joined, counted):
+        assert len([line for line in plan_of(df).split("== Physical Plan ==")[1].splitlines() if "FileScan" in line]) == 3
+        assert not scans(df, "blob_content")
+    # Rows are counted per tree and commit before they meet; no join is on the repository alone.
+    assert "[repository_id#" not in "".join(re.findall(r"Join \[repository_id#\d+\]", plan_of(counted)))
