@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from codestrata.functions.language import parser_name  # noqa: E402
 from codestrata.operators.history import walk_history  # noqa: E402
 from codestrata.operators.joins import natural_join  # noqa: E402
-from codestrata.operators.layout import clustered  # noqa: E402
+from codestrata.operators.layout import clustered, interleaved  # noqa: E402
 from codestrata.operators.nodes import (  # noqa: E402
     node_json,
     nodes_by_blob,
@@ -105,6 +105,13 @@ _add(
     _lookup,
     "SELECT * FROM ref_commits WHERE repository_id = 'repo-7' AND ref_name = 'HEAD'",
 )
+_add(
+    "interleaved_lookup",
+    lambda ds: interleaved(ds, "commits", ["repository_id", "commit_author_name"]).where(
+        "commit_author_name = 'Customer#000000007'"
+    ),
+    "SELECT * FROM commits WHERE commit_author_name = 'Customer#000000007'",
+)
 
 # Projection, filter, predicates.
 
@@ -477,6 +484,7 @@ _add(
     "SELECT repository_id, COUNT(DISTINCT commit_author_email) AS contributor_count FROM commits "
     "GROUP BY repository_id ORDER BY contributor_count DESC, repository_id LIMIT 10",
 )
+_add("approximate_contributors", analyses.approximate_contributors)
 _add(
     "license_blobs",
     analyses.license_blobs,
@@ -507,7 +515,16 @@ try:
     import codestrata.llm.queries as _llm
     import corpus_pipeline
 except ModuleNotFoundError as error:
-    if error.name not in ("codestrata.llm", "codestrata.llm.queries", "corpus_pipeline"):
+    # The folder may be left out, and so may what only its operators use.
+    if error.name not in (
+        "codestrata.llm",
+        "codestrata.llm.queries",
+        "corpus_pipeline",
+        "numpy",
+        "tokenizers",
+        "xxhash",
+        "zstandard",
+    ):
         raise
 else:
     _QUERIES.update(_llm.QUERIES)

@@ -120,6 +120,39 @@ def top_repositories_by_contributors(ds: Dataset, k: int = 10) -> DataFrame:
     )
 
 
+# Sketches have 2^12 buckets: a relative standard error of about 1.6 %.
+SKETCH_BITS = 12
+
+
+def contributor_sketches(ds: Dataset) -> DataFrame:
+    """``repository_id, contributors``: a mergeable sketch of the author addresses.
+
+    Kept with the dataset and one small row per repository, so later questions
+    over any set of repositories read no commits.
+    """
+
+    def build() -> DataFrame:
+        sketch = F.hll_sketch_agg("commit_author_email", F.lit(SKETCH_BITS))
+        return ds.table("commits").groupBy("repository_id").agg(sketch.alias("contributors"))
+
+    return ds.remembered("contributor_sketches", build)
+
+
+def approximate_contributors(ds: Dataset) -> DataFrame:
+    """Distinct authors per repository, about; the exact count is in the report above."""
+    estimate = F.hll_sketch_estimate("contributors")
+    return contributor_sketches(ds).select("repository_id", estimate.alias("contributor_count"))
+
+
+def approximate_contributors_of(ds: Dataset, repositories: DataFrame | None = None) -> DataFrame:
+    """Distinct authors of the given repositories (default: all) together, about."""
+    sketches = contributor_sketches(ds)
+    if repositories is not None:
+        sketches = sketches.join(repositories.select("repository_id").distinct(), "repository_id")
+    merged = F.hll_sketch_estimate(F.hll_union_agg("contributors"))
+    return sketches.agg(F.coalesce(merged, F.lit(0)).alias("contributor_count"))
+
+
 def top_repositories_by_files(ds: Dataset, k: int = 10, ref: str = HEAD) -> DataFrame:
     """File rows summed over the history of ``ref``.
 

@@ -14,7 +14,7 @@ import weakref
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Tables that already exist as files; a snapshot keeps them without a copy.
@@ -45,14 +45,16 @@ def write_clustered(
     path: str,
     bloom_filters: bool = False,
     folders: Sequence[str] = (),
+    order: Sequence[Column] | None = None,
 ) -> DataFrame:
-    """``write_table`` sorted on ``columns``, so filters on them skip files and row groups.
+    """``write_table`` sorted on ``columns`` (by the expressions ``order``, where given), so filters on them skip files and row groups.
 
     A hash of the row ends the range key: rows with one hot value spread over
     several files instead of one task. Each value of the columns ``folders`` has a
     folder of its own, so a filter on them does not look at the others.
     """
-    keys = [F.col(column) for column in (*folders, *columns)]
+    sort_by = [F.col(column) for column in columns] if order is None else order
+    keys = [*(F.col(column) for column in folders), *sort_by]
     rest = F.xxhash64(*df.columns)
     writer = df.repartitionByRange(*keys, rest).sortWithinPartitions(*keys).write
     if folders:

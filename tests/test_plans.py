@@ -2,10 +2,13 @@
 
 import re
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from codestrata.operators.layout import clustered
+from codestrata.dataset import Dataset
+from codestrata.operators.layout import clustered, interleaved
 from codestrata.plans import analyses
 
 
@@ -135,3 +138,66 @@ def test_file_lists_are_read_once_in_joins(ds):
         assert not scans(df, "blob_content")
     # Rows are counted per tree and commit before they meet; no join is on the repository alone.
     assert "[repository_id#" not in "".join(re.findall(r"Join \[repository_id#\d+\]", plan_of(counted)))
+
+
+def files_with(df, column, value):
+    """How many files of ``df`` may hold the value, by their statistics, and how many there are."""
+    names = [name.removeprefix("file://") for name in df.inputFiles()]
+    hits = 0
+    for name in names:
+        meta = pq.ParquetFile(name).metadata
+        at = meta.schema.names.index(column)
+        groups = [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+        hits += any(g.min <= value <= g.max for g in groups if g.has_min_max)
+    return hits, len(names)
+
+
+def test_interleaved_copy_skips_files_by_any_column(spark, ds):
+    columns = ["repository_id", "commit_author_email"]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sorted_copy, copy = clustered(ds, "commits", columns), interleaved(ds, "commits", columns)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    plain = ds.table("commits")
+    assert copy.columns == plain.columns and copy.count() == plain.count()
+    assert copy.exceptAll(plain).isEmpty()
+    row = plain.orderBy("commit_hash").first()
+    for column in columns:
+        read, files = files_with(copy, column, row[column])
+        assert files > 16 and 2 * read < files
+        found = copy.where(f"{column} = '{row[column]}'")
+        assert f"EqualTo({column},{row[column]})" in plan_of(found)
+        assert found.count() == plain.where(f"{column} = '{row[column]}'").count()
+    second = columns[1]
+    assert files_with(copy, second, row[second])[0] < files_with(sorted_copy, second, row[second])[0]
+    assert interleaved(ds, "commits", columns).inputFiles() == copy.inputFiles()
+
+
+def test_interleaved_copies_of_odd_tables(spark, ds):
+    empty = Dataset.empty(spark)
+    assert interleaved(empty, "refs", ["ref_name", "repository_id"]).isEmpty()
+    with pytest.raises(ValueError, match="columns"):
+        interleaved(ds, "refs", [])
+
+
+def test_approximate_contributors_are_close(ds):
+    exact = {r[0]: r[1] for r in ds.table("commits").groupBy("repository_id").agg(
+        F.count_distinct("commit_author_email")).collect()}
+    near = {r[0]: r[1] for r in analyses.approximate_contributors(ds).collect()}
+    assert near.keys() == exact.keys()
+    # Five standard errors of a sketch.
+    assert all(abs(near[r] - exact[r]) <= max(1, 0.08 * exact[r]) for r in exact)
+    some = ds.table("repositories").where("repository_id < 'repo-2'")
+    for repositories in (None, some):
+        commits = ds.table("commits")
+        if repositories is not None:
+            commits = commits.join(repositories, "repository_id", "left_semi")
+        total = commits.agg(F.count_distinct("commit_author_email")).first()[0]
+        merged = analyses.approximate_contributors_of(ds, repositories)
+        assert abs(merged.first()[0] - total) <= max(1, 0.08 * total)
+        assert "commit_author_email" not in plan_of(merged).split("== Physical Plan ==")[1]
+    assert analyses.approximate_contributors_of(ds, some.limit(0)).first()[0] == 0
