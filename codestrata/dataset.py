@@ -74,6 +74,8 @@ class Dataset:
             raise ValueError(f"missing relations: {missing}")
         self.spark = spark
         self.stored = dict(stored)
+        # Folders of the relations of a kept snapshot.
+        self.paths: dict[str, list[str]] = {}
         self.folder = folder or f"{scratch_root(spark)}/unnamed-{uuid.uuid4().hex}"
 
     @classmethod

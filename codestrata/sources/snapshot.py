@@ -4,6 +4,9 @@ A snapshot is replaced as a whole and never updated, so running queries keep
 what they started with. Its folder is named by a digest of the source, which
 keeps the data of several work directories side by side.
 
+A source that can tell what changed builds on the snapshot before: relations
+given as ``Grown`` keep the files written then and add new ones.
+
 With a ``store`` the folder outlives the application: a manifest, written last,
 names the relations of the newest complete snapshot, and another session or
 application opens it without reading the source.
@@ -16,6 +19,7 @@ import json
 import uuid
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +49,13 @@ FOLDERS = {"tree_files": ("tip",)}
 _opened: dict[tuple[str, str, str | None], Dataset] = {}
 
 
+class Grown(NamedTuple):
+    """A relation of the snapshot before, with rows to add."""
+
+    before: DataFrame
+    added: DataFrame
+
+
 def source_key(source: str) -> str:
     return hashlib.sha1(source.encode()).hexdigest()
 
@@ -56,35 +67,49 @@ def source_folder(spark: SparkSession, source: str, store: str | None = None) ->
 def open_snapshot(
     spark: SparkSession,
     source: str,
-    build: Callable[[SparkSession, str], Mapping[str, DataFrame]],
+    build: Callable[..., Mapping[str, DataFrame | Grown]],
     refresh: bool = False,
     store: str | None = None,
+    grow: bool = False,
 ) -> Dataset:
     """The snapshot of ``source``: built on first use, rebuilt only on ``refresh``.
 
     ``store`` is a folder every executor reaches; what is there is opened again.
+    With ``grow`` a rebuild gets the snapshot before as its third argument.
     """
     key = (spark.sparkContext.applicationId, source, store)
     known = _opened.get(key)
     if not refresh and known is not None and known.spark is spark:
         return known
     home = source_folder(spark, source, store)
-    dataset = _reopened(spark, home) if store and not refresh else None
+    dataset = None
+    if store and not (refresh and not grow):
+        dataset = _reopened(spark, home)
+    if refresh and grow:
+        # Another application may have refreshed the store since.
+        before = dataset or (known if known is not None and known.spark is spark else None)
+        dataset = None
+        if before is not None:
+            dataset = _built(spark, source, build, home, bool(store), before)
     if dataset is None:
         dataset = _built(spark, source, build, home, bool(store))
     _opened[key] = dataset
     return dataset
 
 
-def _built(spark: SparkSession, source: str, build, home: str, durable: bool) -> Dataset:
+def _built(
+    spark: SparkSession, source: str, build, home: str, durable: bool, before: Dataset | None = None
+) -> Dataset:
     folder = f"{home}/snapshot-{uuid.uuid4().hex}"
-    relations = dict(build(spark, source))
+    relations = dict(build(spark, source) if before is None else build(spark, source, before))
     relations["tree_files"] = with_tips(
         relations["tree_files"], relations["refs"], relations["commits"]
     )
 
-    def stored(item: tuple[str, DataFrame]) -> DataFrame:
+    def stored(item: tuple[str, DataFrame | Grown]) -> DataFrame:
         name, df = item
+        if isinstance(df, Grown):
+            return df.before.unionByName(stored((name, df.added)))
         if name in CLUSTERED_ON:
             # Range partitioning samples its input first: without a table it would run twice.
             df = df if is_materialized(df) else materialize(df, name)
@@ -104,7 +129,11 @@ def _built(spark: SparkSession, source: str, build, home: str, durable: bool) ->
         for name, df in dataset.stored.items():
             if name not in relations:
                 dataset.stored[name] = df = write_table(df, f"{folder}/{name}")
-            rows.append((name, f"{folder}/{name}", df.schema.json()))
+            paths = [f"{folder}/{name}"]
+            if isinstance(relations.get(name), Grown):
+                paths = [*before.paths[name], *paths]
+            dataset.paths[name] = paths
+            rows += [(name, path, df.schema.json()) for path in paths]
         note(spark, f"{home}/snapshots", rows)
     return dataset
 
@@ -131,9 +160,13 @@ def _reopened(spark: SparkSession, home: str) -> Dataset | None:
     rows = notes(spark, f"{home}/snapshots")
     if not rows:
         return None
-    stored = {
-        row["name"]: spark.read.schema(T.StructType.fromJson(json.loads(row["info"]))).parquet(row["path"])
-        for row in rows
-        if row["entry"] == rows[0]["entry"]
-    }
-    return Dataset(spark, stored, home)
+    paths: dict[str, list[str]] = {}
+    schemas: dict[str, T.StructType] = {}
+    for row in rows:
+        if row["entry"] == rows[0]["entry"]:
+            paths.setdefault(row["name"], []).append(row["path"])
+            schemas[row["name"]] = T.StructType.fromJson(json.loads(row["info"]))
+    stored = {name: spark.read.schema(schemas[name]).parquet(*paths[name]) for name in paths}
+    dataset = Dataset(spark, stored, home)
+    dataset.paths = paths
+    return dataset

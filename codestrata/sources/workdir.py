@@ -24,7 +24,7 @@ from codestrata.operators.joins import hot_keys, split_join
 from codestrata.operators.languages import with_language
 from codestrata.scratch import materialize
 from codestrata.sources import git_objects as git
-from codestrata.sources.snapshot import open_snapshot
+from codestrata.sources.snapshot import Grown, open_snapshot
 
 DIRECTORY_MODE = "040000"
 SUBMODULE_MODE = "160000"
@@ -95,22 +95,48 @@ def open_workdir(
     workdir: str | None = None,
     refresh: bool = False,
     store: str | None = None,
+    reread: bool = False,
 ) -> Dataset:
     """The dataset of a work directory (default: the current one).
 
     It is a snapshot: repositories added later appear after ``refresh``. With a
     ``store`` folder the snapshot is kept there and opened again by later applications.
+
+    A refresh lists the refs and remotes of all repositories, and reads objects only
+    of those where they changed; objects written since without any change of a ref
+    appear with ``reread``, which reads everything again.
     """
     root = os.path.realpath(workdir if workdir is not None else os.getcwd())
     if not os.path.isdir(root):
         raise NotADirectoryError(f"no directory: {workdir}")
-    return open_snapshot(spark, root, build, refresh, store)
+    return open_snapshot(spark, root, build, refresh or reread, store, grow=not reread)
+
+
+def build(
+    spark: SparkSession, root: str, before: Dataset | None = None
+) -> dict[str, DataFrame | Grown]:
+    """The relations of all repositories; those as they were ``before`` are not read again."""
+    found = materialize(find_repositories(spark, root), "repositories")
+    named = materialize(_listed(found, _named_rows, _NAMED), "names")
+    states = materialize(repository_states(found, named), "states")
+    repositories, same = found, None
+    if before is not None and "states" in before.stored:
+        same = materialize(
+            states.join(before.stored["states"], states.columns, "left_semi").select("repository_id"),
+            "same",
+        )
+        if same.isEmpty():
+            same = None
+        else:
+            repositories = materialize(found.join(same, "repository_id", "left_anti"), "changed")
 
+    def and_same(name: str, changed: DataFrame) -> DataFrame:
+        if same is None:
+            return changed
+        kept = before.stored[name].join(same, "repository_id", "left_semi")
+        return changed.unionByName(kept.select(*changed.columns))
 
-def build(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    repositories = materialize(find_repositories(spark, root), "repositories")
     objects = materialize(_listed(repositories, _object_rows, _OBJECTS), "objects")
-    named = materialize(_listed(repositories, _named_rows, _NAMED), "names")
     commits = materialize(_read(objects, "commit", _commit_rows, _COMMITS), "commits")
     tree_entries = materialize(_read(objects, "tree", _entry_rows, _ENTRIES), "entries")
     refs = materialize(
@@ -119,30 +145,52 @@ def build(spark: SparkSession, root: str) -> dict[str, DataFrame]:
         "refs",
     )
     tree_files, subtrees = expand_trees(commits, tree_entries)
-    contents = materialize(
-        _read(_one_owner(objects), "blob", _content_rows, _CONTENTS).withColumn(
+    blobs = _one_owner(objects)
+    if same is not None:
+        known = before.stored["contents"].select(F.col("blob_hash").alias("object_hash"))
+        blobs = blobs.join(known, "object_hash", "left_anti")
+    added = materialize(
+        _read(blobs, "blob", _content_rows, _CONTENTS).withColumn(
             "content_language", language_of_content()
         ),
         "contents",
     )
+    contents = added if same is None else before.stored["contents"].unionByName(added)
+    owned = objects.where("kind = 'blob'").select(
+        "repository_id", F.col("object_hash").alias("blob_hash")
+    )
+    changed_refs = refs.join(repositories.select("repository_id"), "repository_id", "left_semi")
     return {
-        "repositories": repositories.select("repository_id"),
+        "repositories": found.select("repository_id"),
+        "states": states,
         "remotes": named.where("kind = 'remote'").select(
             "repository_id", F.col("name").alias("remote_name"), F.col("value").alias("remote_url")
         ),
         "refs": refs,
-        "ref_commits": walk_history(commits, refs),
-        "commits": commits,
-        "tree_entries": tree_entries,
-        "tree_files": with_language(tree_files, contents),
-        "subtrees": subtrees,
-        "owned_blobs": objects.where("kind = 'blob'").select(
-            "repository_id", F.col("object_hash").alias("blob_hash")
-        ),
-        "contents": contents,
+        "ref_commits": and_same("ref_commits", walk_history(commits, changed_refs)),
+        "commits": and_same("commits", commits),
+        "tree_entries": and_same("tree_entries", tree_entries),
+        "tree_files": and_same("tree_files", with_language(tree_files, contents)),
+        "subtrees": and_same("subtrees", subtrees),
+        "owned_blobs": and_same("owned_blobs", owned),
+        "contents": contents if same is None else Grown(before.stored["contents"], added),
     }
 
 
+def repository_states(repositories: DataFrame, named: DataFrame) -> DataFrame:
+    """``repository_id, path, state``: a digest of the refs and remotes, in any order."""
+    row = ["kind", "name", "value"]
+    digests = named.groupBy("repository_id").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.xxhash64(*row).cast("decimal(38,0)")).alias("total"),
+        F.bit_xor(F.xxhash64(F.lit("state"), *row)).alias("mixed"),
+    )
+    state = F.concat_ws(":", "rows", "total", "mixed")
+    return repositories.join(digests, "repository_id", "left").select(
+        "repository_id", "path", state.alias("state")
+    )
+
+
 def find_repositories(spark: SparkSession, root: str) -> DataFrame:
     """``repository_id, path`` of the repositories at and below ``root``.
 

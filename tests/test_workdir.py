@@ -6,6 +6,8 @@ import pytest
 
 from codestrata.operators.layout import clustered, drop_copy
 from codestrata.plans import analyses
+from codestrata.schema import TABLES
+from codestrata.sources import workdir
 from codestrata.sources.workdir import open_workdir
 
 TRIM = "def f(s):\n    return trim(s)\n"
@@ -268,3 +270,53 @@ def test_stored_snapshot_is_opened_by_another_application(spark, tmp_path, make_
     assert open_workdir(other, source, store=store).table("commits").count() in (1, 2)
     with pytest.raises(KeyError):
         drop_copy(ds, "refs", ["ref_name"])
+
+
+def same_tables(got, expected):
+    for name in TABLES:
+        left, right = got.table(name), expected.table(name)
+        assert left.count() == right.count(), name
+        assert left.exceptAll(right).isEmpty(), name
+
+
+@pytest.mark.parametrize("kept", [False, True])
+def test_refresh_reads_only_changed_repositories(spark, tmp_path, make_repo, monkeypatch, kept):
+    listed = []
+    plain = workdir._listed
+
+    def listing(repositories, rows, schema):
+        if schema is workdir._OBJECTS:
+            listed.append(sorted(r.repository_id for r in repositories.collect()))
+        return plain(repositories, rows, schema)
+
+    monkeypatch.setattr(workdir, "_listed", listing)
+    root = tmp_path / "work"
+    repos = {name: make_repo(root / name) for name in ("a", "b", "c")}
+    for name, repo in repos.items():
+        repo.commit({"LICENSE": "free", "src/x.py": f"{name} = 1\n"})
+    store = {"store": str(tmp_path / "store")} if kept else {}
+    first = open_workdir(spark, str(root), **store)
+    assert listed.pop() == ["a", "b", "c"]
+    steps = [
+        (lambda: repos["b"].commit({"src/y.py": "y = 2\n", "copy": "free"}), ["b"]),
+        (lambda: repos["a"].git("tag", "v1"), ["a"]),
+        (lambda: make_repo(root / "d").commit({"z.json": "[1]"}), ["d"]),
+        (lambda: os.rename(root / "c", tmp_path / "gone"), []),
+        (lambda: None, []),
+    ]
+    for change, read in steps:
+        change()
+        fresh = open_workdir(spark, str(root), refresh=True, **store)
+        assert listed.pop() == read
+    assert ids(first) == ["a", "b", "c"] and ids(fresh) == ["a", "b", "d"]
+    assert first.table("commits").count() == 3 and fresh.table("commits").count() == 4
+    # Content read before is neither read nor written again.
+    assert set(first.contents.inputFiles()) <= set(fresh.contents.inputFiles())
+    assert fresh.contents.count() == fresh.contents.select("blob_hash").distinct().count()
+    if kept:
+        reopened = open_workdir(spark.newSession(), str(root), **store)
+        assert reopened.contents.inputFiles() and not listed
+        assert reopened.table("files").count() == fresh.table("files").count()
+    whole = open_workdir(spark, str(root), reread=True, **store)
+    assert listed.pop() == ["a", "b", "d"]
+    same_tables(fresh, whole)
