@@ -3,24 +3,39 @@
 A commit graph is far deeper than it is wide, so walking it level by level
 would take as many rounds as there are commits. Instead it is cut into lanes:
 runs of commits along first parents. Positions in a lane are consecutive, so
-one join labels everything below an entry point, and a round is only needed
+whoever enters a lane reaches everything below, and a round is only needed
 each time a path changes lane.
 
+What a ref reaches is kept as entries into lanes, never as commits: an entry
+with key ``distance + pos`` gives a commit at ``p``, at or below it, the
+distance ``key - p``. Rounds look at entries and at the edges between lanes
+only, and add entries to those found before. At the end the entries become
+intervals of positions, once, and these are joined with the commits.
+
 ``history_index`` is the least number of parent steps from the tip.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codestrata.operators.joins import hot_keys, split_join
 from codestrata.scratch import materialize
 
 # Lane positions per join group: bounds every group, however long the lane.
 SLICE = 1024
 
-_LABEL = ["ref", "node"]
+# Intervals that meet one slice of a lane in one join group.
+INTERVALS_PER_GROUP = 1000
+
+# Tables of entries read together before they are written as one.
+_TABLES = 16
+
 _LANE = ["ref", "lane"]
+_SLICE = [*_LANE, "slice"]
 
 
 def walk_history(commits: DataFrame, refs: DataFrame, slice_size: int = SLICE) -> DataFrame:
@@ -42,28 +57,52 @@ def walk_history(commits: DataFrame, refs: DataFrame, slice_size: int = SLICE) -
         "tips",
     )
     edges = materialize(parent_edges(nodes), "edges")
-    lanes = materialize(
-        _with_lanes(nodes, edges).withColumn("slice", F.floor(F.col("pos") / slice_size)), "lanes"
+    lanes = materialize(_with_starts(_with_lanes(nodes, edges)), "lanes")
+    intervals = materialize(reach_intervals(tips, lanes, edges, slice_size), "intervals")
+    hot = materialize(hot_keys(intervals, ["lane", "slice"], INTERVALS_PER_GROUP), "hot")
+    named = intervals.join(tips.select("ref", "ref_name"), "ref")
+    placed = lanes.join(nodes, "node").select(
+        "lane", _slice_of("pos", slice_size), "pos", "repository_id", "commit_hash"
     )
-    crossings = materialize(_crossings(edges, lanes), "crossings")
-    entries = materialize(
-        tips.join(lanes, F.col("tip") == F.col("node")).select(
-            *_LANE, "pos", "slice", F.col("pos").alias("key")
-        ),
-        "entries",
-    )
-    labels = entries.select("ref", F.col("lane").alias("node"), F.col("key").alias("history_index"))
-    labels = labels.limit(0)
-    while not entries.isEmpty():
-        labels = materialize(_improve(labels, _spread(entries, lanes)), "labels")
-        entries = materialize(_next_entries(labels, crossings, slice_size), "entries")
     return (
-        labels.join(tips, "ref")
-        .join(nodes, "node")
-        .select("repository_id", "commit_hash", "ref_name", "history_index")
+        split_join(named, placed, ["lane", "slice"], ["ref", "low"], hot)
+        .where("pos BETWEEN low AND high")
+        .select(
+            "repository_id",
+            "commit_hash",
+            "ref_name",
+            (F.col("key") - F.col("pos")).alias("history_index"),
+        )
     )
 
 
+def reach_intervals(
+    tips: DataFrame, lanes: DataFrame, edges: DataFrame, slice_size: int = SLICE
+) -> DataFrame:
+    """``ref, lane, slice, low, high, key``: what every ref reaches.
+
+    A commit at ``pos`` between ``low`` and ``high`` of the lane is ``key - pos``
+    parent steps from the ref's tip. An interval lies in one slice of the lane,
+    and no two intervals of a ref overlap.
+    """
+    crossings = materialize(_crossings(edges, lanes), "crossings")
+    found = [
+        materialize(
+            tips.join(lanes, F.col("tip") == F.col("node")).select(
+                *_LANE, "start", "pos", F.col("pos").alias("key"), F.lit(False).alias("entered")
+            ),
+            "round",
+        )
+    ]
+    entries = [found[0].limit(0)]
+    while not (candidates := found[-1].where("NOT entered")).isEmpty():
+        found.append(materialize(_round(candidates, entries, crossings, slice_size), "round"))
+        entries.append(found[-1].where("entered"))
+        if len(entries) > _TABLES:
+            entries = [materialize(_union(entries), "entries")]
+    return _intervals(_union(entries), slice_size)
+
+
 def parent_edges(nodes: DataFrame) -> DataFrame:
     """``node, nth, parent`` from the JSON list of parents; unknown parents are left out."""
     parents = F.from_json("commit_parents", "array<string>")
@@ -99,8 +138,10 @@ def _with_lanes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     reach = 1
     while not doubled.where("up IS NOT NULL").isEmpty():
         above = doubled.select(
-            F.col("node").alias("up"), F.col("up").alias("next_up"), F.col("pos").alias("pos_above")
+            F.col("node").alias("above"), F.col("up").alias("next_up"), F.col("pos").alias("pos_above")
         )
+        # Roots look for nodes that do not exist, each for another: nulls would meet in one task.
+        up = F.coalesce("up", -1 - F.col("node"))
         below = (
             doubled.where("up IS NOT NULL")
             .groupBy(F.col("up").alias("node"))
@@ -114,7 +155,7 @@ def _with_lanes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             )
         )
         doubled = materialize(
-            doubled.join(above, "up", "left")
+            doubled.join(above, up == F.col("above"), "left")
             .join(below, "node", "left")
             .select(
                 "node",
@@ -128,94 +169,133 @@ def _with_lanes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return doubled.select("node", "pos", F.col("deepest.leaf").alias("lane"))
 
 
+def _with_starts(lanes: DataFrame) -> DataFrame:
+    """Add ``start``, the lowest position of the lane."""
+    return lanes.join(lanes.groupBy("lane").agg(F.min("pos").alias("start")), "lane")
+
+
 def _crossings(edges: DataFrame, lanes: DataFrame) -> DataFrame:
-    """Parent edges that leave a lane: ``node`` to ``parent`` at ``lane, pos``."""
-    child = lanes.select("node", F.col("lane").alias("child_lane"))
-    parent = lanes.select(F.col("node").alias("parent"), "lane", "pos")
+    """Parent edges that leave ``lane`` at ``pos``, and where they lead to."""
+    child = lanes.select("node", "lane", "pos")
+    parent = lanes.select(
+        F.col("node").alias("parent"),
+        F.col("lane").alias("to_lane"),
+        F.col("start").alias("to_start"),
+        F.col("pos").alias("to_pos"),
+    )
     return (
         edges.join(child, "node")
         .join(parent, "parent")
-        .where("nth > 0 OR child_lane <> lane")
-        .select("node", "parent", "lane", "pos")
+        .where("nth > 0 OR to_lane <> lane")
+        .select("lane", "pos", "to_lane", "to_start", "to_pos")
     )
 
 
-def _spread(entries: DataFrame, lanes: DataFrame) -> DataFrame:
-    """Labels of all commits at or below the entries in their lanes.
+def _round(
+    candidates: DataFrame, entries: list[DataFrame], crossings: DataFrame, slice_size: int
+) -> DataFrame:
+    """Candidates that lower a label, as ``entered``, and the candidates they lead to.
 
-    An entry with key ``distance + pos`` gives a commit at ``p`` the distance
-    ``key - p``, so a commit needs the least key of the entries at or above it:
-    the least of higher slices (``carried``) and the least within its own.
+    A crossing is followed where its commit got a lower label than all entries of
+    the rounds before gave it.
     """
-    per_slice = entries.groupBy(*_LANE, "slice").agg(F.min("key").alias("slice_key"))
-    above = (
-        Window.partitionBy(*_LANE)
-        .orderBy(F.desc("slice"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    reached = (
-        per_slice.groupBy(*_LANE)
-        .agg(F.max("slice").alias("top"))
-        .select(*_LANE, F.explode(F.sequence(F.lit(0).cast("bigint"), "top")).alias("slice"))
-        .join(per_slice, [*_LANE, "slice"], "left")
-        .select(*_LANE, "slice", F.min("slice_key").over(above).alias("carried"))
+    touched = candidates.groupBy(*_LANE).agg(F.max("pos").alias("top"))
+    nothing = F.lit(None).cast("bigint")
+    leading = (
+        crossings.join(touched, "lane")
+        .where("pos <= top")
+        .select(
+            *_LANE, "pos", nothing.alias("old"), nothing.alias("new"), "to_lane", "to_start", "to_pos"
+        )
     )
-    placed = lanes.join(reached, ["lane", "slice"]).select(
-        *_LANE, "slice", "pos", "node", "carried", F.lit(None).cast("bigint").alias("key")
+    same_lane = [F.col("lane").alias("to_lane"), F.col("start").alias("to_start"), nothing.alias("to_pos")]
+    new = candidates.select(*_LANE, "pos", nothing.alias("old"), F.col("key").alias("new"), *same_lane)
+    old = (
+        _union(entries)
+        .join(touched.select(*_LANE), _LANE, "left_semi")
+        .select(*_LANE, "pos", F.col("key").alias("old"), nothing.alias("new"), *same_lane)
     )
-    entered = entries.select(
-        *_LANE,
-        "slice",
-        "pos",
-        F.lit(None).cast("bigint").alias("node"),
-        F.lit(None).cast("bigint").alias("carried"),
-        "key",
+    rows = _union([leading, new, old]).withColumn("slice", _slice_of("pos", slice_size))
+    per_slice = rows.groupBy(*_SLICE).agg(F.min("old").alias("old_above"), F.min("new").alias("new_above"))
+    higher = _downwards("slice", *_LANE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_slice.select(
+        *_SLICE, F.min("old_above").over(higher).alias("old_above"), F.min("new_above").over(higher).alias("new_above")
     )
-    at_or_above = (
-        Window.partitionBy(*_LANE, "slice")
-        .orderBy(F.desc("pos"))
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = _downwards("pos", *_SLICE).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    lowest = rows.join(carried, _SLICE).select(
+        *rows.columns,
+        F.least(F.min("old").over(own), "old_above").alias("old_key"),
+        F.least(F.min("new").over(own), "new_above").alias("new_key"),
     )
+    lowered = lowest.where("new_key < old_key OR (new_key IS NOT NULL AND old_key IS NULL)")
+    entered = F.col("to_pos").isNull()
     return (
-        placed.unionByName(entered)
-        .withColumn("best", F.least(F.min("key").over(at_or_above), "carried"))
-        .where("node IS NOT NULL AND best IS NOT NULL")
-        .select(*_LABEL, (F.col("best") - F.col("pos")).alias("history_index"))
+        lowered.where("to_pos IS NOT NULL OR new = new_key")
+        .select(
+            "ref",
+            F.col("to_lane").alias("lane"),
+            F.col("to_start").alias("start"),
+            F.when(entered, F.col("pos")).otherwise(F.col("to_pos")).alias("pos"),
+            F.when(entered, F.col("new"))
+            .otherwise(F.col("new_key") - F.col("pos") + 1 + F.col("to_pos"))
+            .alias("key"),
+            entered.alias("entered"),
+        )
+        .groupBy(*_LANE, "start", "pos", "entered")
+        .agg(F.min("key").alias("key"))
     )
 
 
-def _improve(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """Least label of each commit, and whether this round lowered it."""
-    before = labels.select(*_LABEL, "history_index", F.col("history_index").alias("old"))
-    merged = (
-        found.withColumn("old", F.lit(None).cast("bigint"))
-        .unionByName(before)
-        .groupBy(*_LABEL)
-        .agg(F.min("history_index").alias("history_index"), F.min("old").alias("old"))
-    )
-    return merged.select(
-        *_LABEL,
-        "history_index",
-        (F.col("old").isNull() | (F.col("history_index") < F.col("old"))).alias("improved"),
-    )
-
+def _intervals(entries: DataFrame, slice_size: int) -> DataFrame:
+    """The least key of all entries at or above, as intervals of positions.
 
-def _next_entries(labels: DataFrame, crossings: DataFrame, slice_size: int) -> DataFrame:
-    """Crossings from improved commits that lower the label they lead to."""
-    led = (
-        labels.where("improved")
-        .join(crossings, "node")
-        .groupBy("ref", F.col("parent").alias("node"), "lane", "pos")
-        .agg((F.min("history_index") + 1).alias("distance"))
+    Every slice from the highest entry down to the lane's start begins with what
+    higher slices carry down to it.
+    """
+    rows = entries.select(*_LANE, "start", "pos", "key", _slice_of("pos", slice_size))
+    per_slice = rows.groupBy(*_SLICE).agg(F.min("key").alias("slice_key"))
+    higher = _downwards("slice", *_LANE).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.lit(slice_size).cast("bigint")
+    borders = (
+        rows.groupBy(*_LANE)
+        .agg(F.min("start").alias("start"), F.max("slice").alias("top"))
+        .select(
+            *_LANE,
+            "start",
+            F.explode(F.sequence(F.floor(F.col("start") / size), "top")).alias("slice"),
+        )
+        .join(per_slice, _SLICE, "left")
+        .select(
+            *_LANE,
+            "start",
+            ((F.col("slice") + 1) * size - 1).alias("pos"),
+            F.min("slice_key").over(higher).alias("key"),
+            "slice",
+        )
+        .where("key IS NOT NULL")
     )
-    known = labels.select(*_LABEL, "history_index")
+    downwards = _downwards("pos", *_SLICE)
+    above = downwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bottom = F.greatest("start", F.col("slice") * size)
     return (
-        led.join(known, _LABEL, "left")
-        .where("history_index IS NULL OR distance < history_index")
+        rows.unionByName(borders)
         .select(
-            *_LANE,
-            "pos",
-            F.floor(F.col("pos") / slice_size).alias("slice"),
-            (F.col("distance") + F.col("pos")).alias("key"),
+            *_SLICE,
+            F.coalesce(F.lead("pos").over(downwards) + 1, bottom).alias("low"),
+            F.col("pos").alias("high"),
+            F.min("key").over(above).alias("key"),
         )
+        .where("low <= high")
     )
+
+
+def _downwards(position: str, *groups: str):
+    return Window.partitionBy(*groups).orderBy(F.desc(position))
+
+
+def _slice_of(position: str, slice_size: int):
+    return F.floor(F.col(position) / slice_size).alias("slice")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)

@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from codestrata.operators import history
 from codestrata.operators.history import walk_history
 
 COMMITS = "repository_id string, commit_hash string, commit_parents string"
@@ -70,3 +71,39 @@ def test_no_refs(spark):
     walked = walk_history(commits, spark.createDataFrame([], REFS))
     assert walked.count() == 0
     assert walked.columns == ["repository_id", "commit_hash", "ref_name", "history_index"]
+
+
+def test_storage_is_by_intervals(spark, monkeypatch):
+    """A round writes entries into lanes, however many commits lie below them."""
+    written = []
+    materialize = history.materialize
+
+    def noted(df, label):
+        table = materialize(df, label)
+        written.append((label, table))
+        return table
+
+    monkeypatch.setattr(history, "materialize", noted)
+    graph = {f"m{i}": [f"m{i - 1}"] if i else [] for i in range(2000)}
+    for i in range(100, 1900, 400):
+        graph[f"s{i}"] = [f"m{i - 50}"]
+        graph[f"m{i}"] = [f"m{i - 1}", f"s{i}"]
+    tips = [("r", "HEAD", "m1999"), ("r", "side", "s1700"), ("r", "old", "m5")]
+    check(spark, {"r": graph}, tips, 512)
+    rounds = [table.count() for label, table in written if label == "round"]
+    crossings = next(table.count() for label, table in written if label == "crossings")
+    assert crossings == 10
+    # One entry kept and one led to, per ref and place that a crossing leads to.
+    assert max(rounds) <= 2 * len(tips) * (crossings + 1)
+    (intervals,) = [table for label, table in written if label == "intervals"]
+    assert intervals.count() <= len(tips) * (2000 // 512 + 1) + sum(rounds)
+    reached = sum(len(breadth_first(graph, tip)) for _, _, tip in tips)
+    assert sum(row.high - row.low + 1 for row in intervals.collect()) == reached
+
+
+def test_many_refs_of_one_slice(spark, monkeypatch):
+    monkeypatch.setattr(history, "INTERVALS_PER_GROUP", 5)
+    monkeypatch.setattr(history, "_TABLES", 2)
+    graph = random_graph(random.Random(3), 40)
+    tips = [("r", f"ref{i}", commit) for i, commit in enumerate(graph)]
+    check(spark, {"r": graph}, tips, 16)
