@@ -6,14 +6,15 @@ import os
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from codestrata.functions.language import parser_name  # noqa: E402
+from codestrata.functions.language import CONTENT_SIGNS, language_of_content, parser_name  # noqa: E402
 from codestrata.operators.history import walk_history  # noqa: E402
 from codestrata.operators.joins import natural_join  # noqa: E402
+from codestrata.operators.languages import with_language  # noqa: E402
 from codestrata.operators.layout import clustered, interleaved  # noqa: E402
 from codestrata.operators.nodes import (  # noqa: E402
     node_json,
@@ -303,6 +304,59 @@ _add(
 
 # Syntax trees: every distinct blob, whole.
 
+# Extensions that several languages share. The tables hold no such files, so every blob
+# gets one of those extensions and the beginning of some language, by digits of its hash.
+
+_OPENINGS = (
+    "",
+    "#import <x.h>\n",
+    "namespace n {\n",
+    "use strict;\n",
+    ":- module(m, []).\n",
+    "<?xml version=1.0?>\n",
+    "% note\nfunction f(x)\n",
+)
+
+
+def _language_by_content(ds) -> DataFrame:
+    def by_digit(place: int, values) -> Column:
+        digit = F.instr(F.lit("0123456789abcdef"), F.substring("blob_hash", place, 1))
+        return F.element_at(F.array(*map(F.lit, values)), digit % len(values) + 1)
+
+    blobs = ds.contents.select("blob_hash", F.concat(by_digit(2, _OPENINGS), "blob_content").alias("blob_content"))
+    path = F.concat(F.lit("src/"), "blob_hash", F.lit("."), by_digit(1, CONTENT_SIGNS))
+    files = blobs.select(path.alias("file_path"), "blob_hash")
+    return with_language(files, blobs.withColumn("content_language", language_of_content())).select(
+        "file_path", "language"
+    )
+
+
+def _language_by_content_sql() -> str:
+    def by_digit(place: int, values) -> str:
+        listed = ", ".join("'" + value.replace("\n", "' || chr(10) || '") + "'" for value in values)
+        digit = f"instr('0123456789abcdef', substr(blob_hash, {place}, 1))"
+        return f"[{listed}][{digit} % {len(values)} + 1]"
+
+    cases = []
+    for extension, languages in CONTENT_SIGNS.items():
+        weights = [
+            " + ".join(["0", *(f"{n} * CAST(regexp_matches(t, '{sign}') AS INT)" for sign, n in signs)])
+            for signs in languages.values()
+        ]
+        whens = []
+        for place, name in enumerate(languages):
+            beaten = [f"({weights[place]}) >= ({other})" for other in weights[place + 1 :]]
+            whens.append(f"WHEN {' AND '.join(beaten)} THEN '{name}'" if beaten else f"ELSE '{name}'")
+        cases.append(f"WHEN e = '{extension}' THEN CASE {' '.join(whens)} END")
+    return (
+        f"SELECT 'src/' || blob_hash || '.' || e AS file_path, CASE {' '.join(cases)} END AS language "
+        f"FROM (SELECT blob_hash, {by_digit(1, CONTENT_SIGNS)} AS e, "
+        f"{by_digit(2, _OPENINGS)} || blob_content AS t FROM contents)"
+    )
+
+
+_add("language_by_content", _language_by_content, _language_by_content_sql())
+
 _DISTINCT_FILES = "(SELECT DISTINCT blob_hash, language FROM languages)"
 _TAGS = (
     "regexp_extract_all(regexp_replace({}, '<script>.*?</script>', '<script>', 'gs'), "

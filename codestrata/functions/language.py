@@ -2,7 +2,8 @@
 
 A file name decides first, then its extension; the first line (``#!``) only
 when the path says nothing, so path-only queries need not read content.
-Unknown is NULL.
+Extensions that several languages share are decided by weighted signs in the
+content. Unknown is NULL.
 """
 
 from __future__ import annotations
@@ -93,6 +94,57 @@ LANGUAGE_INTERPRETERS: dict[str, tuple[str, ...]] = {
     "Shell": ("bash", "sh", "zsh", "ksh", "dash"),
 }
 
+# Languages that share an extension, with weighted signs of each in a text. The language
+# with most weight has the file; the one named first, with equal weight. Patterns keep to
+# what all regular-expression engines read alike: lines end with \\n, letters are ASCII.
+_LINE = r"(^|\n)[ \t]*"
+CONTENT_SIGNS: dict[str, dict[str, tuple[tuple[str, int], ...]]] = {
+    "h": {
+        "C": (),
+        "C++": (
+            (_LINE + r"(class|namespace|using)[ \t]+[A-Za-z_]", 3),
+            (_LINE + r"template[ \t]*<", 3),
+            (_LINE + r"(public|private|protected)[ \t]*:", 3),
+            (r"std::[a-z_]|[^A-Za-z0-9_](constexpr|nullptr|virtual)[^A-Za-z0-9_]", 2),
+        ),
+        "Objective-C": (
+            (_LINE + r"@(interface|protocol|property|class|end|import)[^A-Za-z0-9_]", 4),
+            (_LINE + r"#[ \t]*import[ \t]", 3),
+        ),
+    },
+    "m": {
+        "Objective-C": (
+            (_LINE + r"@(interface|implementation|property|protocol|end|import)[^A-Za-z0-9_]", 4),
+            (_LINE + r"#[ \t]*(import|include|define)[ \t]", 3),
+            (r"\[[A-Za-z_]+ [A-Za-z_]+[\]:]", 1),
+        ),
+        "MATLAB": (
+            (_LINE + r"%", 2),
+            (_LINE + r"function[ \t]+[\[A-Za-z]", 3),
+            (_LINE + r"end[ \t]*;?[ \t]*\n", 1),
+        ),
+    },
+    "pl": {
+        "Perl": (
+            (_LINE + r"(use|package|require)[ \t]+[A-Za-z0-9:_.]+[^;\n]*;", 3),
+            (_LINE + r"(my|our)[ \t]*[($@%]", 3),
+            (_LINE + r"sub[ \t]+[A-Za-z_]", 2),
+        ),
+        "Prolog": (
+            (_LINE + r":-[ \t]*[a-z]", 4),
+            (_LINE + r"[a-z][A-Za-z0-9_]*\([^()\n]*\)[ \t]*(:-|\.[ \t]*\n)", 3),
+        ),
+    },
+    "ts": {
+        "TypeScript": (
+            (_LINE + r"(import|export|const|let|interface|type|enum|declare)[ \t{]", 1),
+        ),
+        "XML": (
+            (r"^[ \t\n]*<(\?xml|!DOCTYPE TS|TS)[ >\t]", 3),
+        ),
+    },
+}
+
 # Classifier name (lower case) -> parser name, where they differ.
 PARSER_ALIASES = {"shell": "bash", "c++": "cpp", "c#": "csharp"}
 
@@ -104,11 +156,33 @@ def _names_sql(languages: dict[str, tuple[str, ...]]) -> str:
     return f"map({', '.join(pairs)})"
 
 
+def _extension_sql(path: str) -> str:
+    name = f"substring_index(lower({path}), '/', -1)"
+    return f"if(contains({name}, '.'), substring_index({name}, '.', -1), NULL)"
+
+
 def _path_sql(path: str) -> str:
     name = f"substring_index(lower({path}), '/', -1)"
     by_name = f"try_element_at({_names_sql(LANGUAGE_FILENAMES)}, {name})"
-    extension = f"if(contains({name}, '.'), substring_index({name}, '.', -1), NULL)"
-    return f"coalesce({by_name}, try_element_at({_names_sql(LANGUAGE_EXTENSIONS)}, {extension}))"
+    by_extension = f"try_element_at({_names_sql(LANGUAGE_EXTENSIONS)}, {_extension_sql(path)})"
+    return f"coalesce({by_name}, {by_extension})"
+
+
+def _signs_sql(extension: str, content: str) -> str:
+    """The language of a shared extension; without content the one named first."""
+    text = f"cast({content} AS string)"
+
+    def weight(languages: tuple[tuple[str, int], ...]) -> str:
+        return " + ".join(["0", *(f"if({text} RLIKE r'{sign}', {n}, 0)" for sign, n in languages)])
+
+    cases = []
+    for shared, languages in CONTENT_SIGNS.items():
+        ranked = (
+            f"struct({weight(signs)} AS weight, {-place} AS place, '{name}' AS name)"
+            for place, (name, signs) in enumerate(languages.items())
+        )
+        cases.append(f"WHEN '{shared}' THEN array_max(array({', '.join(ranked)})).name")
+    return f"CASE {extension} {' '.join(cases)} END"
 
 
 def _content_sql(content: str) -> str:
@@ -118,7 +192,8 @@ def _content_sql(content: str) -> str:
 
 def language_sql(path: str, content: str) -> str:
     """SQL expression for the language of a file; arguments are SQL expressions."""
-    return f"coalesce({_path_sql(path)}, {_content_sql(content)})"
+    by_signs = _signs_sql(_extension_sql(path), content)
+    return f"coalesce({by_signs}, {_path_sql(path)}, {_content_sql(content)})"
 
 
 def _quoted(column: str) -> str:
@@ -129,6 +204,17 @@ def language_of_path(path: str = "file_path") -> Column:
     return F.expr(_path_sql(_quoted(path)))
 
 
+def shared_extension(path: str = "file_path") -> Column:
+    """The extension, where content has to decide between its languages; else NULL."""
+    extension = _extension_sql(_quoted(path))
+    listed = ", ".join(f"'{shared}'" for shared in CONTENT_SIGNS)
+    return F.expr(f"if({extension} IN ({listed}), {extension}, NULL)")
+
+
+def language_of_signs(extension: str, content: str = "blob_content") -> Column:
+    return F.expr(_signs_sql(_quoted(extension), _quoted(content)))
+
+
 def language_of_content(content: str = "blob_content") -> Column:
     return F.expr(_content_sql(_quoted(content)))
 

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codestrata.functions.language import classified, language, parser_name
+from codestrata.functions.language import classified, language, language_of_content, parser_name
+from codestrata.operators.languages import with_language
 
 FILES = [
     ("hello.py", '#!/usr/bin/env python\nprint "Hello"\n', "python"),
@@ -23,6 +24,16 @@ FILES = [
     ("noise", "no first line", None),
     ("v1.2/noise", "", None),
     ("trailing.py\n", "", None),
+    ("a.h", "#ifndef A\n#define A\nint f(void);\n#endif\n", "c"),
+    ("b.h", "#pragma once\nnamespace n {\nclass A { public:\n};\n}\n", "c++"),
+    ("c.h", "#import <x.h>\n@interface A : B\n@end\n", "objective-c"),
+    ("empty.h", "", "c"),
+    ("a.m", "@implementation A\n@end\n", "objective-c"),
+    ("b.m", "% area\nfunction y = f(x)\n  y = x;\nend\n", "matlab"),
+    ("a.pl", "use strict;\nmy $x = 1;\n", "perl"),
+    ("b.PL", ":- module(m, [p/1]).\np(a).\n", "prolog"),
+    ("a.ts", "import { a } from 'b';\n", "typescript"),
+    ("b.ts", '<?xml version="1.0"?>\n<TS version="2.1">\n', "xml"),
 ]
 
 
@@ -59,3 +70,15 @@ def test_parser_aliases(spark):
         "csharp",
         "go",
     ]
+
+
+def test_stored_language_is_the_same(files):
+    """File lists get from contents what the expression gets from path and content."""
+    hashed = files.withColumn("blob_hash", F.md5("raw"))
+    contents = hashed.select(
+        "blob_hash", F.col("raw").alias("blob_content"), language_of_content("raw").alias("content_language")
+    ).dropDuplicates(["blob_hash"])
+    lost = hashed.limit(1).select(F.lit("x/lost.h").alias("file_path"), F.lit("gone").alias("blob_hash"))
+    listed = with_language(hashed.select("file_path", "blob_hash").unionByName(lost), contents)
+    got = {r.file_path: r.language and r.language.lower() for r in listed.collect()}
+    assert got == {**{path: lang for path, _, lang in FILES}, "x/lost.h": "c"}
