@@ -6,6 +6,8 @@ import hashlib
 import pytest
 
 from codestrata.dataset import Dataset
+from codestrata.functions.trees import ROOT_TYPES, parse
+from codestrata.operators.nodes import languages_of, select_nodes, stored_nodes
 from codestrata.sources import star_schema
 from codestrata.sources.star_schema import open_star_schema
 
@@ -93,3 +95,24 @@ def test_file_rows_of_odd_keys(spark, star):
     reached = ds.table("ref_commits").where("ref_name = 'HEAD'")
     assert sorted((r["repository_id"], r["history_index"]) for r in reached.collect()) == [
         ("repo-0", 0), ("repo-0", 1), ("repo-1", 0), ("repo-1", 1), ("repo-1", 2)]
+
+
+def test_only_the_languages_of_a_path_are_parsed(spark, star):
+    ds = Dataset(spark, open_star_schema(spark, star).stored)
+    selected = select_nodes(stored_nodes(ds, languages_of("/Document//p")), "/Document//p")
+    assert selected.count() == 1
+    assert {name for name in ds.stored if name.startswith("code_nodes")} == {"code_nodes:html"}
+    assert languages_of("//p") == languages_of("/") == ["html", "json", "python"]
+    assert languages_of("/Map/Pair") == ["json"] and languages_of("/Other") == []
+    assert stored_nodes(ds, []).isEmpty()
+    # Both ways of writing give one table.
+    assert {row[0] for row in stored_nodes(ds).select("lang").distinct().collect()} == {"html", "json"}
+    assert stored_nodes(ds, ["html"]).count() == stored_nodes(ds).where("lang = 'html'").count() == 2
+
+
+def test_roots_have_the_types_listed():
+    texts = {"python": ["", "x = 1"], "html": ["", "<p>a", "text"],
+             "json": ["{}", "[1]", "1", '"a"', "true", "null", '{"k": [2]}']}
+    for lang, contents in texts.items():
+        assert {parse(text, lang).type[0] for text in contents if parse(text, lang)} <= ROOT_TYPES[lang]
+    assert {parse(text, "json").type[0] for text in texts["json"]} == ROOT_TYPES["json"]
