@@ -61,3 +61,16 @@ def test_counted_tables_keep_their_folders(star):
     star.count_relations(["files"])
     at_head = star.stored["tree_files"].where("tip = 'HEAD'")
     assert at_head.count() == 2 * 5 and "tip" in at_head.columns
+
+
+def test_file_rows_are_counted_last(star):
+    """Whatever table is named first: commits are not multiplied by their files and then shuffled."""
+    counted = star.count_joined(
+        ["files", "commit_files", "ref_commits"],
+        ["repository_id", "file_path"],
+        where={"ref_commits": "ref_name = 'HEAD'"},
+    )
+    assert max(_depths(counted, "file_path")) < min(_depths(counted, "history_index"))
+    joined = star.joined("files", "commit_files", "ref_commits").where("ref_name = 'HEAD'")
+    expected = joined.groupBy("repository_id", "file_path").count()
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, expected.collect()))
