@@ -93,7 +93,7 @@ class TokenCounter:
         return sum(n for n, _ in parts), sum(n for _, n in parts)
 
     def _part(self, text: str) -> tuple[int, int]:
-        if self.by_word and not token_ids.NOT_PLAIN.search(text):
+        if self.by_word and token_ids.is_plain(text):
             words = token_ids.PLAIN_WORDS.findall(text.lower())
             rest = [word for word in words if word not in self.plain_whole]
             return self._counted(len(words), rest, self.plain_merged, self._plain_letters)
