@@ -188,7 +188,9 @@ class Lattice:
         number = np.full(len(value), -1)
         for table in self.pieces.tables:
             slot = table.slots(value)
-            number = np.where(table.hashes[slot] == value, table.numbers[slot], number)
+            # Most character sequences are no piece.
+            found = np.flatnonzero(table.hashes[slot] == value)
+            number[found] = table.numbers[slot[found]]
         return number
 
     def _edges(self) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
