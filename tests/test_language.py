@@ -82,3 +82,13 @@ def test_stored_language_is_the_same(files):
     listed = with_language(hashed.select("file_path", "blob_hash").unionByName(lost), contents)
     got = {r.file_path: r.language and r.language.lower() for r in listed.collect()}
     assert got == {**{path: lang for path, _, lang in FILES}, "x/lost.h": "c"}
+
+
+def test_patterns_are_not_in_the_loop_over_rows(spark):
+    """The JVM does not compile a loop over rows with the code of every pattern in it."""
+    files = spark.createDataFrame([("a.h", "class A"), ("a.py", None)], "file_path string, blob_content string")
+    found = files.select("file_path", language().alias("language")).where("language != 'Java'")
+    generated = found._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" in generated and {row.language for row in found.collect()} == {"C++", "Python"}
+    # A node whose stage is compiled as one method is marked with the number of the stage.
+    assert all(not line.lstrip(" +-:").startswith("*") for line in generated.splitlines() if "RLIKE" in line)
