@@ -4,10 +4,12 @@ import datetime
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from codestrata.dataset import Dataset
 from codestrata.functions.trees import ROOT_TYPES, parse
 from codestrata.operators.nodes import languages_of, select_nodes, stored_nodes
+from codestrata.scratch import write_clustered
 from codestrata.sources import star_schema
 from codestrata.sources.star_schema import open_star_schema
 
@@ -116,3 +118,24 @@ def test_roots_have_the_types_listed():
     for lang, contents in texts.items():
         assert {parse(text, lang).type[0] for text in contents if parse(text, lang)} <= ROOT_TYPES[lang]
     assert {parse(text, "json").type[0] for text in texts["json"]} == ROOT_TYPES["json"]
+
+
+def test_clustered_rows_are_sorted_by_columns(spark, tmp_path, monkeypatch):
+    """An expression in a sort is computed for both rows of every comparison."""
+    df = spark.createDataFrame([(n * 7 % 20,) for n in range(20)], "n long")
+    plans, kind = [], type(df)
+    real = kind.sortWithinPartitions
+
+    def noted(self, *keys, **options):
+        made = real(self, *keys, **options)
+        plans.append(made._jdf.queryExecution().analyzed().toString().splitlines()[0])
+        return made
+
+    monkeypatch.setattr(kind, "sortWithinPartitions", noted)
+    order = [F.concat(F.lit("p"), F.lpad(F.col("n").cast("string"), 3, "0"))]
+    written = write_clustered(df, ["n"], f"{tmp_path}/sorted", order=order, made=[F.col("n").alias("m")])
+    (plan,) = plans
+    assert plan.startswith("Sort [") and "concat" not in plan
+    assert written.columns == ["m"] and sorted(row.m for row in written.collect()) == list(range(20))
+    for (rows,) in written.groupBy(F.input_file_name()).agg(F.collect_list("m")).select("collect_list(m)").collect():
+        assert rows == sorted(rows)
