@@ -107,3 +107,52 @@ def test_many_refs_of_one_slice(spark, monkeypatch):
     graph = random_graph(random.Random(3), 40)
     tips = [("r", f"ref{i}", commit) for i, commit in enumerate(graph)]
     check(spark, {"r": graph}, tips, 16)
+
+
+def test_contracted_graphs(spark, monkeypatch):
+    """What is left out before the doubling gets the lane and position it would have had."""
+    rng = random.Random(4)
+    graphs = {f"r{i}": random_graph(rng, 50) for i in range(3)}
+    graphs["line"] = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(100)}
+    commits = [(r, c, json.dumps(p)) for r, graph in graphs.items() for c, p in graph.items()]
+    nodes = history.materialize(
+        spark.createDataFrame(commits, COMMITS).withColumn("node", history.F.monotonically_increasing_id()),
+        "nodes",
+    )
+    edges = history.materialize(history.parent_edges(nodes), "edges")
+    doubled = sorted(map(tuple, history._with_lanes(nodes, edges).collect()))
+    monkeypatch.setattr(history, "DOUBLED", 20)
+    assert sorted(map(tuple, history._with_lanes(nodes, edges).collect())) == doubled
+    tips = [(r, "HEAD", rng.choice(list(graph))) for r, graph in graphs.items()]
+    check(spark, graphs, tips, 64)
+
+
+def test_rounds_move_a_few_rows_per_commit(spark, monkeypatch):
+    """The doubling moved every commit in each of its rounds, one more for every twofold depth."""
+    written = []
+    materialize = history.materialize
+
+    def noted(df, label):
+        table = materialize(df, label)
+        written.append((label, table))
+        return table
+
+    monkeypatch.setattr(history, "materialize", noted)
+    monkeypatch.setattr(history, "DOUBLED", 64, raising=False)
+    size = 4000
+    graph = {f"m{i}": [f"m{i - 1}"] if i else [] for i in range(size)}
+    check(spark, {"r": graph}, [("r", "HEAD", f"m{size - 1}")], 512)
+    steps = ("forest", "contraction", "doubling", "placed")
+    assert sum(table.count() for label, table in written if label in steps) < 7 * size
+    assert sum(table.count() for label, table in written if label == "doubling") < size / 2
+
+
+def test_a_commit_that_comes_twice(spark, monkeypatch):
+    graph = {f"m{i}": [f"m{i - 1}"] if i else [] for i in range(60)}
+    rows = [("r", c, json.dumps(p)) for c, p in graph.items()] + [("r", "m30", '["m29"]')]
+    commits = spark.createDataFrame(rows, COMMITS).coalesce(1)
+    refs = spark.createDataFrame([("r", "HEAD", "m59")], REFS)
+    doubled = sorted(map(tuple, walk_history(commits, refs).collect()))
+    assert {row[1] for row in doubled} == set(graph)
+    monkeypatch.setattr(history, "DOUBLED", 16)
+    assert sorted(map(tuple, walk_history(commits, refs).collect())) == doubled
