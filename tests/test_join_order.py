@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from codestrata.dataset import Dataset
 from codestrata.sources.star_schema import open_star_schema
 
 COUNT = (
@@ -74,3 +75,37 @@ def test_file_rows_are_counted_last(star):
     joined = star.joined("files", "commit_files", "ref_commits").where("ref_name = 'HEAD'")
     expected = joined.groupBy("repository_id", "file_path").count()
     assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, expected.collect()))
+
+
+@pytest.fixture
+def shuffled(spark):
+    """The shuffles of a query whose tables are too large for broadcasts, by the columns dealt on."""
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    yield lambda df: re.findall(
+        r"Exchange hashpartitioning\((.*), \d+\)", df._jdf.queryExecution().executedPlan().toString()
+    )
+    spark.conf.set(setting, before)
+
+
+def test_file_rows_stay_where_they_are(star, shuffled):
+    """Lists dealt out by tree meet each other and the commits without a shuffle of paths or trees."""
+    rows = star.sql(COUNT)
+    assert not [keys for keys in shuffled(rows) if "file_path" in keys or "tree_hash" in keys]
+    expected = star.count_joined(["ref_commits", "commit_files", "files"], ["repository_id"], "num_files")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, expected.collect()))
+    dealt, lists = star.stored["tree_files_by_tree"], star.stored["tree_files"]
+    assert sorted(map(str, dealt.select(*lists.columns).collect())) == sorted(map(str, lists.collect()))
+
+
+def test_a_question_of_one_view_reads_lists_by_path(star):
+    star.sql(COUNT)
+    plan = star.sql("SELECT tree_hash FROM files WHERE file_path = 'LICENSE'")._jdf.queryExecution()
+    assert "codestrata_counted" not in plan.executedPlan().toString()
+
+
+def test_trees_of_many_commits_are_not_joined_as_dealt(star):
+    hot = star.stored["commits"].limit(1).selectExpr("repository_id", "tree_hash", "2L AS groups")
+    other = Dataset(star.spark, {**star.stored, "hot_trees": hot})
+    assert other.lists_by_tree == "tree_files" and star.lists_by_tree == "tree_files_by_tree"
