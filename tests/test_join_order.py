@@ -105,7 +105,24 @@ def test_a_question_of_one_view_reads_lists_by_path(star):
     assert "codestrata_counted" not in plan.executedPlan().toString()
 
 
+def test_blobs_of_commits_are_shuffled_for_neither_step(star, shuffled):
+    rows = star.table("commit_blobs")
+    assert shuffled(rows) == []
+    expected = star.table("commit_files").select(*rows.columns).distinct()
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_lists_in_one_order_are_shuffled_once(star, shuffled):
+    stored = {name: df for name, df in star.stored.items() if name != "tree_files_by_tree"}
+    rows = Dataset(star.spark, stored).table("commit_blobs")
+    assert len([keys for keys in shuffled(rows) if "tree_hash" in keys]) == 2  # file rows and commits
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, star.table("commit_blobs").collect()))
+
+
 def test_trees_of_many_commits_are_not_joined_as_dealt(star):
     hot = star.stored["commits"].limit(1).selectExpr("repository_id", "tree_hash", "2L AS groups")
     other = Dataset(star.spark, {**star.stored, "hot_trees": hot})
     assert other.lists_by_tree == "tree_files" and star.lists_by_tree == "tree_files_by_tree"
+    assert sorted(map(tuple, other.table("commit_blobs").collect())) == sorted(
+        map(tuple, star.table("commit_blobs").collect())
+    )
