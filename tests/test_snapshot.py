@@ -4,13 +4,14 @@ import datetime
 import hashlib
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from codestrata.dataset import Dataset
 from codestrata.functions.trees import ROOT_TYPES, parse
 from codestrata.operators.nodes import languages_of, select_nodes, stored_nodes
 from codestrata.scratch import write_clustered
-from codestrata.sources import star_schema
+from codestrata.sources import snapshot, star_schema
 from codestrata.sources.star_schema import open_star_schema
 
 
@@ -112,6 +113,27 @@ def test_only_the_languages_of_a_path_are_parsed(spark, star):
     assert stored_nodes(ds, ["html"]).count() == stored_nodes(ds).where("lang = 'html'").count() == 2
 
 
+def test_nodes_are_made_without_lists_and_sort(spark, star, monkeypatch):
+    """Blobs and their languages are enough; texts of several languages are written as they come."""
+    real, writers = DataFrameWriter.parquet, []
+
+    def noted(self, path, *arguments, **options):
+        if "code_nodes" in path:
+            writers.append(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))
+        return real(self, path, *arguments, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    monkeypatch.setattr(snapshot, "_opened", {})
+    ds = open_star_schema(spark, star)
+    nodes = stored_nodes(ds)
+    assert not ds.stored.made("tree_files") and writers == ["3"]
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    expected = Dataset(spark, {n: df for n, df in ds.stored.items() if n != "blob_languages" and "code" not in n})
+    assert sorted(map(str, nodes.collect())) == sorted(map(str, stored_nodes(expected).collect()))
+    pairs = ds.classified_files.select("blob_hash", "language").distinct()
+    assert sorted(map(str, ds.stored["blob_languages"].collect())) == sorted(map(str, pairs.collect()))
+
+
 def test_roots_have_the_types_listed():
     texts = {"python": ["", "x = 1"], "html": ["", "<p>a", "text"],
              "json": ["{}", "[1]", "1", '"a"', "true", "null", '{"k": [2]}']}
